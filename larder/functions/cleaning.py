@@ -81,12 +81,14 @@ def normalize_uom(value: Column | str) -> Column:
     return F.when(c.isNotNull(), F.coalesce(F.try_element_at(spelled, F.lower(c)), F.upper(c)))
 
 
+# Spark's cast also takes a trailing type letter ("12d"); only plain decimal notation is a number here.
+PLAIN_NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
+
+
 def _number(value: Column | str) -> Column:
     c = _col(value).cast("string")
     text = F.regexp_replace(F.trim(c), ",", "")
-    # Spark's cast also takes a trailing type letter ("12d"); only plain decimal notation is a number here.
-    plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(~is_missing_text(c) & plain, text.try_cast("double"))
+    return F.when(~is_missing_text(c) & text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
 def coerce_float(value: Column | str) -> Column:
@@ -100,11 +102,20 @@ def coerce_int(value: Column | str) -> Column:
     return F.when(F.abs(n) < F.lit(9.2e18), F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)))
 
 
-def coerce_or_zero(value: Column | str) -> Column:
-    """Inventory rule: a value that is not a plain number (commas included) becomes 0."""
-    c = F.trim(_col(value).cast("string"))
-    plain = c.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.coalesce(F.when(plain, c.try_cast("double")), F.lit(0.0))
+def coerce_or_zero(value: Column | str, dtype: str = "string") -> Column:
+    """Inventory rule: a value that is not a plain number (commas included) becomes 0.
+
+    ``dtype`` is the column's Spark type name; a column that is numeric already skips the text rules.
+    """
+    c = _col(value)
+    if dtype == "string":
+        c = F.trim(c)
+        number = F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
+    elif dtype == "boolean":
+        number = c.cast("int").cast("double")
+    else:
+        number = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    return F.coalesce(number, F.lit(0.0))
 
 
 def parse_date_any(value: Column | str) -> Column:
