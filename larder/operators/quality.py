@@ -17,25 +17,19 @@ def dq_report(typed: DataFrame, cleaned: DataFrame, keys: list[str], quantity: s
     """
     no_key = missing_key(keys)
     rows = typed.agg(F.count(F.lit(1)).alias("initial_rows"), F.count_if(no_key).alias("missing_keys"))
-    present = [f"null_{c}" for c in cleaned.columns if not c.startswith("__")]
+    nulls = {f"null_{c}": F.count_if(F.col(c).isNull()) for c in cleaned.columns if not c.startswith("__")}
     final = cleaned.agg(
         F.count(F.lit(1)).alias("final_rows"),
         F.count_if("__bad_quantity").alias("out_of_bounds_qty"),
         F.count_if("__bad_price").alias("out_of_bounds_price"),
-        *[F.count_if(F.col(c[len("null_"):]).isNull()).alias(c) for c in present],
+        *[test.alias(name) for name, test in nulls.items()],
     )
-    counted = ["initial_rows", "missing_keys", "final_rows", "out_of_bounds_qty", "out_of_bounds_price", *present]
-    long_in = rows.unpivot([], ["initial_rows", "missing_keys"], "metric", "value")
-    long_out = final.unpivot([], counted[2:], "metric", "value")
-    report = long_in.unionByName(long_out)
+    start = rows.select(F.struct("initial_rows", "missing_keys")).scalar()
+    both = final.withColumns({"initial_rows": start["initial_rows"], "missing_keys": start["missing_keys"]})
     # What is neither without key nor in the result was a duplicate.
-    sign = (
-        F.when(F.col("metric") == "initial_rows", F.col("value"))
-        .when(F.col("metric").isin("missing_keys", "final_rows"), -F.col("value"))
-        .otherwise(F.lit(0))
-    )
-    dropped = report.agg(F.sum(sign).alias("value")).select(F.lit("duplicates_dropped").alias("metric"), "value")
-    return report.unionByName(dropped)
+    repeated = F.col("initial_rows") - F.col("missing_keys") - F.col("final_rows")
+    both = both.withColumn("duplicates_dropped", repeated)
+    return both.unpivot([], both.columns, "metric", "value")
 
 
 def bounds_columns(df: DataFrame, quantity: str, price: str | None) -> DataFrame:
