@@ -49,8 +49,9 @@ def score_tiles(
     tile: int = TILE,
     uniform_below: float = UNIFORM_BELOW,
     reference: float = VARIANCE_REFERENCE,
+    also: list[Column] | None = None,
 ) -> DataFrame:
-    """(gap_score, mode, notes) per picture.
+    """(gap_score, mode, notes) per picture, plus any further aggregates asked for in ``also``.
 
     global: 1 - variance / reference, between 0 and 1.  local: share of whole tiles whose variance is below
     the limit; a picture without a whole tile is scored globally.
@@ -62,7 +63,9 @@ def score_tiles(
         F.count_if(whole).alias("tiles"),
         F.count_if(flat).alias("uniform"),
         _variance(F.sum("n"), F.sum("s"), F.sum("s2")).alias("variance"),
+        *(also or []),
     )
+    extra = [c for c in per_image.columns if c not in (key, "tiles", "uniform", "variance")]
     variance = F.col("variance")
     score = _global_score(variance, reference)
     if mode == "global":
@@ -79,7 +82,9 @@ def score_tiles(
                 f"local tiles=%d, uniform=%d (%.2f%%), thresh={uniform_below:g}", "tiles", "uniform", share * 100
             ),
         ).otherwise(F.format_string("fallback-global (image too small), var=%.1f", variance))
-    return per_image.select(key, F.bround(score, 3).alias("gap_score"), kind.alias("mode"), notes.alias("notes"))
+    return per_image.select(
+        key, F.bround(score, 3).alias("gap_score"), kind.alias("mode"), notes.alias("notes"), *extra
+    )
 
 
 def shelf_gap_global(pixels: DataFrame, reference: float = VARIANCE_REFERENCE) -> DataFrame:
@@ -194,11 +199,11 @@ def gap_batch(
     """
     tiles = image_tiles(files, tile, longest, decoder)
     # An error row has no pixels; give it one so that it passes the arithmetic, then overwrite its score.
-    errors = tiles.groupBy("image_path").agg(F.max("error").alias("error"))
-    scored = score_tiles(
-        tiles.withColumns({"n": F.coalesce("n", F.lit(1)), "s": F.coalesce("s", F.lit(0.0)), "s2": F.coalesce("s2", F.lit(0.0))}),
-        "image_path", mode, tile, uniform_below, reference,
-    ).join(errors, "image_path")
+    counted = tiles.withColumns(
+        {"n": F.coalesce("n", F.lit(1)), "s": F.coalesce("s", F.lit(0.0)), "s2": F.coalesce("s2", F.lit(0.0))}
+    )
+    error = F.max("error").alias("error")
+    scored = score_tiles(counted, "image_path", mode, tile, uniform_below, reference, [error])
     failed = F.col("error").isNotNull()
     sku = sku_from_path(F.col("image_path"), sku_pattern)
     if fail_on_no_sku:
