@@ -86,13 +86,23 @@ def lag_columns(w: WindowSpec, value: str, lags: list[int], prefix: str) -> dict
     return {f"{prefix}_lag_{k}": F.lag(value, k).over(w) for k in lags}
 
 
-def past_mean_columns(w: WindowSpec, value: str, lengths: list[int], prefix: str) -> dict[str, Column]:
-    """Mean of the previous ``n`` rows, NULL until there are n of them."""
-    out = {}
+def add_past_means(df: DataFrame, w: WindowSpec, value: str, lengths: list[int], prefix: str) -> DataFrame:
+    """Mean of the previous ``n`` rows, NULL until there are n known values, for each length.
+
+    From running totals: a frame's sum is the difference of two of them, so the cost per row does not grow
+    with the frame length.
+    """
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"__sum": F.sum(value).over(upto), "__cnt": F.count(value).over(upto)})
+
+    def before(column: str, rows: int) -> Column:
+        return F.coalesce(F.lag(column, rows).over(w), F.lit(0))
+
+    means = {}
     for n in lengths:
-        frame = w.rowsBetween(-n, -1)
-        out[f"{prefix}_rmean_{n}"] = F.when(F.count(value).over(frame) == n, F.avg(value).over(frame))
-    return out
+        known = before("__cnt", 1) - before("__cnt", n + 1)
+        means[f"{prefix}_rmean_{n}"] = F.when(known == n, (before("__sum", 1) - before("__sum", n + 1)) / n)
+    return df.withColumns(means).drop("__sum", "__cnt")
 
 
 def full_mean(w: WindowSpec, value: str, rows: int) -> Column:
@@ -110,7 +120,9 @@ def pct_change(w: WindowSpec, value: str) -> Column:
 def fill_forward_back(w: WindowSpec, value: str) -> Column:
     """Last known value, else the next known one, within the series."""
     back = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Only rows before the first known value are still open, and for those the next known value is the
+    # series' first one.  A whole-series frame is computed once; one reaching ahead from each row is not.
+    ahead = F.first(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return F.coalesce(back, ahead)
 
 

@@ -59,12 +59,8 @@ def price_features(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
 
 def demand_features(panel: DataFrame, keys: list[str] = SERIES, value: str = "sales") -> DataFrame:
     w = windows.series_window(keys, ["date"])
-    return panel.withColumns(
-        {
-            **windows.lag_columns(w, value, LAGS, "sales"),
-            **windows.past_mean_columns(w, value, MEAN_ROWS, "sales"),
-        }
-    )
+    lagged = panel.withColumns(windows.lag_columns(w, value, LAGS, "sales"))
+    return windows.add_past_means(lagged, w, value, MEAN_ROWS, "sales")
 
 
 def vocabularies(panel: DataFrame, columns: list[str] | None = None) -> dict[str, list[str]]:

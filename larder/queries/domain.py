@@ -33,24 +33,24 @@ def _(spark, folder):
 
 EXPORT = f"""
     typed AS (
-      SELECT l_orderkey, l_linenumber, regexp_replace(upper({SKU_TEXT}), '[^A-Za-z0-9]', '', 'g') AS sku, 'wh ' || l_suppkey || ' x' AS location_id,
+      SELECT l_orderkey, l_linenumber, day, regexp_replace(upper({SKU_TEXT}), '[^A-Za-z0-9]', '', 'g') AS sku, 'wh ' || l_suppkey || ' x' AS location_id,
              CASE WHEN {QTY_TEXT} <> '?' THEN CAST(trunc(CAST(replace({QTY_TEXT}, ',', '') AS DOUBLE)) AS BIGINT) END AS qty,
              TRY_CAST({COST_TEXT} AS DOUBLE) AS cost, CASE WHEN k % 4 <> 3 THEN day END AS received_at,
              CASE lower(trim({UOM_TEXT})) WHEN 'each' THEN 'EA' WHEN 'pcs' THEN 'EA' WHEN 'kg' THEN 'KG' WHEN 'lbs' THEN 'LB' ELSE upper(trim({UOM_TEXT})) END AS uom
       FROM ({RAW})),
-    kept AS (SELECT *, row_number() OVER (PARTITION BY sku, location_id ORDER BY l_orderkey DESC, l_linenumber DESC) AS rn FROM typed WHERE sku IS NOT NULL AND sku <> ''),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY sku, location_id ORDER BY l_orderkey DESC, l_linenumber DESC, day DESC) AS rn FROM typed WHERE sku IS NOT NULL AND sku <> ''),
     cleaned AS (SELECT sku, location_id, CASE WHEN qty BETWEEN 0 AND 1000000 THEN qty END AS qty_on_hand,
-                       CASE WHEN cost BETWEEN 0 AND 1000000 THEN cost END AS unit_cost, uom, received_at, l_orderkey, l_linenumber,
+                       CASE WHEN cost BETWEEN 0 AND 1000000 THEN cost END AS unit_cost, uom, received_at, l_orderkey, l_linenumber, day,
                        coalesce(qty NOT BETWEEN 0 AND 1000000, FALSE) AS bad_qty, coalesce(cost NOT BETWEEN 0 AND 1000000, FALSE) AS bad_cost FROM kept WHERE rn = 1)"""
 
 
 @query(
     "clean_export",
-    f", {EXPORT} SELECT sku, location_id, qty_on_hand, unit_cost, uom, received_at, l_orderkey, l_linenumber FROM cleaned",
+    f", {EXPORT} SELECT sku, location_id, qty_on_hand, unit_cost, uom, received_at, l_orderkey, l_linenumber, day FROM cleaned",
     "days",
 )
 def _(spark, folder):
-    cleaned = cleaning.clean_export(marts.raw_export(spark, folder), ["l_orderkey", "l_linenumber"])
+    cleaned = cleaning.clean_export(marts.raw_export(spark, folder), ["l_orderkey", "l_linenumber", "day"])
     return cleaned.withColumn("received_at", F.to_date("received_at"))
 
 
@@ -63,12 +63,12 @@ def _(spark, folder):
       count(*) FILTER (bad_cost) AS out_of_bounds_price, count(*) FILTER (sku IS NULL) AS null_sku, count(*) FILTER (location_id IS NULL) AS null_location_id,
       count(*) FILTER (qty_on_hand IS NULL) AS null_qty_on_hand, count(*) FILTER (unit_cost IS NULL) AS null_unit_cost, count(*) FILTER (uom IS NULL) AS null_uom,
       count(*) FILTER (received_at IS NULL) AS null_received_at, count(*) FILTER (l_orderkey IS NULL) AS null_l_orderkey,
-      count(*) FILTER (l_linenumber IS NULL) AS null_l_linenumber FROM cleaned)
+      count(*) FILTER (l_linenumber IS NULL) AS null_l_linenumber, count(*) FILTER (day IS NULL) AS null_day FROM cleaned)
     UNPIVOT counts ON * INTO NAME metric VALUE value""",
     "days",
 )
 def _(spark, folder):
-    return cleaning.export_report(marts.raw_export(spark, folder), ["l_orderkey", "l_linenumber"])
+    return cleaning.export_report(marts.raw_export(spark, folder), ["l_orderkey", "l_linenumber", "day"])
 
 
 TIDY = """
@@ -237,7 +237,7 @@ def _(spark, folder):
                 FROM week_cells c JOIN week_calendar w ON w.d = c.d GROUP BY 1, 2),
     recent AS (SELECT * FROM daily WHERE date >= (SELECT max(date) - 90 FROM daily)),
     top AS (SELECT item_id FROM (SELECT item_id, sum(sale) AS s FROM recent GROUP BY 1 ORDER BY s DESC, item_id LIMIT 12) WHERE item_id <> 'FOODS_2_015')
-    SELECT r.item_id, CAST(r.date + (DATE '2025-01-31' - (SELECT max(date) FROM recent)) AS DATE) AS date, r.sale::BIGINT AS sale,
+    SELECT r.item_id, CAST(r.date + CAST(DATE '2025-01-31' - (SELECT max(date) FROM recent) AS INTEGER) AS DATE) AS date, r.sale::BIGINT AS sale,
            (2 * max(r.sale) OVER (PARTITION BY r.item_id))::BIGINT AS unit, i.description, round(p.price, 6) AS price, 3 AS lead_time, CAST(0.5 AS DOUBLE) AS holding_cost
     FROM recent r JOIN top t ON t.item_id = r.item_id
     JOIN (SELECT DISTINCT item_id, dept_id AS description FROM lines) i ON i.item_id = r.item_id

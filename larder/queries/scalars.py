@@ -187,7 +187,7 @@ def _(spark, folder):
 
 @query(
     "date_shift",
-    "SELECT item_id, CAST(date + (DATE '2025-06-30' - (SELECT max(date) FROM sales)) AS DATE) AS date, sale FROM sales",
+    "SELECT item_id, CAST(date + CAST(DATE '2025-06-30' - (SELECT max(date) FROM sales) AS INTEGER) AS DATE) AS date, sale FROM sales",
     "sales",
 )
 def _(spark, folder):
@@ -290,8 +290,8 @@ def _(spark, folder):
 @query(
     "bbox_normalize",
     """
-    SELECT l_orderkey, l_linenumber, round((x1 / w + x2 / w) / 2, 6) AS x_center, round((y1 / h + y2 / h) / 2, 6) AS y_center,
-           round(x2 / w - x1 / w, 6) AS box_width, round(y2 / h - y1 / h, 6) AS box_height
+    SELECT l_orderkey, l_linenumber, round((x1 / w + x2 / w) / 2, 12) AS x_center, round((y1 / h + y2 / h) / 2, 12) AS y_center,
+           round(x2 / w - x1 / w, 12) AS box_width, round(y2 / h - y1 / h, 12) AS box_height
     FROM (SELECT *, CAST(l_linenumber * 37 AS DOUBLE) AS x1, CAST(l_linenumber * 37 + l_quantity AS DOUBLE) AS x2,
                  CAST(l_suppkey % 100 AS DOUBLE) AS y1, CAST(l_suppkey % 100 + 2 * l_quantity AS DOUBLE) AS y2,
                  CAST(1 + l_orderkey % 2 AS DOUBLE) * 640 AS w, CAST(480 AS DOUBLE) AS h FROM lineitem)""",
@@ -305,4 +305,4 @@ def _(spark, folder):
         }
     )
     box = boxes.bbox_normalize("x1", "y1", "x2", "y2", "w", "h")
-    return rounded(line.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in box.items()]), 6, *box)
+    return rounded(line.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in box.items()]), 12, *box)

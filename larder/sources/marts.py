@@ -172,14 +172,17 @@ def wide_sales(spark: SparkSession, folder: str) -> DataFrame:
     weekly = lines(spark, folder).withColumn("w", F.floor(day_index("date") / 7).cast("int"))
     lo, hi = weekly.agg(F.min("w"), F.max("w")).first()
     ids = ["item_id", "dept_id", "cat_id", "store_id", "state_id"]
-    cells = weekly.groupBy(*ids).pivot("w", list(range(lo, hi + 1))).agg(F.sum("sale"))
-    days = [F.coalesce(F.col(f"`{w}`"), F.lit(0.0)).cast("long").alias(f"d_{w + 1}") for w in range(lo, hi + 1)]
-    final = cells.select(F.concat("item_id", F.lit("_"), "store_id").alias("id"), *ids, *days)
+    # At most one entry per week: sums first, then one map per store and item.
+    sums = weekly.groupBy(*ids, "w").agg(F.sum("sale").cast("long").alias("units"))
+    cells = sums.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("w", "units"))).alias("m"))
+    filled = F.transform(
+        F.sequence(F.lit(lo), F.lit(hi)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))
+    )
     twice = F.col("item_id").rlike("[05]$")
     loads = F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    both = final.withColumn("load_no", F.explode(loads))
-    stale = {c: F.col(c) + 1 - F.col("load_no") for c in both.columns if c.startswith("d_")}
-    return both.withColumns(stale)
+    rows = cells.withColumn("cells", filled).withColumn("load_no", F.explode(loads))
+    days = [f"cells[{w - lo}] + 1 - load_no AS d_{w + 1}" for w in range(lo, hi + 1)]
+    return rows.selectExpr("concat(item_id, '_', store_id) AS id", *ids, *days, "load_no")
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,4 +268,5 @@ def raw_export(spark: SparkSession, folder: str) -> DataFrame:
         .when(k % 4 == 2, F.date_format("day", "MMM d, yyyy")).otherwise("soon").alias("Received At"),
         "l_orderkey",
         "l_linenumber",
+        "day",
     )
