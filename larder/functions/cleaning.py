@@ -25,24 +25,26 @@ UNIT_NAMES = {
 QUANTITY_RANGE = (0, 1_000_000)
 PRICE_RANGE = (0.0, 1_000_000.0)
 
-# Accepted date layouts, tried in order; day/month ambiguity is settled month-first.
+# Accepted date layouts by the shape of the text; where day and month could be swapped, month comes first.
+# A layout is only tried on text of its shape, because a failed parse is far dearer than a failed match.
 DATE_LAYOUTS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "M/d/yyyy H:m",
-    "M/d/yyyy H:m:s",
-    "M-d-yyyy",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "yyyyMMdd",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "M/d/yy",
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", ["yyyy-M-d H:m"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$", ["yyyy-M-d[ ]['T']H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", ["M/d/yyyy H:m", "d/M/yyyy H:m"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ["M/d/yyyy H:m:s", "d/M/yyyy H:m:s"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
+    (r"^\d{8}$", ["yyyyMMdd"]),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
 ]
 
 
@@ -50,13 +52,20 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+CONTROLS = r"[\x00-\x1F\x7F]"
+# Text that cleaning would change: a control character, outer or repeated whitespace, or a non-plain space.
+UNCLEAN = r"(?U)[\x00-\x1F\x7F]|^\s|\s$|\s\s|[\s&&[^ ]]"
+
+
 def clean_text(value: Column | str) -> Column:
     """Delete control characters, then squeeze whitespace runs to one space and trim.
 
     Control characters go first, so a tab or newline joins its neighbours instead of becoming a space.
+    Most cells of an export are clean already, and finding that out is cheaper than rewriting them.
     """
-    no_controls = F.regexp_replace(_col(value), r"[\x00-\x1F\x7F]", "")
-    return F.trim(F.regexp_replace(no_controls, r"(?U)\s+", " "))
+    c = _col(value)
+    rewritten = F.trim(F.regexp_replace(F.regexp_replace(c, CONTROLS, ""), r"(?U)\s+", " "))
+    return F.when(c.rlike(UNCLEAN), rewritten).otherwise(c)
 
 
 def is_missing_text(value: Column | str) -> Column:
@@ -119,12 +128,13 @@ def coerce_or_zero(value: Column | str, dtype: str = "string") -> Column:
 
 
 def parse_date_any(value: Column | str) -> Column:
-    """Timestamp from the listed layouts, first that fits; otherwise NULL."""
+    """Timestamp of the first listed layout that fits; otherwise NULL."""
     c = F.trim(_col(value).cast("string"))
-    return F.when(
-        ~is_missing_text(c),
-        F.coalesce(*[F.try_to_timestamp(c, F.lit(layout)) for layout in DATE_LAYOUTS]),
-    )
+    parsed = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    for shape, layouts in DATE_LAYOUTS:
+        attempts = [F.try_to_timestamp(c, F.lit(layout)) for layout in layouts]
+        parsed = parsed.when(c.rlike(shape), attempts[0] if len(attempts) == 1 else F.coalesce(*attempts))
+    return parsed
 
 
 def out_of_bounds(value: Column | str, low: float, high: float) -> Column:

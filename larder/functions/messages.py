@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,11 +68,14 @@ DEFAULT_HORIZON = 30
 
 
 def mentions_any(lowered: Column, words: list[str]) -> Column:
-    """True if any word occurs as a substring.  One alternation scan per message, not one scan per word.
+    """True if any word occurs as a substring of the lower-cased text.
 
-    Words are matched against lower-cased text as written, so an upper-case word can never match.
+    A word that contains another listed word adds nothing and is not searched for; neither is a word with
+    capitals, which lower-cased text cannot contain.
     """
-    return lowered.rlike("|".join(rf"\Q{w}\E" for w in words))
+    small = [w for w in words if w == w.lower()]
+    needed = [w for w in small if not any(v != w and v in w for v in small)]
+    return reduce(or_, [lowered.contains(w) for w in needed])
 
 
 def intent_flags(text: Column) -> dict[str, Column]:

@@ -9,14 +9,14 @@ from larder.functions.cleaning import PRICE_RANGE, QUANTITY_RANGE, out_of_bounds
 from larder.operators.filters import missing_key
 
 
-def dq_report(typed: DataFrame, cleaned: DataFrame, keys: list[str], quantity: str, price: str | None) -> DataFrame:
+def dq_report(keyed: DataFrame, cleaned: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in and out, rows without key, duplicates, out-of-range values and NULLs per column.
 
-    ``typed`` is the export after type coercion, before rows are dropped; ``cleaned`` is the final table.
-    ``price`` is the one price column the range rule applies to.
+    ``keyed`` is the export with cleaned keys, before rows are dropped; ``cleaned`` is the final table with
+    its marks of out-of-range cells.
     """
     no_key = missing_key(keys)
-    rows = typed.agg(F.count(F.lit(1)).alias("initial_rows"), F.count_if(no_key).alias("missing_keys"))
+    rows = keyed.agg(F.count(F.lit(1)).alias("initial_rows"), F.count_if(no_key).alias("missing_keys"))
     nulls = {f"null_{c}": F.count_if(F.col(c).isNull()) for c in cleaned.columns if not c.startswith("__")}
     final = cleaned.agg(
         F.count(F.lit(1)).alias("final_rows"),

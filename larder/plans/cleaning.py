@@ -11,6 +11,7 @@ from larder.functions import cleaning as C
 from larder.functions import stock
 from larder.functions.calendar import day_number
 from larder.operators import headers
+from larder.operators.filters import drop_missing_keys
 from larder.operators.quality import bounds_columns, dq_report
 from larder.operators.windows import dedupe_keep_last, rolling_mean_min1
 
@@ -109,44 +110,55 @@ class ExportLayout:
     prices: tuple[str, ...] = ("unit_cost", "unit_price", "price")
 
 
-def type_export(df: DataFrame, layout: ExportLayout) -> DataFrame:
-    """Headers, text, numbers, dates, product codes and units; no rows dropped yet."""
-    df = headers.snake_headers(df)
+def type_export(df: DataFrame, layout: ExportLayout, columns: list[str] | None = None) -> DataFrame:
+    """Text, numbers, dates, product codes and units of the given columns (all by default)."""
+    chosen = df.columns if columns is None else columns
     texts = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
-    df = df.withColumns({c: C.clean_text(c) for c in df.columns if c in texts})
+    df = df.withColumns({c: C.clean_text(c) for c in chosen if c in texts})
     typed: dict[str, Column] = {}
-    typed |= {c: C.coerce_int(c) for c in layout.integers if c in df.columns}
-    typed |= {c: C.coerce_float(c) for c in layout.decimals if c in df.columns}
-    typed |= {c: C.parse_date_any(c) for c in layout.dates if c in texts}
-    if "sku" in df.columns:
+    typed |= {c: C.coerce_int(c) for c in layout.integers if c in chosen}
+    typed |= {c: C.coerce_float(c) for c in layout.decimals if c in chosen}
+    typed |= {c: C.parse_date_any(c) for c in layout.dates if c in chosen and c in texts}
+    if "sku" in chosen:
         typed["sku"] = C.normalize_sku("sku")
-    if "uom" in df.columns:
+    if "uom" in chosen:
         typed["uom"] = C.normalize_uom("uom")
     return df.withColumns(typed)
 
 
-def _finish_export(typed: DataFrame, layout: ExportLayout, order: list[str]) -> DataFrame:
-    from larder.operators.filters import drop_missing_keys
+def _keyed(df: DataFrame, layout: ExportLayout) -> tuple[DataFrame, list[str]]:
+    df = headers.snake_headers(df)
+    keys = [k for k in layout.keys if k in df.columns]
+    return type_export(df, layout, keys), keys
+
+
+def _finish_export(keyed: DataFrame, keys: list[str], layout: ExportLayout, order: list[str]) -> DataFrame:
+    """Drop rows without key and earlier duplicates, then clean the other columns of what is left.
 
-    keys = [k for k in layout.keys if k in typed.columns]
-    kept = drop_missing_keys(typed, keys)
+    Which rows stay depends on the key columns only, so the costly cleaning runs once per surviving row,
+    after the shuffle.
+    """
+    kept = drop_missing_keys(keyed, keys)
     if keys:
-        kept = dedupe_keep_last(kept, keys, [F.col(c) for c in order])
-    price = next((p for p in layout.prices if p in typed.columns), None)
-    return bounds_columns(kept, layout.quantity, price)
+        kept = dedupe_keep_last(kept, keys, [F.col(headers.snake_name(c)) for c in order])
+    typed = type_export(kept, layout, [c for c in kept.columns if c not in keys])
+    return bounds_columns(typed, layout.quantity, price_column(typed, layout))
+
+
+def price_column(df: DataFrame, layout: ExportLayout) -> str | None:
+    """The range rule looks at one price column only, the first that exists."""
+    return next((p for p in layout.prices if p in df.columns), None)
 
 
 def clean_export(df: DataFrame, order: list[str], layout: ExportLayout | None = None) -> DataFrame:
     """Clean a generic export.  ``order`` names the columns giving row order, for keep-last."""
     layout = layout or ExportLayout()
-    done = _finish_export(type_export(df, layout), layout, [headers.snake_name(c) for c in order])
-    return done.drop("__bad_quantity", "__bad_price")
+    keyed, keys = _keyed(df, layout)
+    return _finish_export(keyed, keys, layout, order).drop("__bad_quantity", "__bad_price")
 
 
 def export_report(df: DataFrame, order: list[str], layout: ExportLayout | None = None) -> DataFrame:
     """The data-quality report of the same cleaning."""
     layout = layout or ExportLayout()
-    typed = type_export(df, layout)
-    done = _finish_export(typed, layout, [headers.snake_name(c) for c in order])
-    price = next((p for p in layout.prices if p in typed.columns), None)
-    return dq_report(typed, done, [k for k in layout.keys if k in typed.columns], layout.quantity, price)
+    keyed, keys = _keyed(df, layout)
+    return dq_report(keyed, _finish_export(keyed, keys, layout, order), keys)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larder.functions.calendar import calendar_parts, snap_flags
 from larder.operators import encode, windows
 from larder.operators.ordering import exact_median
+from larder.session import checkpointed
 
 SERIES = ["store_id", "item_id"]
 LAGS = [1, 7, 14, 28, 56]
@@ -31,13 +32,19 @@ def global_median_fill(df: DataFrame, column: str) -> DataFrame:
     return df if median is None else df.withColumn(column, F.coalesce(column, F.lit(median)))
 
 
-def fill_prices(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """Last known price, else next known one, per series; series without any price get the overall median."""
+def fill_prices(panel: DataFrame, keys: list[str] = SERIES, median: bool = True) -> DataFrame:
+    """Last known price, else next known one, per series; with ``median``, then the overall median."""
     w = windows.series_window(keys, ["date"])
     filled = panel.withColumn("sell_price", windows.fill_forward_back(w, "sell_price"))
-    # Only a series with no price at all leaves a gap, and that shows in a plain partial aggregate.
-    unpriced = panel.groupBy(*keys).agg(F.count("sell_price").alias("n")).where("n = 0")
-    return filled if unpriced.isEmpty() else global_median_fill(filled, "sell_price")
+    return global_median_fill(filled, "sell_price") if median else filled
+
+
+def series_codes(panel: DataFrame) -> DataFrame:
+    """One row per series: the codes of its item, store, department and category, and its known prices."""
+    series = panel.groupBy(*SERIES).agg(
+        F.max("dept_id").alias("dept_id"), F.max("cat_id").alias("cat_id"), F.count("sell_price").alias("priced_days")
+    )
+    return checkpointed(encode.category_codes(checkpointed(series), CODES)).drop("dept_id", "cat_id")
 
 
 def price_features(panel: DataFrame, keys: list[str] = SERIES) -> DataFrame:
@@ -64,7 +71,8 @@ def demand_features(panel: DataFrame, keys: list[str] = SERIES, value: str = "sa
 
 
 def vocabularies(panel: DataFrame, columns: list[str] | None = None) -> dict[str, list[str]]:
-    return {c: encode.event_vocabulary(panel, c) for c in columns or EVENT_COLUMNS if c in panel.columns}
+    present = [c for c in columns or EVENT_COLUMNS if c in panel.columns]
+    return encode.event_vocabularies(panel, present) if present else {}
 
 
 def feature_names(vocabulary: dict[str, list[str]]) -> list[str]:
@@ -86,9 +94,12 @@ def feature_table(panel: DataFrame, vocabulary: dict[str, list[str]] | None = No
     Rows with an unknown feature or target, such as the first 56 days of a series, are left out.
     """
     vocabulary = vocabularies(panel) if vocabulary is None else vocabulary
-    for code, column in CODES.items():
-        panel = encode.category_codes(panel, column, code)
-    df = demand_features(price_features(fill_prices(panel)))
+    codes = series_codes(panel)
+    # Only a series with no price at all is left open by the per-series fill.
+    unpriced = not codes.where("priced_days = 0").isEmpty()
+    df = demand_features(price_features(fill_prices(panel, median=unpriced)))
+    # The windows leave rows laid out by series, so this join moves only the one-row-per-series side.
+    df = df.join(codes.drop("priced_days"), SERIES)
     df = df.withColumns({**calendar_parts("date"), **snap_flags(df, SNAP_FLAGS)})
     for column, values in vocabulary.items():
         df = encode.onehot_topk(df, column, values)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.queries.ctes import resolve
+from larder.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,11 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = build
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return build(tune(spark), folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = resolve(ctes.split()) + sql
         return build

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import boxes, cleaning, messages, paths, stock
 from larder.functions.calendar import calendar_parts, date_shift, snap_flags
-from larder.operators.encode import category_codes, event_vocabulary, onehot_topk
+from larder.operators.encode import category_codes, event_vocabularies, onehot_topk
 from larder.queries.aggregates import rounded
 from larder.queries.registry import query
 from larder.sources import marts
@@ -169,7 +169,7 @@ def _(spark, folder):
     named = marts.table(spark, folder, "part").select(
         "p_partkey", F.when(F.col("p_name") != "red widget", F.col("p_name")).alias("p_name")
     )
-    return category_codes(named, "p_name", "name_code")
+    return category_codes(named, {"name_code": "p_name"})
 
 
 @query(
@@ -182,7 +182,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     calendar = marts.calendar(spark, folder).select("date", "event_name_1")
-    return onehot_topk(calendar, "event_name_1", event_vocabulary(calendar, "event_name_1", 2)).drop("event_name_1")
+    return onehot_topk(calendar, "event_name_1", event_vocabularies(calendar, ["event_name_1"], 2)["event_name_1"]).drop("event_name_1")
 
 
 @query(

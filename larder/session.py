@@ -15,6 +15,9 @@ PLANNER_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles methods above 8000 bytecodes, and interprets them ten times slower.  Below this
+    # limit Spark generates one method per stage; above it, it generates smaller ones per operator.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -29,6 +32,15 @@ def build_session(app: str = "larder", master: str | None = None, **settings: st
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the planner settings to a session somebody else built; settings made there are kept."""
+    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    for key, value in PLANNER_SETTINGS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
 
