@@ -7,7 +7,7 @@ skewed partitions split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,14 +59,23 @@ def build_item_dim(
     )
 
 
-def gap_fill(daily: DataFrame, keys: list[str], date: str = "date", value: str = "sale") -> DataFrame:
+def gap_fill(
+    daily: DataFrame, keys: list[str], date: str = "date", value: str = "sale", keep: list[str] | None = None
+) -> DataFrame:
     """Every day between a series' first and last date, 0 where nothing was recorded.
 
-    ``daily`` has one row per series and day, so the per-series span is a short array.
+    ``daily`` has one row per series and day.  Each row is repeated up to the day before the series' next
+    row, so one window does it: no second pass for the spans and no join of the days.  Columns in ``keep``
+    are NULL on the added days.
     """
-    span = daily.groupBy(*keys).agg(F.min(date).alias("__lo"), F.max(date).alias("__hi"))
-    days = span.select(*keys, F.explode(F.sequence("__lo", "__hi")).alias(date))
-    return days.join(daily, [*keys, date], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    upcoming = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
+    last = F.coalesce(F.date_sub(upcoming, 1), F.col(date))
+    days = daily.withColumn("__last", last).withColumn("__day", F.explode(F.sequence(F.col(date), F.col("__last"))))
+    recorded = F.col("__day") == F.col(date)
+    others = [F.when(recorded, F.col(c)).alias(c) for c in keep or []]
+    return days.select(
+        *keys, F.col("__day").alias(date), F.when(recorded, F.col(value)).otherwise(F.lit(0.0)).alias(value), *others
+    )
 
 
 def join_inventory_forecast(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataFrame:
@@ -110,6 +119,3 @@ def align_series(weights: DataFrame, errors: DataFrame, keys: list[str], error:
 def semi_top_items(df: DataFrame, top: DataFrame, key: str = "item_id") -> DataFrame:
     return df.join(top.select(key), key, "left_semi")
 
-
-def with_scalar(df: DataFrame, name: str, value: Column) -> DataFrame:
-    return df.withColumn(name, value)

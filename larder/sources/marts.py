@@ -5,9 +5,11 @@ Items are parts; the denser panel used for daily models takes brands as items an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larder.operators.joins import gap_fill
+
 FIRST_MONDAY = "1995-01-02"
 # How far a brand's number decides its category; three categories of two departments each.
 CATEGORIES = ["FOODS", "HOBBIES", "HOUSEHOLD"]
@@ -103,20 +105,22 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
         category.alias("cat_id"),
         F.col("p_retailprice").alias("list_price"),
     )
-    stores = (
-        table(spark, folder, "supplier")
-        .join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("s_suppkey").alias("l_suppkey"),
-            F.col("r_name").alias("store_id"),
-            F.substring("r_name", 1, 2).alias("state_id"),
-        )
-    )
     facts = table(spark, folder, "lineitem").select(
         "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("date"), F.col("l_quantity").alias("sale")
     )
-    return facts.join(brands, "l_partkey").join(stores, "l_suppkey").drop("l_partkey", "l_suppkey")
+    supplier = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
+    region = table(spark, folder, "region").select(
+        F.col("r_regionkey").alias("n_regionkey"),
+        F.col("r_name").alias("store_id"),
+        F.substring("r_name", 1, 2).alias("state_id"),
+    )
+    # Facts first, then one small table after the other: each side's size is known from its own files, so
+    # each can be broadcast.  Joined among themselves first, their estimated size would be the product.
+    joined = facts.join(brands, "l_partkey").join(supplier, "l_suppkey").join(nation, "s_nationkey")
+    return joined.join(region, "n_regionkey").select(
+        "item_id", "dept_id", "cat_id", "store_id", "state_id", "date", "sale", "list_price"
+    )
 
 
 def day_index(date: Column | str) -> Column:
@@ -187,15 +191,14 @@ def wide_sales(spark: SparkSession, folder: str) -> DataFrame:
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
     """Daily units per store and item without gaps, with price, events and flags: the model input."""
-    facts = lines(spark, folder)
     keys = ["store_id", "item_id", "dept_id", "cat_id", "state_id"]
-    daily = facts.groupBy(*keys, "date").agg(F.sum("sale").alias("sales"))
-    span = daily.groupBy(*keys).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    days = span.select(*keys, F.explode(F.sequence("lo", "hi")).alias("date"))
-    dense = days.join(daily, [*keys, "date"], "left").withColumn("sales", F.coalesce("sales", F.lit(0.0)))
-    priced = dense.withColumn("wm_yr_wk", price_period("date")).join(
-        prices(spark, folder), ["store_id", "item_id", "wm_yr_wk"], "left"
+    daily = lines(spark, folder).groupBy(*keys, "date").agg(
+        F.sum("sale").alias("sales"), F.max("list_price").alias("list_price")
     )
+    dense = gap_fill(daily, keys, value="sales", keep=["list_price"])
+    # Rows already lie together by series, so the price per period needs no further shuffle.
+    period = Window.partitionBy(*keys, price_period("date"))
+    priced = dense.withColumn("sell_price", F.max("list_price").over(period)).drop("list_price")
     cal = calendar(spark, folder).drop("d", "wm_yr_wk", "wday", "month", "year")
     return priced.join(cal, "date", "left")
 
