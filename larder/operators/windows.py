@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import PART, SEQ, _sorted_parts
+from larder.session import checkpointed
 
 BLOCK_ROWS = 2_000_000
 
@@ -46,7 +47,10 @@ def with_lookback(
     small_rows = df.alias("l").join(large.alias("r"), same, "left_anti")
     large_rows = df.alias("l").join(large.alias("r"), same, "left_semi")
 
-    parts = _sorted_parts(large_rows, [*keys, *order])
+    # Written once, then numbered: rows that are equal in every column still differ in this number, so even
+    # a group of copies can be split, and a lost task recomputes the same numbers from the written rows.
+    written = checkpointed(large_rows).withColumn("__row", F.monotonically_increasing_id())
+    parts = _sorted_parts(written, [*keys, *order, "__row"]).drop("__row")
     runs = parts.groupBy(*keys, PART).agg(F.count(F.lit(1)).alias("__n"), F.min(SEQ).alias("__first"))
     # Rows here: one per group and partition it touches.
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)

@@ -34,17 +34,21 @@ def inventory_projection(df: DataFrame) -> DataFrame:
 
 
 def item_sums(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataFrame:
-    """One row per item with every sum the analyses need."""
+    """One row per item with every sum the analyses need.
+
+    ``inv`` and ``item_dim`` have one row per item.  Their columns are grouping columns here: they follow
+    from the item, and as keys they keep this a hash aggregate on the layout the rows already have.
+    """
     running = inventory_projection(cumulative_demand(join_inventory_forecast(forecast, inv, item_dim)))
     reached = F.when(F.col("cum_demand") >= F.col("current_inventory"), F.col("ds"))
-    return running.groupBy("item_id").agg(
-        *[F.first(c).alias(c) for c in STOCK_COLUMNS],
+    return running.groupBy("item_id", *STOCK_COLUMNS).agg(
         F.count(F.lit(1)).alias("forecast_days"),
         F.min("ds").alias("__first_ds"),
         F.min(reached).alias("cover_until"),
         F.sum("yhat").alias("__total"),
         F.sum(F.when(F.col("__rn") <= F.col("lead_time"), F.col("yhat")).otherwise(0.0)).alias("__first_k"),
         F.avg("inventory").alias("__avg_inventory"),
+        F.avg("yhat").alias("avg_daily_demand"),
     )
 
 
@@ -166,9 +170,8 @@ def reorder_priority(insights: DataFrame) -> DataFrame:
     )
 
 
-def risk_grades(insights: DataFrame, summary: DataFrame) -> DataFrame:
-    """Grades per item from its insights and its mean daily demand."""
-    joined = insights.join(summary.select("item_id", "avg_daily_demand"), "item_id")
+def risk_grades(insights: DataFrame) -> DataFrame:
+    """Grades per item from its insights; no further pass over the forecast."""
     status, margin, days = F.col("coverage_status"), F.col("profit_margin"), F.col("coverage_days_number")
     demand = F.col("avg_daily_demand")
     # A stock that outlasts the forecast has no day count and counts as low risk.
@@ -176,7 +179,7 @@ def risk_grades(insights: DataFrame, summary: DataFrame) -> DataFrame:
         F.when(days <= 3, "Critical").when(days <= 7, "High").when(days <= 14, "Medium").otherwise("Low")
     )
     finance = F.when(margin < 10, "High").when(margin < 20, "Medium").otherwise("Low")
-    return joined.select(
+    return insights.select(
         "item_id",
         F.upper(status).alias("status"),
         F.when((status == "critical") | F.col("below_reorder_point"), "HIGH")

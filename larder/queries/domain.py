@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.plans import cleaning, forecast, insights, mart, reorder, shelf, tidy
-from larder.operators import aggregates
 from larder.queries.aggregates import rounded
 from larder.queries.ctes import forecast_cte
 from larder.queries.registry import query
@@ -190,7 +189,7 @@ def _(spark, folder):
     "advised",
 )
 def _(spark, folder):
-    found = insights.inventory_insights(*_inputs(spark, folder)).drop("coverage_days_number")
+    found = insights.inventory_insights(*_inputs(spark, folder)).drop("coverage_days_number", "avg_daily_demand")
     return rounded(found, 4, "remaining_inventory").withColumn("recommendations", F.array_join("recommendations", "; "))
 
 
@@ -225,9 +224,7 @@ def _(spark, folder):
     "advised forecast",
 )
 def _(spark, folder):
-    rows = _forecast(spark, folder)
-    found = insights.inventory_insights(rows, marts.stock(spark, folder), marts.item_dim(spark, folder))
-    return insights.risk_grades(found, aggregates.forecast_summary(rows))
+    return insights.risk_grades(insights.inventory_insights(*_inputs(spark, folder)))
 
 
 @query(

@@ -98,7 +98,9 @@ def test_insights_match_plain_python(spark):
             got = merged[key][column]
             assert got == (pytest.approx(value) if isinstance(value, float) else value), (key, column)
     assert sum(r["items"] for r in priority_counts(ranked).collect()) == len(items)
-    grades = insights.risk_grades(found, forecast_summary(forecast)).collect()
+    means = {r["item_id"]: r["avg_daily_demand"] for r in forecast_summary(forecast).collect()}
+    assert all(means[k] == pytest.approx(sum(v[0]) / len(v[0])) for k, v in items.items())
+    grades = insights.risk_grades(found).collect()
     assert len(grades) == len(items)
     assert all(g["stockout_risk"] == "Low" for g in grades if g["status"] == "SUFFICIENT")
 

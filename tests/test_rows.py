@@ -45,6 +45,12 @@ def test_hot_series_is_cut_into_blocks_without_changing_results(spark, block_row
             assert means[i] == pytest.approx(sum(frame) / len(frame))
 
 
+def test_hot_group_of_copies_is_split(spark):
+    df = spark.range(300).select(F.lit("hot").alias("k"), F.lit(1).alias("i"), F.lit(2.0).alias("v"))
+    got = W.rolling_mean_min1(df, ["k"], ["i"], "v", "m", 7, 20)
+    assert [r["m"] for r in got.collect()] == [2.0] * 300
+
+
 def test_keep_last_prefilters_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     kept = W.dedupe_keep_last(df, ["k"], [F.col("id")])
