@@ -156,9 +156,9 @@ def _(spark, folder):
     return A.derive_inv(marts.sales(spark, folder))
 
 
-@query("mean_price_by_item", "SELECT item_id, round(avg(sell_price), 6) AS sell_price FROM prices GROUP BY 1", "prices")
+@query("mean_price_by_item", "SELECT item_id, round(avg(sell_price), 10) AS sell_price FROM prices GROUP BY 1", "prices")
 def _(spark, folder):
-    return rounded(A.mean_price_by_item(marts.prices(spark, folder)), 6, "sell_price")
+    return rounded(A.mean_price_by_item(marts.prices(spark, folder)), 10, "sell_price")
 
 
 @query(

@@ -235,7 +235,7 @@ def _(spark, folder):
     recent AS (SELECT * FROM daily WHERE date >= (SELECT max(date) - 90 FROM daily)),
     top AS (SELECT item_id FROM (SELECT item_id, sum(sale) AS s FROM recent GROUP BY 1 ORDER BY s DESC, item_id LIMIT 12) WHERE item_id <> 'FOODS_2_015')
     SELECT r.item_id, CAST(r.date + CAST(DATE '2025-01-31' - (SELECT max(date) FROM recent) AS INTEGER) AS DATE) AS date, r.sale::BIGINT AS sale,
-           (2 * max(r.sale) OVER (PARTITION BY r.item_id))::BIGINT AS unit, i.description, round(p.price, 6) AS price, 3 AS lead_time, CAST(0.5 AS DOUBLE) AS holding_cost
+           (2 * max(r.sale) OVER (PARTITION BY r.item_id))::BIGINT AS unit, i.description, round(p.price, 10) AS price, 3 AS lead_time, CAST(0.5 AS DOUBLE) AS holding_cost
     FROM recent r JOIN top t ON t.item_id = r.item_id
     JOIN (SELECT DISTINCT item_id, dept_id AS description FROM lines) i ON i.item_id = r.item_id
     LEFT JOIN (SELECT item_id, avg(sell_price) AS price FROM prices GROUP BY 1) p ON p.item_id = r.item_id""",
@@ -248,7 +248,7 @@ def _(spark, folder):
         exclude=["FOODS_2_015"], last_day="2025-01-31",
     )
     joined = tables["sales"].join(tables["inv"], "item_id").join(tables["item_dim"], "item_id")
-    return rounded(joined, 6, "price").select(
+    return rounded(joined, 10, "price").select(
         "item_id", "date", "sale", "unit", "description", "price", "lead_time", "holding_cost"
     )
 

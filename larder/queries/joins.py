@@ -58,7 +58,7 @@ def _(spark, folder):
 @query(
     "build_item_dim",
     """
-    SELECT i.item_id, i.dept_id AS description, round(p.price, 6) AS price, 3 AS lead_time, CAST(0.5 AS DOUBLE) AS holding_cost
+    SELECT i.item_id, i.dept_id AS description, round(p.price, 10) AS price, 3 AS lead_time, CAST(0.5 AS DOUBLE) AS holding_cost
     FROM (SELECT DISTINCT item_id, dept_id FROM lines) i
     LEFT JOIN (SELECT item_id, avg(sell_price) AS price FROM prices GROUP BY 1) p ON p.item_id = i.item_id""",
     "lines prices",
@@ -66,7 +66,7 @@ def _(spark, folder):
 def _(spark, folder):
     names = marts.lines(spark, folder).select("item_id", F.col("dept_id").alias("description")).distinct()
     dim = joins.build_item_dim(names, marts.prices(spark, folder))
-    return dim.withColumn("price", F.round("price", 6))
+    return dim.withColumn("price", F.round("price", 10))
 
 
 @query(
