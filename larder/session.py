@@ -33,11 +33,10 @@ def build_session(app: str = "larder", master: str | None = None, **settings: st
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the planner settings to a session somebody else built; settings made there are kept."""
-    given = {key for key, _ in spark.sparkContext.getConf().getAll()}
-    for key, value in PLANNER_SETTINGS.items():
-        if key not in given:
-            spark.conf.set(key, value)
+    """Lower the method-size limit of a session somebody else built, unless they chose one themselves."""
+    key, default = "spark.sql.codegen.hugeMethodLimit", "65535"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, PLANNER_SETTINGS[key])
     return spark
 
 
