@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from larder.llm import byte_bpe, language_id, page_text, secrets, toxicity
+from larder.llm.archives import page_archive
+from larder.llm.decontaminate import decontaminate
 from larder.llm.near_duplicates import near_duplicates
+from larder.llm.quotations import link_quotations
 from larder.llm.shared import table
+from larder.llm.top_k import quantised, top_k, whole
+from larder.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +30,124 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def byte_vocabulary() -> tuple[str, str]:
+    """Path of the rank file and the pattern that cuts texts into words."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op1_byte_bpe")
+def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = byte_vocabulary()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ids = byte_bpe.encode(docs, ranks=ranks, pattern=pattern).drop("text")
+    both = byte_bpe.decode(ids, ranks=ranks)
+    # The text form of an array is its numbers between brackets, with a comma and a space between them.
+    spaced = F.replace(F.btrim(F.col("ids").cast("string"), F.lit("[]")), F.lit(","), F.lit(""))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(spaced, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op2_page_text")
+def op2_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return page_text.extract(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "least_certain"
+    )
+
+
+@query("op3_archives")
+def op3_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return page_archive(table(spark, folder, "pages"), scratch_path(spark, "archives"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.train(docs.where(~language_id.fold() & F.col("doc_id").isNotNull()))
+    rows = docs.select("doc_id", language_id.fold().alias("held_out"), "text")
+    return language_id.predict(rows, model).drop("text")
+
+
+@query(
+    "op5_quotations",
+    """
+    SELECT conv_id, turn, role,
+           trim(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+                               '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text,
+           CAST(0 AS INTEGER) AS quoted, CAST(NULL AS BIGINT) AS reply_to, turn AS thread, CAST(0 AS INTEGER) AS depth
+    FROM conversations
+    """,
+)
+def op5_quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return link_quotations(table(spark, folder, "conversations"))
+
+
 @query("op6_near_duplicates")
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(~toxicity.fold())
+    rows = docs.select("doc_id", toxicity.fold().alias("held_out"), "text")
+    return toxicity.score(rows, toxicity.train(docs, labels)).drop("text")
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query(
+    "op9_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q, v c
+        WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+    ), r AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where(whole(F.col("embedding")))
+    rows = rows.select("vec_id", quantised(F.col("embedding")).alias("vector"))
+    return top_k(rows.where("vec_id % 20 = 0"), rows, k=20)
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        number("assign"),
+        number("access"),
+        number("hex"),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )

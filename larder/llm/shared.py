@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.session import checkpointed
 
@@ -45,3 +46,8 @@ def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """Which of the 64-bit keys may be in the filter."""
     slots = keys.astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
     return (bitmap[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
+    """The schema of a table with further columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in fields)])
