@@ -14,7 +14,15 @@ _LONG = (
 _MID = "It took the crew three days to reach the strait, because the wind had turned. They waited, slept and mended nets."
 _SHORT = "Then it rained."
 _NAV = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "News", "Sport", "Weather", "Contact"))
-_PARAS = f"<p>{_LONG}</p><p>{_SHORT}</p><p>{_MID}</p><p>Indeed.</p>"
+_LINES = (
+    "The nets were dry by evening.",
+    "He counted the boats once more, and then again.",
+    "Nobody answered him; the wind was loud that day",
+    "What was left of the pier stood in the water, black and bent.",
+    "They sold salt, rope and dried fish from open carts",
+)
+_LINES_TEXT = "".join(f"<p>{x}</p>" for x in _LINES)
+_PARAS = f"<p>{_LONG}</p><p>{_SHORT}</p><p>{_LINES[1]}</p><p>{_MID}</p><p>{_LINES[2]}</p><p>Indeed.</p>"
 _MENU = f"<nav><ul>{_NAV}</ul></nav>"
 _FOOT = "<footer>&copy; 2024 Harbour Press. All rights reserved. <a href='/i'>Imprint</a></footer>"
 _FOOT_TEXT = "<footer>&copy; press.example &middot; The keeper wrote this line, and it stands under every page. So it does.</footer>"
@@ -30,7 +38,7 @@ _FORM = '<form action="/s"><label>Mail</label><input name="m"><p>Subscribe to ou
 
 LABELLED_PAGES = [
     f"<html><body>{_MENU}{_AD}<article data-keep><h1>Spring at the harbour</h1>{_PARAS}</article>{_FOOT}</body></html>",
-    f"<html><body>{_MENU}{_AD_LONG}<article data-keep><h1>Forty boats</h1><p><b>{_LONG}<br><p>{_SHORT}</p></article>{_FOOT_TEXT}",
+    f"<html><head><title>Forty boats</title></head><body>{_MENU}{_AD_LONG}<article data-keep><h1>Forty boats</h1><p><b>{_LONG}<br><p>{_SHORT}</p>{_LINES_TEXT}</article>{_FOOT_TEXT}",
     f"<html><body><header><h1>Harbour Press</h1>{_MENU}</header><main data-keep><h1>The strait</h1>{_PARAS}"
     f"<ul><li>Nets</li><li>Ropes and sails.</li></ul></main>{_ASIDE}{_FOOT}</body></html>",
     f'<html><body>{_NOTICE}<div id="header">Harbour Press</div><div class="menu"><ul>{_NAV}</ul></div>'
@@ -43,8 +51,10 @@ LABELLED_PAGES = [
     f"</article>{_COMMENTS}{_ASIDE}</main>{_FORM}{_FOOT_TEXT}</body></html>",
     f"<html><body><div><div><ul>{_NAV}</ul></div><div data-keep><h1>Hills</h1>{_PARAS}<pre>net = rope * 2</pre></div>"
     f"<div><a href='/p'>Previous</a> <a href='/n'>Next</a></div></div></body></html>",
-    f"<html><body data-keep><h1>Notes</h1><p>{_LONG}</p><p>{_MID}</p></body></html>",
-    f"<div data-keep><p>{_MID}</p><p>{_SHORT}</p></div>",
+    f"<html><body data-keep><h1>Notes</h1><p>{_LONG}</p>{_LINES_TEXT}<p>{_MID}</p></body></html>",
+    f"<div data-keep><p>{_MID}</p><p>{_SHORT}</p>{_LINES_TEXT}</div>",
+    f"<html><head></head><body>{_MENU}{_AD}<article data-keep><h1>{_LINES[1]}</h1>{_LINES_TEXT}</article>{_FOOT_TEXT}</body></html>",
+    f"<html><head></head><body>{_MENU}{_AD}<article data-keep><h1>Salt</h1><p>{_LINES[4]}</p></article>{_FOOT}</body></html>",
     f"<html><body><section><article data-keep><h2>Salt</h2><section><h3>Old ways</h3><p>{_LONG}</p></section><table><tr><th>Year</th>"
     f"<th>Boats</th></tr><tr><td>1902</td><td>Forty</td></tr></table><ol><li>{_MID}</li><li>Dry them.</li></ol><dl><dt>Keeper</dt>"
     f"<dd>Who minds the light.</dd></dl></article></section><aside class='sidebar'>{_MID}</aside><dialog><p>Sign in to read on.</p></dialog>"

@@ -93,7 +93,7 @@ class Node:
 
 def _kind(tag: str, attributes: str) -> tuple[str, dict[str, str]]:
     values = {}
-    if attributes and "=" in attributes or "hidden" in attributes:
+    if attributes and not attributes.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             values.setdefault(name.lower(), html.unescape(a or b or c))
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
@@ -242,8 +242,11 @@ def labels_of(nodes: list[Node]) -> np.ndarray:
     return out
 
 
-def train(pages: list[str], smoothing: float = 0.3) -> Model:
-    """Counts over pages whose content is marked with data-keep, and what is not content within it with data-drop."""
+def train(pages: list[str], smoothing: float = 0.02, trust: float = 0.3) -> Model:
+    """Counts over pages whose content is marked with data-keep, and what is not content within it with data-drop.
+
+    The observations of an element depend on one another, so each counts only by ``trust``.
+    """
     parsed = [parse(p) for p in pages]
     kinds = {k: i for i, k in enumerate(["other", *sorted({n.kind for nodes in parsed for n in nodes} - {"other"})])}
     child = np.full((len(kinds), 2, 2), smoothing)
@@ -260,12 +263,12 @@ def train(pages: list[str], smoothing: float = 0.3) -> Model:
             if node.chars:
                 for table, value in zip(seen, observe(node), strict=True):
                     table[value, labels[i]] += 1
-    # An element that is not content holds none: its kinds cannot be told apart by rare exceptions.
-    child[:, 0, 1] = np.minimum(child[:, 0, 1], 0.02)
+    # An element that is not content holds none, whatever its kind; few kinds are seen often enough to tell.
+    child[:, 0, 0] += 2
     return Model(
         kinds,
         np.log(child / child.sum(axis=2, keepdims=True)),
-        [np.log(t / t.sum(axis=0)) for t in seen],
+        [trust * np.log(t / t.sum(axis=0)) for t in seen],
         np.log(root / root.sum()),
     )
 
