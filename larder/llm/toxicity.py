@@ -86,11 +86,11 @@ def train(
     label: str = "toxic",
     max_rows: int = 12_000,
     min_rows: int = 3,
-    alpha: float = 0.1,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 2.0,
-    l2: float = 1.0,
-    epochs: int = 3,
+    l1: float = 8.0,
+    l2: float = 0.0,
+    epochs: int = 5,
 ) -> dict[int, float] | None:
     """Non-zero weights by feature, or None where nothing is labelled.
 
