@@ -21,6 +21,12 @@ def stored(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that was written for a later step and has been read by it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % divisor
