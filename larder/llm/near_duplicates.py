@@ -31,7 +31,7 @@ from larder.llm.shared import hash_bitmap, in_bitmap, stored
 
 MISS = 1e-7
 SMALL_BUCKET = 8  # up to here the pairs of a bucket are lines of a join; beyond, blocks
-BLOCK_ROWS, BLOCK_SHINGLES = 192, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
 
 _A, _B, _C = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F)
 
