@@ -42,12 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten consecutive words, and no whole shorter item, of the benchmark.
 
-    Documents without an id are judged like all others.
+    Rows are told apart by a hash of id and text, so documents without an id are judged one by one.
     """
-    docs = docs.select(*COLUMNS)
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    leaked = found.groupBy("doc_id").agg(F.lit(True).alias("leaked"))
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), doc_id="row_key")
+    leaked = found.where("contaminated").select(F.col("doc_id").alias("row_key")).distinct()
+    return docs.join(leaked, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
