@@ -221,6 +221,19 @@ def observe(node: Node) -> tuple[int, int, int]:
     return length, links, min(ends, 2)
 
 
+# Kinds that say nothing by themselves.  As the only thing in an element without text, one is just another wrapper.
+NEUTRAL = frozenset(("div", "section", "other"))
+WRAPPED = np.log(np.array([[0.9995, 0.0005], [0.0005, 0.9995]]))
+
+
+def wrappers(nodes: list[Node]) -> list[bool]:
+    """Which nodes are neutral and alone in a parent without text, and so are content exactly if the parent is."""
+    children = [0] * len(nodes)
+    for node in nodes[1:]:
+        children[node.parent] += 1
+    return [i > 0 and n.kind in NEUTRAL and children[n.parent] == 1 and not nodes[n.parent].chars for i, n in enumerate(nodes)]
+
+
 @dataclass
 class Model:
     """Logarithms: child label given parent label by kind, and each observation given the label."""
@@ -254,11 +267,12 @@ def train(pages: list[str], smoothing: float = 0.02, trust: float = 0.3) -> Mode
     root = np.full(2, smoothing)
     for nodes in parsed:
         labels = labels_of(nodes)
+        alone = wrappers(nodes)
         for i, node in enumerate(nodes):
-            if i:
+            if i and not alone[i]:
                 child[kinds[node.kind], labels[node.parent], labels[i]] += 1
                 child[0, labels[node.parent], labels[i]] += 0.05  # kinds that no page shows
-            else:
+            elif not i:
                 root[labels[i]] += 1
             if node.chars:
                 for table, value in zip(seen, observe(node), strict=True):
@@ -280,8 +294,10 @@ def marginals(model: Model, pages: list[list[Node]]) -> list[np.ndarray]:
     total = int(first[-1])
     parent, depth, kind = np.zeros((3, total), np.int64)
     own = np.zeros((total, 2))
+    alone = np.zeros(total, bool)
     i = 0
     for nodes, start in zip(pages, first, strict=False):
+        alone[start : start + len(nodes)] = wrappers(nodes)
         for node in nodes:
             parent[i], depth[i], kind[i] = node.parent + start, node.depth, model.kinds.get(node.kind, 0)
             if node.chars:
@@ -292,6 +308,7 @@ def marginals(model: Model, pages: list[list[Node]]) -> list[np.ndarray]:
     cuts = np.searchsorted(depth[order], np.arange(depth.max(initial=0) + 2))
     levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     table = model.child[kind]
+    table[alone] = WRAPPED
     own[depth == 0] += model.root
     below = own.copy()
     message = np.zeros((total, 2))

@@ -88,7 +88,30 @@ def op5_quotations(spark: SparkSession, folder: str) -> DataFrame:
     return link_quotations(table(spark, folder, "conversations"))
 
 
-@query("op6_near_duplicates")
+# Lower-cases A-Z only.
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op6_near_duplicates",
+    rf"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all({FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : CASE WHEN len(w) < 3 THEN len(w) ELSE i + 2 END], ' ') AS shingle
+        FROM w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON b.shingle = a.shingle AND b.doc_id <> a.doc_id
+        JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+    ), reach AS (
+        SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.node
+    ), roots AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN roots USING (doc_id)
+    """,
+)
 def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -101,7 +124,33 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(rows, toxicity.train(docs, labels)).drop("text")
 
 
-@query("op8_decontaminate")
+ALNUM_WORDS = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op8_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, {ALNUM_WORDS} AS w FROM documents), b AS (SELECT item_id, {ALNUM_WORDS} AS w FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+        FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0
+    ), sizes AS (SELECT DISTINCT k FROM windows),
+    found AS (
+        SELECT o.doc_id, o.i, o.k, v.item_id
+        FROM (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
+              FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)) o
+        JOIN windows v ON v.k = o.k AND v.g = o.g
+    ), hits AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id
+    ), items AS (
+        SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS names
+        FROM found GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -118,10 +167,10 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     "op9_top_k",
     """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
         FROM embeddings
         WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
     ), s AS (
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
         FROM v q, v c
