@@ -25,27 +25,8 @@ UNIT_NAMES = {
 QUANTITY_RANGE = (0, 1_000_000)
 PRICE_RANGE = (0.0, 1_000_000.0)
 
-# Accepted date layouts by the shape of the text; where day and month could be swapped, month comes first.
-# A layout is only tried on text of its shape, because a failed parse is far dearer than a failed match.
-DATE_LAYOUTS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", ["yyyy-M-d H:m"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d H:m:s"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", ["yyyy-M-d'T'H:m:s"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$", ["yyyy-M-d[ ]['T']H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$", ["M/d/yyyy H:m", "d/M/yyyy H:m"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$", ["M/d/yyyy H:m:s", "d/M/yyyy H:m:s"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
-    (r"^\d{8}$", ["yyyyMMdd"]),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
-    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
-]
+# Month names by their first three letters.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def _col(value: Column | str) -> Column:
@@ -53,8 +34,8 @@ def _col(value: Column | str) -> Column:
 
 
 CONTROLS = r"[\x00-\x1F\x7F]"
-# Text that cleaning would change: a control character, outer or repeated whitespace, or a non-plain space.
-UNCLEAN = r"(?U)[\x00-\x1F\x7F]|^\s|\s$|\s\s|[\s&&[^ ]]"
+# Text that cleaning leaves as it is: printable ASCII words with single spaces between them.
+PLAIN_WORDS = r"^[!-~]+(?: [!-~]+)*\z"
 
 
 def clean_text(value: Column | str) -> Column:
@@ -65,7 +46,7 @@ def clean_text(value: Column | str) -> Column:
     """
     c = _col(value)
     rewritten = F.trim(F.regexp_replace(F.regexp_replace(c, CONTROLS, ""), r"(?U)\s+", " "))
-    return F.when(c.rlike(UNCLEAN), rewritten).otherwise(c)
+    return F.when(c.rlike(PLAIN_WORDS), c).otherwise(rewritten)
 
 
 def is_missing_text(value: Column | str) -> Column:
@@ -95,9 +76,9 @@ PLAIN_NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 
 
 def _number(value: Column | str) -> Column:
-    c = _col(value).cast("string")
-    text = F.regexp_replace(F.trim(c), ",", "")
-    return F.when(~is_missing_text(c) & text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    # None of the missing texts is a plain number.  Only text with a letter in it can be cast without being one.
+    text = F.replace(F.trim(_col(value).cast("string")), F.lit(","), F.lit(""))
+    return F.when(~text.rlike("[A-Za-z]") | text.rlike(PLAIN_NUMBER), text.try_cast("double"))
 
 
 def coerce_float(value: Column | str) -> Column:
@@ -108,7 +89,8 @@ def coerce_float(value: Column | str) -> Column:
 def coerce_int(value: Column | str) -> Column:
     """As coerce_float, cut towards zero; values a long cannot hold become NULL."""
     n = _number(value)
-    return F.when(F.abs(n) < F.lit(9.2e18), F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)))
+    fits = (n >= F.lit(-(2.0**63))) & (n < F.lit(2.0**63))
+    return F.when(fits, F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)))
 
 
 def coerce_or_zero(value: Column | str, dtype: str = "string") -> Column:
@@ -128,13 +110,58 @@ def coerce_or_zero(value: Column | str, dtype: str = "string") -> Column:
 
 
 def parse_date_any(value: Column | str) -> Column:
-    """Timestamp of the first listed layout that fits; otherwise NULL."""
-    c = F.trim(_col(value).cast("string"))
-    parsed = F.when(F.lit(False), F.lit(None).cast("timestamp"))
-    for shape, layouts in DATE_LAYOUTS:
-        attempts = [F.try_to_timestamp(c, F.lit(layout)) for layout in layouts]
-        parsed = parsed.when(c.rlike(shape), attempts[0] if len(attempts) == 1 else F.coalesce(*attempts))
-    return parsed
+    """Timestamp of a date as people write it, otherwise NULL.
+
+    Year first (2024-01-05, 2024/1/5, 20240105), month or day first with slashes, dots or dashes (month first where
+    both fit; two-digit years are 20xx), and month names (5 Jan 2024, 5-Jan-2024, Jan 5, 2024, Friday, January 5th
+    2024).  A time of day may follow, with seconds and fractions, AM or PM, and a zone (Z, +02:00, UTC).
+    """
+    c = F.btrim(_col(value).cast("string"))
+    first = F.substring(c, 5, 1)
+    # One cheap look at the text decides which family of rewritings is tried; the cast knows year-first text and zones.
+    return (
+        F.when(c.rlike(r"^\d{4}-\d"), _cast_time(c))
+        .when(c.rlike(r"^\d{8}$"), _cast_time(F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)$", "$1-$2-$3")))
+        .when((first == "/") & c.rlike(r"^\d{4}/\d"), _cast_time(F.regexp_replace(c, r"^(\d{4})/(\d{1,2})/", "$1-$2-")))
+        .when(c.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d"), _numeric_date(c))
+        .when(c.rlike(r"[A-Za-z]{3}"), _named_date(c))
+    )
+
+
+def _cast_time(c: Column) -> Column:
+    """Year-first text to a timestamp; hours of AM and PM are turned into 24 hours first."""
+    half = r"(?i)^(\S+[ T])(\d{1,2})(:\d\d(?::\d\d(?:\.\d+)?)?|) ?([ap])\.?m\.?(.*)$"
+    hour = F.regexp_extract(c, half, 2).cast("int")
+    afternoon = F.lower(F.regexp_extract(c, half, 4)) == "p"
+    minutes = F.regexp_extract(c, half, 3)
+    day = F.when(hour.between(1, 12), hour % 12 + F.when(afternoon, 12).otherwise(0))
+    full = F.concat(
+        F.regexp_extract(c, half, 1), day.cast("string"), F.when(minutes == "", ":00").otherwise(minutes), F.regexp_extract(c, half, 5)
+    )
+    return F.when(c.rlike(r"(?i)[ap]\.?m\b"), full.try_cast("timestamp")).otherwise(c.try_cast("timestamp"))
+
+
+def _numeric_date(c: Column) -> Column:
+    """Month first, and if that is no date, day first."""
+    shape = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?!\d)"
+    # A group number swallows the digits behind it, so the century goes in with a mark in between.
+    c = F.replace(F.regexp_replace(c, r"^(\d{1,2}[/.-]\d{1,2}[/.-])(\d{2})(?!\d)", "$1#$2"), F.lit("#"), F.lit("20"))
+    return F.coalesce(
+        _cast_time(F.regexp_replace(c, shape, "$3-$1-$2")), _cast_time(F.regexp_replace(c, shape, "$3-$2-$1"))
+    )
+
+
+def _named_date(c: Column) -> Column:
+    """Day and month name in either order, the weekday left out, then the year."""
+    shape = (
+        r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]? +)?(?:(\d{1,2})(?:st|nd|rd|th)?[ -])?([a-z]{3})[a-z]*\.?[ -]"
+        r"(?:(\d{1,2})(?:st|nd|rd|th)?,? )?(\d{4})(?!\d),?(.*)$"
+    )
+    part = lambda k: F.regexp_extract(c, shape, k)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2)))
+    day = F.concat(part(1), part(3))  # one of them is empty
+    fits = c.rlike(shape) & (month > 0) & ((part(1) == "") != (part(3) == ""))
+    return F.when(fits, _cast_time(F.concat(part(4), F.lit("-"), month.cast("string"), F.lit("-"), day, part(5))))
 
 
 def out_of_bounds(value: Column | str, low: float, high: float) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
-LONGEST_SIDE = 1024
+ROWS_PER_FRAME = 50_000
 COLUMNS = ["image_path", "error", "ty", "tx", "n", "s", "s2"]
 
 # Workers get these functions with the task instead of importing this package.
@@ -50,8 +50,8 @@ def _axis_weights(size: int, target: int) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
-def shrink(gray: np.ndarray, longest: int | None = LONGEST_SIDE) -> np.ndarray:
-    """Scale down so that no side exceeds ``longest``."""
+def shrink(gray: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Scale down so that no side exceeds ``longest``; without it the picture stays as it is."""
     if not longest or max(gray.shape) <= longest:
         return gray
     scale = max(gray.shape) / longest
@@ -87,11 +87,17 @@ def tile_rows_of(
     """Batch function from (path, content) to tile rows; an unreadable file gives one row with its error."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    yield _tile_rows(path, shrink(decoder(bytes(content)), longest), side)
+                    held.append(_tile_rows(path, shrink(decoder(bytes(content)), longest), side))
                 except Exception as problem:
-                    yield pd.DataFrame({"image_path": [path], "error": [f"Error: {problem}"]}).reindex(columns=COLUMNS)
+                    held.append(pd.DataFrame({"image_path": [path], "error": [f"Error: {problem}"]}).reindex(columns=COLUMNS))
+                if sum(map(len, held)) >= ROWS_PER_FRAME:
+                    yield pd.concat(held, ignore_index=True)
+                    held = []
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
     return decode

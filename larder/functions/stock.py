@@ -16,9 +16,9 @@ def days_of_cover(on_hand: Column, daily_sales: Column) -> Column:
     )
 
 
-def restock_flag(shelf: Column, backroom: Column, shelf_low: float = SHELF_LOW) -> Column:
-    """The shelf is low and the backroom has something to put on it."""
-    return (shelf < F.lit(shelf_low)) & (backroom > 0)
+def restock_flag(shelf: Column, stockroom: Column, shelf_low: float = SHELF_LOW) -> Column:
+    """The shelf is low and the stockroom has something to put on it."""
+    return (shelf < F.lit(shelf_low)) & (stockroom > 0)
 
 
 def clip_nonneg(value: Column) -> Column:

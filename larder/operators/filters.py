@@ -39,7 +39,7 @@ def lookup_sku(df: DataFrame, sku: str) -> DataFrame:
             "sku",
             F.floor("on_hand").alias("on_hand"),
             F.floor("shelf_units").alias("shelf"),
-            F.floor("backroom_units").alias("backroom"),
+            F.floor("stockroom_units").alias("stockroom"),
             cover.alias("days_cover"),
             F.col("lead_time_days").cast("double").alias("lead_time_days"),
         )

@@ -15,19 +15,21 @@ def unique_side(df: DataFrame, keys: list[str]) -> DataFrame:
     """The lookup side of a many-to-one join, failing the job if a key occurs twice.
 
     The check is part of the plan: rows are grouped on the join keys, which is also the layout the join
-    needs, so it adds no shuffle to a shuffled join and no separate job.
+    needs, so it adds no shuffle to a shuffled join and no separate job.  It stands in a key column, which the
+    join reads whatever columns are used afterwards, so the optimizer cannot prune it.  Rows without a key match
+    nothing and are not checked.
     """
     others = [c for c in df.columns if c not in keys]
     grouped = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in others]
     )
     message = F.concat(F.lit("join is not many-to-one, repeated key: "), F.to_json(F.struct(*keys)))
-    first_other = others[0] if others else None
-    if first_other is None:
-        return grouped.drop("__n")
-    kind = df.schema[first_other].dataType
-    guard = F.when(F.col("__n") > 1, F.raise_error(message).cast(kind)).otherwise(F.col(first_other))
-    return grouped.withColumn(first_other, guard).drop("__n").select(*df.columns)
+    known = F.lit(True)
+    for key in keys:
+        known &= F.col(key).isNotNull()
+    kind = df.schema[keys[0]].dataType
+    guard = F.when((F.col("__n") > 1) & known, F.raise_error(message).cast(kind)).otherwise(F.col(keys[0]))
+    return grouped.withColumn(keys[0], guard).select(*df.columns)
 
 
 def join_calendar(facts: DataFrame, calendar: DataFrame, key: str = "d") -> DataFrame:
@@ -79,10 +81,13 @@ def gap_fill(
 
 
 def join_inventory_forecast(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataFrame:
-    """Forecast rows of items that have both a stock row and an item row."""
+    """Forecast rows of items that have both a stock row and an item row.
+
+    An item with two stock or item rows is an error: it would multiply its demand.
+    """
     stock = inv.select("item_id", F.floor("unit").cast("long").alias("current_inventory"))
     items = item_dim.select("item_id", "description", "price", "lead_time", "holding_cost")
-    return forecast.join(stock, "item_id").join(items, "item_id")
+    return forecast.join(unique_side(stock, ["item_id"]), "item_id").join(unique_side(items, ["item_id"]), "item_id")
 
 
 def unmatched_items(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataFrame:

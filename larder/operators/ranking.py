@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,15 +19,9 @@ def top_sellers(sales: DataFrame, n: int = 12) -> DataFrame:
     return top_rows(totals, "sales", n, "item_id")
 
 
-def chart_top10(df: DataFrame, category: str, value: str, all_up_to: int = 20, n: int = 10) -> DataFrame:
-    """Bars for a chart: every row while there are few, else the ``n`` largest values."""
-    head = df.select(category, value).orderBy(F.desc(value), category).limit(all_up_to + 1)
-    # At most ``all_up_to`` + 1 rows from here on.
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(value), category)
-    ranked = head.withColumns(
-        {"__rn": F.row_number().over(w), "__n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))}
-    )
-    return ranked.where((F.col("__n") <= all_up_to) | (F.col("__rn") <= n)).drop("__rn", "__n")
+def chart_top10(df: DataFrame, category: str, value: str, n: int = 10) -> DataFrame:
+    """Bars for a chart: the ``n`` largest values.  Whether a chart has room for all is the caller's choice."""
+    return top_rows(df.select(category, value), value, n, category)
 
 
 def urgency_sort(df: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Features of daily series run as plain windows: after the tidy job a series has one row per day, so a window
 partition is never longer than the calendar.  Raw uploads give no such promise, and one product may own a
-third of all rows; ``with_lookback`` therefore measures group sizes and cuts oversized groups into blocks
-that carry just the rows their frames look back on.
+third of all rows; ``with_lookback`` therefore cuts every group into blocks that carry just the rows their
+frames look back on.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import PART, SEQ, _sorted_parts
-from larder.session import checkpointed
 
-BLOCK_ROWS = 2_000_000
+BLOCK_ROWS = 100_000
 
 
 def series_window(keys: list[str], order: list[Column | str]) -> WindowSpec:
@@ -33,24 +32,18 @@ def with_lookback(
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``lookback`` rows back, whatever the group sizes.
 
-    One counting pass finds groups above ``block_rows``.  Without any, this is a single ordinary window.
-    Otherwise only the large groups take the second way: rows are range-partitioned on (keys, order) and
-    numbered within their group, each run of ``block_rows`` becomes a block, and the last ``lookback`` rows
-    of a block are lent to the next one.  Every row is computed exactly once, from exactly its own frame.
+    Rows are range-partitioned on (keys, order) and numbered within their group, each run of ``block_rows``
+    becomes a block, and the last ``lookback`` rows of a block are lent to the next one.  Every row is computed
+    exactly once, from exactly its own frame, and in the same way for groups of every size.
+
+    ``order`` should tell the rows of a group apart.  Rows that tie in it follow one another by their other
+    columns, so that the result does not depend on the shuffle.
     """
-    w = series_window(keys, order)
-    large = df.groupBy(*keys).count().where(F.col("count") > block_rows).select(*keys)
-    if large.isEmpty():
-        return df.withColumns(columns(w))
-    # At most rows / block_rows keys are large.
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    small_rows = df.alias("l").join(large.alias("r"), same, "left_anti")
-    large_rows = df.alias("l").join(large.alias("r"), same, "left_semi")
-
-    # Written once, then numbered: rows that are equal in every column still differ in this number, so even
-    # a group of copies can be split, and a lost task recomputes the same numbers from the written rows.
-    written = checkpointed(large_rows).withColumn("__row", F.monotonically_increasing_id())
-    parts = _sorted_parts(written, [*keys, *order, "__row"]).drop("__row")
+    if not order:
+        raise ValueError("rows of a series need an order")
+    block_rows = max(block_rows, lookback + 1)
+    ties = [f.name for f in df.schema.fields if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
+    parts = _sorted_parts(df, [*keys, *order, *ties])
     runs = parts.groupBy(*keys, PART).agg(F.count(F.lit(1)).alias("__n"), F.min(SEQ).alias("__first"))
     # Rows here: one per group and partition it touches.
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,17 +54,11 @@ def with_lookback(
 
     block = F.floor(F.col("__pos") / block_rows)
     lent = F.col("__pos") % block_rows >= block_rows - lookback
-    copies = F.when(
-        lent,
-        F.array(
-            F.struct(block.alias("__block"), F.lit(True).alias("__own")),
-            F.struct((block + 1).alias("__block"), F.lit(False).alias("__own")),
-        ),
-    ).otherwise(F.array(F.struct(block.alias("__block"), F.lit(True).alias("__own"))))
-    blocks = numbered.select("*", F.inline(copies))
+    own = F.struct(block.alias("__block"), F.lit(True).alias("__own"))
+    next_one = F.struct((block + 1).alias("__block"), F.lit(False).alias("__own"))
+    blocks = numbered.select("*", F.inline(F.when(lent, F.array(own, next_one)).otherwise(F.array(own))))
     inside = Window.partitionBy(*keys, "__block").orderBy("__pos")
-    done = blocks.withColumns(columns(inside)).where("__own").drop("__pos", "__block", "__own")
-    return small_rows.withColumns(columns(w)).unionByName(done)
+    return blocks.withColumns(columns(inside)).where("__own").drop("__pos", "__block", "__own")
 
 
 def rolling_mean_min1(

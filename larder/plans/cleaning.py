@@ -24,7 +24,7 @@ def derive_missing(df: DataFrame, tiebreak: list[Column] | None = None) -> DataF
 
     Daily sales come from a 7-row mean of ``sold_qty`` per sku, ordered by ``date`` or by the number in
     ``d``; without a sku from the overall mean; without ``sold_qty`` they are 0.  ``tiebreak`` orders rows
-    of one sku and day.
+    of one sku and day; it is required where there is neither ``date`` nor ``d``, because a table has no row order.
     """
     missing = [c for c in headers.CANONICAL if c not in df.columns]
     added: dict[str, Column] = {}
@@ -32,7 +32,7 @@ def derive_missing(df: DataFrame, tiebreak: list[Column] | None = None) -> DataF
         df = df.withColumn("sku", F.trim(F.col("sku").cast("string")))
         if "product_name" in missing:
             added["product_name"] = F.col("sku")
-    for units in ("backroom_units", "shelf_units"):
+    for units in ("stockroom_units", "shelf_units"):
         if units in missing:
             added[units] = F.lit(0.0)
     if "lead_time_days" in missing:
@@ -40,7 +40,7 @@ def derive_missing(df: DataFrame, tiebreak: list[Column] | None = None) -> DataF
     df = df.withColumns(added) if added else df
     if "on_hand" in missing:
         parts = [
-            F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in ("backroom_units", "shelf_units")
+            F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in ("stockroom_units", "shelf_units")
         ]
         df = df.withColumn("on_hand", parts[0] + parts[1])
     if "avg_daily_sales" in missing:
@@ -62,7 +62,9 @@ def _derive_daily_sales(df: DataFrame, tiebreak: list[Column]) -> DataFrame:
     elif "d" in df.columns:
         order = [day_number("d").asc_nulls_last(), F.col("d")]
     order += tiebreak
-    return rolling_mean_min1(df, ["sku"], order or [F.col("sold_qty")], "sold_qty", "avg_daily_sales", ROLLING_ROWS)
+    if not order:
+        raise ValueError("daily sales need a row order: a date or d column, or tiebreak")
+    return rolling_mean_min1(df, ["sku"], order, "sold_qty", "avg_daily_sales", ROLLING_ROWS)
 
 
 def clean_inventory(
@@ -89,7 +91,7 @@ def clean_inventory(
     )
     added = {
         "days_of_cover": stock.days_of_cover(F.col("on_hand"), F.col("avg_daily_sales")),
-        "restock_needed": stock.restock_flag(F.col("shelf_units"), F.col("backroom_units"), shelf_low),
+        "restock_needed": stock.restock_flag(F.col("shelf_units"), F.col("stockroom_units"), shelf_low),
     }
     if add_safety_stock and "safety_stock" not in df.columns:
         added["safety_stock"] = F.lit(float(safety_stock))

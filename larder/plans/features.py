@@ -93,6 +93,8 @@ def feature_table(panel: DataFrame, vocabulary: dict[str, list[str]] | None = No
 
     Rows with an unknown feature or target, such as the first 56 days of a series, are left out.
     """
+    # Written once: vocabularies, codes, medians and the windows all start from these rows.
+    panel = checkpointed(panel)
     vocabulary = vocabularies(panel) if vocabulary is None else vocabulary
     codes = series_codes(panel)
     # Only a series with no price at all is left open by the per-series fill.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import stock
 
 PLAN_COLUMNS = [
-    "sku", "product_name", "on_hand", "backroom_units", "shelf_units", "avg_daily_sales", "lead_time_days",
+    "sku", "product_name", "on_hand", "stockroom_units", "shelf_units", "avg_daily_sales", "lead_time_days",
     "safety_stock", "days_of_cover", "reorder_qty", "reorder_flag",
 ]
 TINY = 0.0001

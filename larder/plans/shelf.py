@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.paths import sku_from_path
-from larder.functions.pictures import LONGEST_SIDE, decode_gray, tile_rows_of
+from larder.functions.pictures import decode_gray, tile_rows_of
 
 TILE, SMALLEST_TILE = 48, 8
 UNIFORM_BELOW = 800.0
@@ -97,10 +97,14 @@ def shelf_gap_local(pixels: DataFrame, tile: int = TILE, uniform_below: float =
 def image_tiles(
     files: DataFrame,
     tile: int = TILE,
-    longest: int | None = LONGEST_SIDE,
+    longest: int | None = None,
     decoder: Callable[[bytes], np.ndarray] = decode_gray,
 ) -> DataFrame:
-    """Tile sums of image files (path, content); an unreadable file gives one row with its error."""
+    """Tile sums of image files (path, content); an unreadable file gives one row with its error.
+
+    Pictures keep their size unless ``longest`` bounds their longer side.  Each comes to Python on its own, so a worker
+    holds one picture at a time, however many files there are.
+    """
     side = max(SMALLEST_TILE, int(tile))
 
     return files.select("path", "content").mapInPandas(tile_rows_of(decoder, longest, side), TILE_SCHEMA)
@@ -113,7 +117,7 @@ def gap_batch(
     tile: int = TILE,
     uniform_below: float = UNIFORM_BELOW,
     reference: float = VARIANCE_REFERENCE,
-    longest: int | None = LONGEST_SIDE,
+    longest: int | None = None,
     decoder: Callable[[bytes], np.ndarray] = decode_gray,
     fail_on_no_sku: bool = False,
 ) -> DataFrame:

@@ -52,18 +52,22 @@ def tidy_prices(prices: DataFrame) -> DataFrame:
     return kept.withColumns(texts)
 
 
-def long_sales(wide: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def long_sales(wide: DataFrame, order: list[Column]) -> DataFrame:
     """Cleaned long sales, one row per store, item and day.
 
     Repeated (store, item) rows are settled before the unpivot: the day columns of one wide row go together,
     so keeping the last wide row keeps the same cells as keeping the last long row per day, on a table
-    smaller by the number of days.  ``order`` gives the row order; without it no rows are dropped.
+    smaller by the number of days.  ``order`` gives the row order, which a table does not have by itself.  A table
+    with neither key column keeps all its rows.
     """
+    if not order:
+        raise ValueError("keeping the last row per key needs a row order")
     wide = headers.snake_headers(wide)
     ids = [c for c in ID_COLUMNS if c in wide.columns]
     wide = wide.withColumns({c: C.clean_text(F.col(c).cast("string")) for c in ids})
-    if order:
-        wide = dedupe_keep_last(wide, [k for k in ("store_id", "item_id") if k in ids], order)
+    keys = [k for k in ("store_id", "item_id") if k in ids]
+    if keys:
+        wide = dedupe_keep_last(wide, keys, order)
     long = headers.wide_to_long(wide, ids)
     if long.schema["sold_qty"].dataType.typeName() == "string":
         return long.withColumn("sold_qty", C.coerce_int("sold_qty"))
@@ -83,7 +87,7 @@ def mark_and_bound(df: DataFrame) -> DataFrame:
 
 
 def m5_tidy(
-    wide: DataFrame, calendar: DataFrame, prices: DataFrame, order: list[Column] | None = None
+    wide: DataFrame, calendar: DataFrame, prices: DataFrame, order: list[Column]
 ) -> DataFrame:
     """The tidy table: unpivot, calendar, prices, range rules, revenue, column order."""
     out = join_calendar(long_sales(wide, order), tidy_calendar(calendar))

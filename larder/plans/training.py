@@ -7,6 +7,7 @@ features.  What is kept is the split, the features, the metrics and the recursio
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
@@ -97,8 +98,14 @@ def _history_features() -> dict:
     return out
 
 
+def model_step(model: Model, names: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """The step of a fitted model: adds ``y_pred`` to rows that have all its features."""
+    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+    return lambda rows: model.transform(assembler.transform(rows))
+
+
 def forecast_recursive_28(
-    model: Model,
+    step: Callable[[DataFrame], DataFrame],
     features: DataFrame,
     names: list[str],
     vocabulary: dict[str, list[str]],
@@ -107,6 +114,8 @@ def forecast_recursive_28(
 ) -> DataFrame:
     """Day-by-day forecast in which each prediction becomes history for the next day.
 
+    ``step`` adds ``y_pred`` to rows that have the named features: a fitted model (``model_step``) or any expression.
+
     A series is one row holding its last 56 sales as an array, so a step is a projection: no window, join or
     shuffle inside the loop, whatever the number of series.  Static and price columns stay at the series'
     last known values.  Lineage is cut every few steps.
@@ -114,18 +123,17 @@ def forecast_recursive_28(
     own = {*_history_features(), *calendar_parts("date"), *SNAP_FLAGS}
     events = {dummy_name(c, v): (c, v) for c, values in vocabulary.items() for v in values[1:]}
     static = [c for c in names if c not in own and c not in events]
-    assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
 
     days = _future_days(features, calendar, horizon)
     no_predictions = F.array().cast("array<double>")
     state = checkpointed(series_state(features, static).withColumn("preds", no_predictions))
     state = state.fillna(0.0, subset=static)
-    for step, day in enumerate(days, 1):
+    for number, day in enumerate(days, 1):
         flags = {f: F.lit(int(day[f])) for f in SNAP_FLAGS}
         seen = {c: day[c] if day[c] in vocabulary.get(c, []) else OTHER for c in EVENT_COLUMNS}
         dummies = {n: F.lit(int(seen[c] == v)) for n, (c, v) in events.items()}
         row = state.withColumns({**_history_features(), **calendar_parts(F.lit(day["date"])), **flags, **dummies})
-        predicted = model.transform(assembler.transform(row))
+        predicted = step(row)
         longer = F.concat("hist", F.array("y_pred"))
         state = predicted.select(
             *SERIES,
@@ -133,7 +141,7 @@ def forecast_recursive_28(
             F.when(F.size(longer) > HISTORY_ROWS, F.slice(longer, -HISTORY_ROWS, HISTORY_ROWS)).otherwise(longer).alias("hist"),
             F.concat("preds", F.array("y_pred")).alias("preds"),
         )
-        if step % STEPS_PER_CHECKPOINT == 0:
+        if number % STEPS_PER_CHECKPOINT == 0:
             state = checkpointed(state)
     first = F.lit(days[0]["date"])
     out = state.select(*SERIES, F.posexplode("preds").alias("__i", "y_pred"))

@@ -15,6 +15,7 @@ from larder.plans.forecast import forecast_items
 from larder.plans.training import union_history
 from larder.queries.joins import WEIGHTS, naive_predictions, split_day
 from larder.queries.registry import query
+from larder.session import checkpointed
 from larder.sources import marts
 
 
@@ -161,16 +162,19 @@ def _(spark, folder):
     return rounded(A.mean_price_by_item(marts.prices(spark, folder)), 10, "sell_price")
 
 
+CALENDAR_COLUMNS = [
+    "d", "date", "wm_yr_wk", "wday", "month", "year", "event_name_1", "event_type_1", "event_name_2", "event_type_2",
+    "snap_ca", "snap_tx", "snap_wi",
+]
+
+
 @query(
     "null_counts",
-    """
-    SELECT unnest(['d', 'date', 'event_name_1', 'event_name_2']) AS column_name,
-           unnest([count(*) - count(d), count(*) - count(date), count(*) - count(event_name_1), count(*) - count(event_name_2)]) AS nulls
-    FROM calendar""",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM calendar" for c in CALENDAR_COLUMNS),
     "calendar",
 )
 def _(spark, folder):
-    return A.null_counts(marts.calendar(spark, folder).select("d", "date", "event_name_1", "event_name_2"))
+    return A.null_counts(marts.calendar(spark, folder).select(*CALENDAR_COLUMNS))
 
 
 @query(
@@ -294,7 +298,7 @@ def _(spark, folder):
     "panel",
 )
 def _(spark, folder):
-    panel = marts.panel(spark, folder)
+    panel = checkpointed(marts.panel(spark, folder))
     history = panel.where(F.col("date") < split_day(panel))
     return rounded(evaluate.rmsse_denominator(history), 6, "denominator")
 
@@ -307,7 +311,7 @@ def _(spark, folder):
     "panel",
 )
 def _(spark, folder):
-    panel = marts.panel(spark, folder)
+    panel = checkpointed(marts.panel(spark, folder))
     start = split_day(panel)
     return rounded(evaluate.wrmsse_bottom(naive_predictions(panel, start), panel, start), 8, "wrmsse")
 

@@ -26,7 +26,7 @@ CTES: dict[str, tuple[str, str]] = {
         "item_stats",
         """
         SELECT CAST(p_partkey AS VARCHAR) AS sku, p_name AS product_name, coalesce(unit, 0) AS on_hand,
-               coalesce(unit, 0) - floor(coalesce(unit, 0) * CAST(0.3 AS DOUBLE)) AS backroom_units,
+               coalesce(unit, 0) - floor(coalesce(unit, 0) * CAST(0.3 AS DOUBLE)) AS stockroom_units,
                floor(coalesce(unit, 0) * CAST(0.3 AS DOUBLE)) AS shelf_units,
                coalesce(ads, 0) AS avg_daily_sales, CAST(1 + p_size % 14 AS DOUBLE) AS lead_time_days,
                p_type AS category, p_retailprice AS selling_price
@@ -35,9 +35,9 @@ CTES: dict[str, tuple[str, str]] = {
     "clean_inv": (
         "inventory",
         """
-        SELECT sku, product_name, on_hand, backroom_units, shelf_units, avg_daily_sales, lead_time_days,
+        SELECT sku, product_name, on_hand, stockroom_units, shelf_units, avg_daily_sales, lead_time_days,
                CASE WHEN avg_daily_sales > 0 THEN on_hand / avg_daily_sales ELSE 0 END AS days_of_cover,
-               shelf_units < 3 AND backroom_units > 0 AS restock_needed,
+               shelf_units < 3 AND stockroom_units > 0 AS restock_needed,
                CAST(2.0 AS DOUBLE) AS safety_stock, category, selling_price
         FROM inventory""",
     ),
@@ -272,7 +272,7 @@ CTES |= {
     "plan": (
         "clean_inv",
         """
-        SELECT sku, product_name, on_hand, backroom_units, shelf_units, avg_daily_sales, lead_time_days, safety_stock, days_of_cover,
+        SELECT sku, product_name, on_hand, stockroom_units, shelf_units, avg_daily_sales, lead_time_days, safety_stock, days_of_cover,
                CAST(ceil(greatest(lead_time_days + safety_stock - days_of_cover, 0) * avg_daily_sales) AS BIGINT) AS reorder_qty,
                ceil(greatest(lead_time_days + safety_stock - days_of_cover, 0) * avg_daily_sales) > 0 AS reorder_flag
         FROM clean_inv""",
@@ -295,4 +295,4 @@ def resolve(names: list[str]) -> str:
         visit(name)
     if not ordered:
         return ""
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in ordered) + "\n"

@@ -15,13 +15,13 @@ from larder.sources import marts
 @query(
     "clean_inventory",
     """
-    , raw AS (SELECT sku, product_name, CAST(sku AS BIGINT) AS k, on_hand, backroom_units, shelf_units, lead_time_days, avg_daily_sales, category FROM inventory),
+    , raw AS (SELECT sku, product_name, CAST(sku AS BIGINT) AS k, on_hand, stockroom_units, shelf_units, lead_time_days, avg_daily_sales, category FROM inventory),
     bad AS (SELECT sku, product_name, category, CASE WHEN k % 11 = 0 THEN 0 ELSE on_hand END AS on_hand,
-                   CASE WHEN k % 13 = 0 THEN -5 ELSE backroom_units END AS backroom_units, CASE WHEN k % 7 = 0 THEN 1 ELSE shelf_units END AS shelf_units,
+                   CASE WHEN k % 13 = 0 THEN -5 ELSE stockroom_units END AS stockroom_units, CASE WHEN k % 7 = 0 THEN 1 ELSE shelf_units END AS shelf_units,
                    CASE WHEN k % 19 = 0 THEN 0 ELSE avg_daily_sales END AS avg_daily_sales, CASE WHEN k % 17 = 0 THEN 0 ELSE lead_time_days END AS lead_time_days FROM raw)
-    SELECT sku, product_name, on_hand, greatest(backroom_units, 0) AS backroom_units, shelf_units, round(avg_daily_sales, 6) AS avg_daily_sales, lead_time_days,
+    SELECT sku, product_name, on_hand, greatest(stockroom_units, 0) AS stockroom_units, shelf_units, round(avg_daily_sales, 6) AS avg_daily_sales, lead_time_days,
            round(CASE WHEN avg_daily_sales > 0 THEN on_hand / avg_daily_sales ELSE 0 END, 6) AS days_of_cover,
-           shelf_units < 3 AND backroom_units > 0 AS restock_needed, CAST(2.0 AS DOUBLE) AS safety_stock, category
+           shelf_units < 3 AND stockroom_units > 0 AS restock_needed, CAST(2.0 AS DOUBLE) AS safety_stock, category
     FROM bad""",
     "inventory",
 )
@@ -79,6 +79,12 @@ TIDY = """
       LEFT JOIN prices p ON p.store_id = c.store_id AND p.item_id = c.item_id AND p.wm_yr_wk = w.wm_yr_wk)"""
 
 
+TIDY_COLUMNS = (
+    "state_id store_id dept_id cat_id item_id id d date wm_yr_wk month year event_name_1 event_type_1 event_name_2 event_type_2"
+    " snap_ca snap_tx snap_wi sold_qty sell_price revenue wday"
+).split()
+
+
 @query("m5_tidy", f", {TIDY} SELECT * REPLACE (round(revenue, 2) AS revenue) FROM tidy", "week_cells week_calendar prices")
 def _(spark, folder):
     rows = tidy.m5_tidy(
@@ -94,19 +100,17 @@ def _(spark, folder):
       CAST((SELECT count(DISTINCT item_id || store_id) + count(DISTINCT CASE WHEN item_id LIKE '%0' OR item_id LIKE '%5' THEN item_id || store_id END) FROM tidy) AS BIGINT) AS initial_rows_wide,
       CAST((SELECT count(*) FROM tidy WHERE item_id LIKE '%0' OR item_id LIKE '%5') AS BIGINT) AS duplicates_removed,
       count(*) FILTER (sold_qty < 0) AS out_of_bounds_qty, count(*) FILTER (sell_price < 0) AS out_of_bounds_price,
-      count(*) FILTER (sell_price IS NULL) AS null_sell_price, count(*) FILTER (date IS NULL) AS null_date, count(*) FILTER (event_name_1 IS NULL) AS null_event_name_1 FROM tidy)
+      {", ".join(f"count(*) FILTER ({c} IS NULL) AS null_{c}" for c in TIDY_COLUMNS)} FROM tidy)
     UNPIVOT counts ON * INTO NAME metric VALUE value""",
     "week_cells week_calendar prices",
 )
 def _(spark, folder):
-    report = tidy.m5_report(
+    return tidy.m5_report(
         marts.wide_sales(spark, folder), marts.calendar(spark, folder, 7), marts.prices(spark, folder), [F.col("load_no")]
     )
-    shown = ["null_sell_price", "null_date", "null_event_name_1"]
-    return report.where(~F.col("metric").startswith("null_") | F.col("metric").isin(shown))
 
 
-PLAN = """SELECT sku, product_name, on_hand, backroom_units, shelf_units, round(avg_daily_sales, 6) AS avg_daily_sales, lead_time_days,
+PLAN = """SELECT sku, product_name, on_hand, stockroom_units, shelf_units, round(avg_daily_sales, 6) AS avg_daily_sales, lead_time_days,
     safety_stock, round(days_of_cover, 6) AS days_of_cover, reorder_qty, reorder_flag FROM plan"""
 
 

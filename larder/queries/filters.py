@@ -9,7 +9,7 @@ from larder.plans.features import demand_features
 from larder.queries.registry import query
 from larder.sources import marts
 
-INVENTORY_COLUMNS = ["sku", "product_name", "on_hand", "backroom_units", "shelf_units", "lead_time_days", "category"]
+INVENTORY_COLUMNS = ["sku", "product_name", "on_hand", "stockroom_units", "shelf_units", "lead_time_days", "category"]
 INVENTORY = ", ".join(INVENTORY_COLUMNS)
 
 
@@ -40,7 +40,7 @@ def _(spark, folder):
     "lookup_sku",
     """
     SELECT sku, CAST(floor(on_hand) AS BIGINT) AS on_hand, CAST(floor(shelf_units) AS BIGINT) AS shelf,
-           CAST(floor(backroom_units) AS BIGINT) AS backroom,
+           CAST(floor(stockroom_units) AS BIGINT) AS stockroom,
            CASE WHEN avg_daily_sales > 0 THEN round_even(floor(on_hand) / avg_daily_sales, 2) END AS days_cover, lead_time_days
     FROM inventory WHERE lower(sku) LIKE '%17%' ORDER BY CASE WHEN lower(sku) = '17' THEN 0 ELSE 1 END, sku LIMIT 1""",
     "inventory",

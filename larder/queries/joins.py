@@ -10,6 +10,7 @@ from larder.plans.features import demand_features
 from larder.plans.forecast import forecast_items
 from larder.plans.tidy import long_sales
 from larder.queries.registry import query
+from larder.session import checkpointed
 from larder.sources import marts
 
 
@@ -174,7 +175,7 @@ def split_day(panel):
     "panel",
 )
 def _(spark, folder):
-    panel = marts.panel(spark, folder)
+    panel = checkpointed(marts.panel(spark, folder))
     start = split_day(panel)
     errors = series_rmsse(naive_predictions(panel, start), panel, start)
     aligned = joins.align_series(validation_weights(panel, start), errors, ["store_id", "item_id"], "rmsse")

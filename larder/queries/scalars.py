@@ -122,9 +122,9 @@ def _(spark, folder):
     return marts.inventory(spark, folder).select("sku", F.round(cover, 6).alias("days_of_cover"))
 
 
-@query("restock_flag", "SELECT sku, shelf_units < 25 AND backroom_units > 0 AS restock_needed FROM inventory", "inventory")
+@query("restock_flag", "SELECT sku, shelf_units < 25 AND stockroom_units > 0 AS restock_needed FROM inventory", "inventory")
 def _(spark, folder):
-    flag = stock.restock_flag(F.col("shelf_units"), F.col("backroom_units"), 25)
+    flag = stock.restock_flag(F.col("shelf_units"), F.col("stockroom_units"), 25)
     return marts.inventory(spark, folder).select("sku", flag.alias("restock_needed"))
 
 

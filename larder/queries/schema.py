@@ -16,7 +16,7 @@ from larder.sources import marts
     """
     SELECT ' ' || sku || ' ' AS sku, '  ' || product_name || ' ' AS product_name,
            CASE WHEN CAST(sku AS BIGINT) % 11 = 0 THEN 'n/a' ELSE CAST(CAST(on_hand AS BIGINT) AS VARCHAR) END AS on_hand,
-           CASE WHEN CAST(sku AS BIGINT) % 13 = 0 THEN '-5' ELSE CAST(CAST(backroom_units AS BIGINT) AS VARCHAR) END AS backroom_units,
+           CASE WHEN CAST(sku AS BIGINT) % 13 = 0 THEN '-5' ELSE CAST(CAST(stockroom_units AS BIGINT) AS VARCHAR) END AS stockroom_units,
            CASE WHEN CAST(sku AS BIGINT) % 7 = 0 THEN '1' ELSE CAST(CAST(shelf_units AS BIGINT) AS VARCHAR) END AS shelf_units,
            CASE WHEN CAST(sku AS BIGINT) % 17 = 0 THEN '1,000' ELSE CAST(CAST(lead_time_days AS BIGINT) AS VARCHAR) END AS lead_time_days,
            round(CASE WHEN CAST(sku AS BIGINT) % 19 = 0 THEN 0 ELSE avg_daily_sales END, 6) AS avg_daily_sales, category
@@ -40,7 +40,7 @@ def _(spark, folder):
 @query(
     "derive_missing",
     """
-    SELECT item_id AS sku, date, day_units AS sold_qty, item_id AS product_name, CAST(0 AS DOUBLE) AS backroom_units,
+    SELECT item_id AS sku, date, day_units AS sold_qty, item_id AS product_name, CAST(0 AS DOUBLE) AS stockroom_units,
            CAST(0 AS DOUBLE) AS shelf_units, CAST(7 AS DOUBLE) AS lead_time_days, CAST(0 AS DOUBLE) AS on_hand,
            round(avg(day_units) OVER (PARTITION BY item_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS avg_daily_sales
     FROM (SELECT item_id, date, sum(sale) AS day_units FROM sales GROUP BY 1, 2)""",
@@ -51,16 +51,16 @@ def _(spark, folder):
     return derive_missing(daily).withColumn("avg_daily_sales", F.round("avg_daily_sales", 6))
 
 
-@query("require_columns", "SELECT sku, product_name, on_hand, backroom_units, shelf_units, lead_time_days FROM inventory", "inventory")
+@query("require_columns", "SELECT sku, product_name, on_hand, stockroom_units, shelf_units, lead_time_days FROM inventory", "inventory")
 def _(spark, folder):
     return headers.require_columns(marts.inventory(spark, folder), headers.CANONICAL).select(
-        "sku", "product_name", "on_hand", "backroom_units", "shelf_units", "lead_time_days"
+        "sku", "product_name", "on_hand", "stockroom_units", "shelf_units", "lead_time_days"
     )
 
 
 @query(
     "order_columns",
-    "SELECT sku, product_name, on_hand, backroom_units, shelf_units, round(avg_daily_sales, 6) AS avg_daily_sales, lead_time_days, category, selling_price FROM inventory",
+    "SELECT sku, product_name, on_hand, stockroom_units, shelf_units, round(avg_daily_sales, 6) AS avg_daily_sales, lead_time_days, category, selling_price FROM inventory",
     "inventory",
 )
 def _(spark, folder):

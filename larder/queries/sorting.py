@@ -42,16 +42,6 @@ def _(spark, folder):
     return ranking.chart_top10(aggregates.total_sales_by_item(marts.sales(spark, folder)), "item_id", "sales")
 
 
-@query(
-    "chart_all_bars",
-    "SELECT category, sum(on_hand) AS on_hand FROM inventory GROUP BY 1",
-    "inventory",
-)
-def _(spark, folder):
-    by_category = aggregates.inventory_by_category(marts.inventory(spark, folder))
-    return ranking.chart_top10(by_category, "category", "on_hand")
-
-
 @query("urgency_sort", f"SELECT {PRIORITY} FROM priority ORDER BY urgency_score DESC, item_id", "priority")
 def _(spark, folder):
     return ranking.urgency_sort(ranked_items(spark, folder)).drop("urgency_reasons", "recommendations")

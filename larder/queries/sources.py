@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larder.operators.headers import wide_to_long
 from larder.plans.cleaning import clean_inventory
 from larder.plans.forecast import forecast_items
 from larder.queries.registry import query
 from larder.session import scratch_path
-from larder.sources import catalog, marts, readers, samples, writers
+from larder.sources import catalog, marts, readers, writers
 
-INVENTORY = "SELECT sku, product_name, on_hand, backroom_units, shelf_units, avg_daily_sales, lead_time_days, category, selling_price FROM inventory"
+INVENTORY = "SELECT sku, product_name, on_hand, stockroom_units, shelf_units, avg_daily_sales, lead_time_days, category, selling_price FROM inventory"
 
 
 @query("read_inventory", INVENTORY, "inventory")
@@ -52,8 +53,11 @@ def _(spark, folder):
 
 @query(
     "read_m5",
-    "SELECT d, CAST(date AS VARCHAR) AS date, wm_yr_wk, event_name_1, CAST(snap_ca AS VARCHAR) AS snap_ca FROM calendar",
-    "calendar",
+    """
+    SELECT 'calendar' AS source, d AS key1, CAST(date AS VARCHAR) AS key2, CAST(wm_yr_wk AS VARCHAR) AS key3, event_name_1 AS value, CAST(snap_ca AS VARCHAR) AS flag FROM calendar
+    UNION ALL SELECT 'prices', store_id, item_id, CAST(wm_yr_wk AS VARCHAR), CAST(CAST(round(sell_price * 10000) AS BIGINT) AS VARCHAR), NULL FROM prices
+    UNION ALL SELECT 'sales', store_id, item_id, d, CAST(sold_qty AS VARCHAR), NULL FROM week_cells""",
+    "calendar prices week_cells",
 )
 def _(spark, folder):
     calendar = marts.calendar(spark, folder).select("d", "date", "wm_yr_wk", "event_name_1", F.col("snap_ca").alias("snap_CA"))
@@ -63,7 +67,16 @@ def _(spark, folder):
             ("sales", marts.wide_sales(spark, folder)), ("calendar", calendar), ("prices", marts.prices(spark, folder)),
         )
     ]
-    return readers.read_m5(spark, *paths)[1]
+    sales, days, prices = readers.read_m5(spark, *paths)
+    none = F.lit(None).cast("string")
+    # The daily columns of the wide table as rows, of the final load only; prices in hundredths of a cent.
+    cells = wide_to_long(sales.where("load_no = '1'"), ["store_id", "item_id"])
+    cents = F.round(F.col("sell_price").cast("double") * 10000).cast("long").cast("string")
+    return (
+        days.select(F.lit("calendar").alias("source"), F.col("d").alias("key1"), F.col("date").alias("key2"), F.col("wm_yr_wk").alias("key3"), F.col("event_name_1").alias("value"), F.col("snap_ca").alias("flag"))
+        .unionByName(prices.select(F.lit("prices").alias("source"), F.col("store_id").alias("key1"), F.col("item_id").alias("key2"), F.col("wm_yr_wk").alias("key3"), cents.alias("value"), none.alias("flag")))
+        .unionByName(cells.select(F.lit("sales").alias("source"), F.col("store_id").alias("key1"), F.col("item_id").alias("key2"), F.col("d").alias("key3"), F.col("sold_qty").alias("value"), none.alias("flag")))
+    )
 
 
 @query("write_json_records", "SELECT item_id, CAST(date AS VARCHAR) AS date, sale FROM sales", "sales")
@@ -140,8 +153,9 @@ UPSERTED = """
 
 def _items(spark, folder):
     path = scratch_path(spark, "items")
+    name = "larder_items_" + path.rsplit("-", 1)[1]
     part = marts.table(spark, folder, "part")
-    writers.write_parquet(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), path)
+    catalog.replace_table(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), name, path)
     returned = marts.table(spark, folder, "lineitem").where("l_returnflag = 'R'")
     changes = returned.select(
         F.col("l_partkey").alias("id"),
@@ -149,8 +163,9 @@ def _items(spark, folder):
         "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity",
     )
     order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")]
-    catalog.upsert_by_key(spark, path, changes, "id", order)
-    return spark.read.parquet(path)
+    location = catalog.upsert_by_key(spark, name, changes, "id", order)
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.parquet(location)
 
 
 @query("upsert_by_key", UPSERTED)
@@ -198,7 +213,7 @@ def _(spark, folder):
 def _(spark, folder):
     text = """
         SELECT i.item_id, i.description, sum(s.sale) AS total_sales
-        FROM sales s JOIN item_dim i ON i.item_id = s.item_id
+        FROM {sales} s JOIN {item_dim} i ON i.item_id = s.item_id
         WHERE s.sale > :above GROUP BY i.item_id, i.description"""
     tables = {"sales": marts.sales(spark, folder), "item_dim": marts.item_dim(spark, folder)}
     return catalog.run_sql(spark, text, tables, {"above": 20})
@@ -207,7 +222,7 @@ def _(spark, folder):
 @query(
     "scan_images",
     """
-    SELECT DISTINCT p_brand AS brand FROM part
+    SELECT DISTINCT p_brand AS brand, 'part-.png' AS file, CAST(octet_length(encode(p_brand)) + 1 AS BIGINT) AS length, p_brand || chr(10) AS content FROM part
     WHERE CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) % 2 = 0""",
 )
 def _(spark, folder):
@@ -217,31 +232,12 @@ def _(spark, folder):
     brands = marts.table(spark, folder, "part").select("p_brand").distinct().withColumn("brand", F.col("p_brand"))
     even = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int") % 2 == 0
     for ending, rows in (("png", brands.where(even)), ("txt", brands.where(~even))):
-        rows.write.mode("append").option("extension", ending).partitionBy("brand").csv(base)
+        rows.repartition("brand").write.mode("append").option("extension", ending).partitionBy("brand").csv(base)
     found = readers.scan_images(spark, base)
-    return found.select(F.url_decode(F.regexp_extract("path", r"brand=([^/]+)", 1)).alias("brand")).distinct()
-
-
-def _normal(column: str) -> str:
-    def uniform(part: str) -> str:
-        digest = f"md5('0/' || sku || '/' || i || '/{column}/{part}')"
-        return f"((CAST('0x' || substr({digest}, 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE))"
-
-    return f"sqrt(-2 * ln({uniform('size')})) * cos(2 * pi() * {uniform('angle')})"
-
-
-@query(
-    "sample_tables",
-    f"""
-    SELECT sku, CAST(DATE '2024-01-30' - CAST(29 - i AS INTEGER) AS DATE) AS date,
-           CAST(greatest(0, floor(base - demand * (29 - i))) AS BIGINT) AS stock_level,
-           round(greatest(0, demand), 6) AS demand, CAST(50 AS BIGINT) AS reorder_point,
-           round(cost, 6) AS cost, round(revenue, 6) AS revenue
-    FROM (SELECT sku, i, 10 + 3 * {_normal('demand')} AS demand, 100 + 20 * {_normal('base')} AS base,
-                 5 + {_normal('cost')} AS cost, 10 + 2 * {_normal('revenue')} AS revenue
-          FROM (SELECT CAST(p_partkey AS VARCHAR) AS sku, unnest(range(30)) AS i FROM part))""",
-)
-def _(spark, folder):
-    skus = marts.table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("sku"))
-    history = samples.sample_history(skus, "2024-01-30")
-    return history.withColumns({c: F.round(c, 6) for c in ("demand", "cost", "revenue")})
+    # Spark numbers its files and gives them random names, which are left out.
+    return found.select(
+        F.url_decode(F.regexp_extract("path", r"brand=([^/]+)", 1)).alias("brand"),
+        F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"^part-.*(\.\w+)$", "part-$1").alias("file"),
+        "length",
+        F.col("content").cast("string").alias("content"),
+    )

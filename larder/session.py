@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,29 +31,18 @@ def build_session(app: str = "larder", master: str | None = None, **settings: st
     return builder.getOrCreate()
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Lower the method-size limit of a session somebody else built, unless they chose one themselves."""
-    key, default = "spark.sql.codegen.hugeMethodLimit", "65535"
-    if spark.conf.get(key, default) == default:
-        spark.conf.set(key, PLANNER_SETTINGS[key])
-    return spark
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or a checkpoint folder set in the program.
 
-    Only a local master may fall back to a temporary folder; on a cluster a machine-local folder would be
-    lost with its executor, so that case is an error.
+    There is no fallback: a folder of one machine would be lost with it.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        folder = named
-    elif context.getCheckpointDir():
-        folder = context.getCheckpointDir()
-    elif context.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="larder-")
-    else:
+    folder = (
+        context.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+    )
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)

@@ -43,16 +43,18 @@ def merge_by_key(target: DataFrame, source: DataFrame, key: str, order: list[Col
     return target.join(latest, key, "left_anti").unionByName(latest.select(*target.columns))
 
 
-def upsert_by_key(spark: SparkSession, path: str, source: DataFrame, key: str, order: list[Column]) -> str:
-    """Replace or add rows by key in a Parquet table.  One writer at a time.
+def upsert_by_key(spark: SparkSession, name: str, source: DataFrame, key: str, order: list[Column]) -> str:
+    """Replace or add rows by key in an external Parquet table.  One writer at a time.
 
-    The merged table is written in full beside the old one, and only then copied over it; a failure before
-    the copy leaves the old table as it was.
+    The merged rows go to a new folder, and only when that is complete does the table's location change.  A failure
+    before that leaves the table as it was, and readers that began earlier go on reading the old folder, which stays.
+    Returns the new location.
     """
-    staging = scratch_path(spark, "upsert")
-    merge_by_key(spark.read.parquet(path), source, key, order).write.parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
-    return path
+    location = scratch_path(spark, name)
+    merge_by_key(spark.table(name), source, key, order).write.parquet(location)
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
+    spark.catalog.refreshTable(name)
+    return location
 
 
 def list_ordered(items: DataFrame) -> DataFrame:
@@ -89,10 +91,11 @@ def table_profile(df: DataFrame, name: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame], args: dict | list | None = None) -> DataFrame:
-    """A SQL query over the named frames; ``:name`` or ``?`` markers take their values from ``args``."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query, args=args)
+    """A SQL query over the given frames, which the text names in braces, such as ``FROM {sales}``.
+
+    ``:name`` or ``?`` markers take their values from ``args``.  Views of the session are neither made nor replaced.
+    """
+    return spark.sql(query, args=args, **tables)
 
 
 def query_result(spark: SparkSession, query: str, tables: dict[str, DataFrame], args: dict | list | None = None) -> dict:

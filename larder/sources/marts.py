@@ -65,7 +65,7 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
         F.col("item_id").alias("sku"),
         F.col("p_name").alias("product_name"),
         unit.alias("on_hand"),
-        (unit - shelf).alias("backroom_units"),
+        (unit - shelf).alias("stockroom_units"),
         shelf.alias("shelf_units"),
         F.coalesce("ads", F.lit(0.0)).alias("avg_daily_sales"),
         (1 + F.col("p_size") % 14).cast("double").alias("lead_time_days"),
@@ -81,7 +81,7 @@ def raw_inventory(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit(" "), "sku", F.lit(" ")).alias("Item Number"),
         F.concat(F.lit("  "), "product_name", F.lit(" ")).alias("Description"),
         F.when(key % 11 == 0, "n/a").otherwise(F.col("on_hand").cast("long").cast("string")).alias("Qty On-Hand"),
-        F.when(key % 13 == 0, "-5").otherwise(F.col("backroom_units").cast("long").cast("string")).alias("BOH (units)"),
+        F.when(key % 13 == 0, "-5").otherwise(F.col("stockroom_units").cast("long").cast("string")).alias("BOH (units)"),
         F.when(key % 7 == 0, "1").otherwise(F.col("shelf_units").cast("long").cast("string")).alias("shelf"),
         F.when(key % 17 == 0, "1,000").otherwise(F.col("lead_time_days").cast("long").cast("string")).alias("Lead-Time"),
         F.when(key % 19 == 0, F.lit(0.0)).otherwise(F.col("avg_daily_sales")).alias("ADS"),

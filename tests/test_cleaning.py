@@ -12,7 +12,7 @@ from larder.plans.reorder import reorder_plan
 def upload(spark):
     return spark.createDataFrame(
         [("00123", " Widget A ", 10, 5, 1, 2.0, 3), ("ABC-9", "Gadget B", 0, 2, 4, 1.0, 7)],
-        "sku string, product_name string, onhand int, backroom int, shelf int, avg_dly_sales double, lead_time int",
+        "sku string, product_name string, onhand int, stockroom int, shelf int, avg_dly_sales double, lead_time int",
     )
 
 
@@ -29,7 +29,7 @@ def test_header_variants_cover_and_restock(spark):
 def test_shelf_threshold(spark, shelf_low, flag):
     row = spark.createDataFrame(
         [("x", "p", 10, 1, 2, 1.0, 1)],
-        "sku string, product_name string, onhand int, backroom int, shelf int, avg_dly_sales double, lead_time int",
+        "sku string, product_name string, onhand int, stockroom int, shelf int, avg_dly_sales double, lead_time int",
     )
     assert clean_inventory(row, shelf_low=shelf_low).first()["restock_needed"] is flag
 
@@ -50,11 +50,11 @@ def test_first_spelling_wins_and_canonical_beats_it():
 def test_bad_numbers_become_zero_and_negatives_are_clipped_after_cover(spark):
     raw = spark.createDataFrame(
         [("a", "p", "1,000", "-4", "2", "2", None), ("b", "q", "-8", "3", "1", "4", "5")],
-        "sku string, product_name string, on_hand string, backroom_units string, shelf_units string, "
+        "sku string, product_name string, on_hand string, stockroom_units string, shelf_units string, "
         "avg_daily_sales string, lead_time_days string",
     )
     a, b = clean_inventory(raw).orderBy("sku").collect()
-    assert (a["on_hand"], a["backroom_units"], a["lead_time_days"], a["restock_needed"]) == (0.0, 0.0, 0.0, False)
+    assert (a["on_hand"], a["stockroom_units"], a["lead_time_days"], a["restock_needed"]) == (0.0, 0.0, 0.0, False)
     assert (b["on_hand"], b["days_of_cover"], b["restock_needed"]) == (0.0, 0.0, True)
 
 
@@ -132,6 +132,44 @@ def test_export_cleaning_twice_changes_nothing(spark):
 
 def test_reorder_plan_quantities(spark):
     rows = [("a", "p", 10.0, 0.0, 0.0, 2.0, 7.0), ("b", "q", 100.0, 0.0, 0.0, 2.0, 7.0), ("c", "r", 0.0, 0.0, 0.0, 0.0, 5.0)]
-    names = "sku string, product_name string, on_hand double, backroom_units double, shelf_units double, avg_daily_sales double, lead_time_days double"
+    names = "sku string, product_name string, on_hand double, stockroom_units double, shelf_units double, avg_daily_sales double, lead_time_days double"
     got = {r["sku"]: (r["reorder_qty"], r["reorder_flag"]) for r in reorder_plan(spark.createDataFrame(rows, names)).collect()}
     assert got == {"a": (8, True), "b": (0, False), "c": (0, False)}
+
+
+def test_daily_sales_need_an_order(spark):
+    df = spark.createDataFrame([("a", 9.0, 1), ("a", 1.0, 2)], "sku string, sold_qty double, row int")
+    with pytest.raises(ValueError, match="order"):
+        derive_missing(df)
+    got = derive_missing(df, [F.col("row")]).orderBy("row").collect()
+    assert [r["avg_daily_sales"] for r in got] == [9.0, 5.0]
+
+
+def test_headers_that_differ_in_case_stay_apart(spark):
+    one, _ = headers.alias_headers(spark.createDataFrame([("a", "b", 1)], "`SKU ` string, Sku string, onhand int"))
+    assert one.columns == ["sku", "Sku_2", "on_hand"] and one.first()["sku"] == "a"
+    two, _ = headers.alias_headers(spark.createDataFrame([("a", "b")], "sku string, SKU string"))
+    assert two.columns == ["sku", "SKU_2"] and two.select("sku").first()[0] == "a"
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("2024-01-05T10:00:00Z", "2024-01-05 10:00:00"), ("2024-01-05 10:00:00+02:00", "2024-01-05 08:00:00"),
+        ("12/31/2024 10:00 PM", "2024-12-31 22:00:00"), ("12/31/2024 12:05:09 am", "2024-12-31 00:05:09"),
+        ("5-Jan-2024", "2024-01-05 00:00:00"), ("Jan 5 2024", "2024-01-05 00:00:00"), ("January 5th, 2024", "2024-01-05 00:00:00"),
+        ("Fri, 5 January 2024 07:08", "2024-01-05 07:08:00"), ("31/12/2024", "2024-12-31 00:00:00"), ("1/2/24", "2024-01-02 00:00:00"),
+        ("2024/1/5 3:04", "2024-01-05 03:04:00"), ("20240105", "2024-01-05 00:00:00"), ("13.1.2024", "2024-01-13 00:00:00"),
+        ("2024-01-05 10:11:12.5", "2024-01-05 10:11:12.500000"), ("soon", None), ("99/99/2024", None), ("Foo 5 2024", None), ("2024-13-45", None),
+        ("12345", None), ("", None), (None, None), ("5 2024", None), ("13:00", None),
+    ],
+)
+def test_dates_as_people_write_them(spark, text, wanted):
+    got = spark.createDataFrame([(text,)], "v string").select(C.parse_date_any("v").cast("timestamp_ntz").alias("t")).first()["t"]
+    assert (None if got is None else str(got)) == wanted
+
+
+def test_whole_numbers_reach_the_bounds_of_a_long(spark):
+    rows = [("9223372036854774784",), ("-9223372036854775808",), ("9223372036854775808",), ("1,234.9",), ("12d",), ("inf",), ("1e3",), ("0x1p3",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(C.coerce_int("v")).collect()]
+    assert got == [9223372036854774784, -(2**63), None, 1234, None, None, 1000, None]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.plans.mart import build_retail_mart
 from larder.plans.tidy import m5_report, m5_tidy
 from larder.session import shared_folder
-from larder.sources import catalog, readers, samples, writers
+from larder.sources import catalog, readers, writers
 
 
 def test_shared_folder_is_the_configured_one(spark):
@@ -19,14 +19,13 @@ def test_raw_strings_and_inventory_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("sku,v\n001,n/a\n002, n/a\n003,N/A\n004,\n")
     got = {r["sku"]: r["v"] for r in readers.read_raw_strings(spark, str(tmp_path / "a.csv")).collect()}
     assert got == {"001": None, "002": " n/a", "003": "N/A", "004": None}
-    inventory = samples.sample_inventory(spark, "2024-01-01")
-    path = writers.write_parquet(inventory, str(tmp_path / "i.parquet"))
+    path = writers.write_parquet(spark.range(10), str(tmp_path / "i.parquet"))
     assert readers.read_inventory(spark, path).count() == 10
 
 
 def test_json_array_and_lines(spark, tmp_path):
     (tmp_path / "i.json").write_text('[{"sku": "a", "on_hand": 1},\n {"sku": "b"}]')
-    assert samples.load_sample_inventory(spark, str(tmp_path / "i.json")).count() == 2
+    assert readers.read_json_records(spark, str(tmp_path / "i.json"), one_array=True).count() == 2
     dated = spark.createDataFrame([("a", dt.date(2024, 1, 2), None)], "k string, d date, x double")
     path = writers.write_json_records(dated, str(tmp_path / "out"))
     assert readers.read_json_records(spark, path, "k string, d string, x double").first().asDict() == {"k": "a", "d": "2024-01-02", "x": None}
@@ -34,11 +33,18 @@ def test_json_array_and_lines(spark, tmp_path):
 
 def test_upsert_replaces_adds_and_keeps(spark, tmp_path):
     path = str(tmp_path / "items")
-    spark.createDataFrame([(1, "slime"), (2, "velvet")], "id int, label string").write.parquet(path)
+    catalog.replace_table(spark.createDataFrame([(1, "slime"), (2, "velvet")], "id int, label string"), "upserted", path)
     changes = spark.createDataFrame([(2, "old", 1), (2, "silk", 2), (3, "wool", 1)], "id int, label string, n int")
-    catalog.upsert_by_key(spark, path, changes, "id", [F.col("n")])
-    rows = catalog.list_ordered(spark.read.parquet(path)).collect()
+    location = catalog.upsert_by_key(spark, "upserted", changes, "id", [F.col("n")])
+    rows = catalog.list_ordered(spark.table("upserted")).collect()
     assert [tuple(r) for r in rows] == [(1, "slime"), (2, "silk"), (3, "wool")]
+    # The old folder is untouched, so readers of it and a failed upsert lose nothing.
+    assert location != path and spark.read.parquet(path).count() == 2
+    broken = changes.withColumn("label", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        catalog.upsert_by_key(spark, "upserted", broken, "id", [F.col("n")])
+    assert spark.table("upserted").count() == 3
+    spark.sql("DROP TABLE upserted")
 
 
 def test_append_stamps_rows(spark, tmp_path):
@@ -51,9 +57,12 @@ def test_append_stamps_rows(spark, tmp_path):
 
 def test_sql_results_and_errors(spark):
     tables = {"t": spark.range(5)}
-    good = catalog.query_result(spark, "SELECT * FROM t WHERE id > ?", tables, [2])
+    spark.range(3).createOrReplaceTempView("t")
+    good = catalog.query_result(spark, "SELECT * FROM {t} WHERE id > ?", tables, [2])
     assert good["success"] and good["row_count"] == 2
-    assert not catalog.query_result(spark, "SELECT nope FROM t", tables)["success"]
+    assert not catalog.query_result(spark, "SELECT nope FROM {t}", tables)["success"]
+    assert spark.table("t").count() == 3  # the caller's own view of that name
+    spark.catalog.dropTempView("t")
 
 
 def test_partitioned_write(spark, tmp_path):
@@ -63,13 +72,6 @@ def test_partitioned_write(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 100
 
 
-def test_history_does_not_depend_on_partitions(spark):
-    skus = spark.createDataFrame([("a",), ("b",)], "sku string")
-    one = samples.sample_history(skus.coalesce(1), "2024-01-30").collect()
-    two = samples.sample_history(skus.repartition(5), "2024-01-30").collect()
-    assert sorted(one) == sorted(two) and len(one) == 60 and all(r["stock_level"] >= 0 for r in one)
-
-
 WIDE = [
     ("1", "FOODS_1", "FOODS_1", "FOODS", "S1", "TX", "1", "-2", "n/a", 1),
     ("1", "FOODS_1", "FOODS_1", "FOODS", "S1", "TX", "1,000", "3", "4", 2),
@@ -116,3 +118,12 @@ def test_retail_mart(spark):
     assert sorted((str(r["date"]), r["sale"]) for r in mart["sales"].collect()) == [("2025-01-01", 6), ("2025-01-02", 1)]
     assert mart["inv"].first()["unit"] == 12
     assert mart["item_dim"].first().asDict() == {"item_id": "A", "description": "a", "price": 3.0, "lead_time": 3, "holding_cost": 0.5}
+
+
+def test_sales_without_keys_keep_all_rows(spark):
+    from larder.plans.tidy import long_sales
+
+    wide = spark.createDataFrame([("a", 1, 2, 1), ("b", 3, 4, 2)], "id string, d_1 int, d_2 int, row int")
+    assert long_sales(wide, [F.col("row")]).count() == 4
+    with pytest.raises(ValueError, match="order"):
+        long_sales(wide, [])

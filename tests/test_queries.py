@@ -1,24 +1,15 @@
-"""Registered queries against their SQL.
-
-All of them with LARDER_ALL_QUERIES=1; otherwise a quick selection that touches every query module.
-"""
+"""All registered queries of the library's own operators against their SQL, in one session."""
 
 import os
 
 import pytest
 
-import __spark_entry__ as entry
 from compare import connect, differences
+from larder.queries import ORACLES, QUERIES
+
+import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = [
-    "read_inventory", "upsert_by_key", "alias_headers", "derive_missing", "lookup_sku", "last_n_days", "gap_fill", "sales_revenue",
-    "period_compare", "histogram_bins", "clean_stats", "dedupe_keep_last", "recent_messages", "top_sellers", "medium_top3", "clean_text",
-    "parse_date_any", "intent_flags", "clean_inventory", "clean_export", "dq_report", "reorder_plan", "forecast_items", "reorder_priority",
-    "shelf_gap_local", "gap_batch", "m5_tidy", "wrmsse_bottom",
-]
-ORACLES = entry.oracle_sql()
-CHOSEN = sorted(ORACLES) if os.environ.get("LARDER_ALL_QUERIES") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
 
@@ -28,11 +19,11 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    assert differences(entry.queries()[name](spark, FOLDER), duck, ORACLES[name]) == []
+    assert differences(QUERIES[name](spark, FOLDER), duck, ORACLES[name]) == []
 
 
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() > 0
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) >= set(QUERIES)

@@ -49,6 +49,16 @@ def test_hot_group_of_copies_is_split(spark):
     df = spark.range(300).select(F.lit("hot").alias("k"), F.lit(1).alias("i"), F.lit(2.0).alias("v"))
     got = W.rolling_mean_min1(df, ["k"], ["i"], "v", "m", 7, 20)
     assert [r["m"] for r in got.collect()] == [2.0] * 300
+    with pytest.raises(ValueError, match="order"):
+        W.rolling_mean_min1(df, ["k"], [], "v", "m")
+
+
+def test_rows_that_tie_follow_their_other_columns(spark):
+    rows = [("a", 1, float(v), f"x{v}") for v in (9, 1, 5)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "k string, i int, v double, name string").repartition(parts)
+        got = W.rolling_mean_min1(df, ["k"], ["i"], "v", "m", 7).collect()
+        assert {r["name"]: r["m"] for r in got} == {"x1": 1.0, "x5": 3.0, "x9": 5.0}
 
 
 def test_keep_last_prefilters_before_the_shuffle(spark):
@@ -75,8 +85,22 @@ def test_many_to_one_is_enforced(spark):
     good = spark.createDataFrame([("a", 5)], "d string, y int")
     assert joins.join_calendar(facts, good).count() == 2
     bad = spark.createDataFrame([("a", 5), ("a", 6)], "d string, y int")
+    joined = joins.join_calendar(facts, bad)
+    for result in (joined, joined.select("x"), joined.select("d", "x"), joined.select("y"), joined.agg(F.count(F.lit(1)))):
+        with pytest.raises(Exception, match="many-to-one"):
+            result.collect()
     with pytest.raises(Exception, match="many-to-one"):
-        joins.join_calendar(facts, bad).collect()
+        joined.count()
+
+
+def test_insights_refuse_repeated_items(spark):
+    forecast = spark.createDataFrame([("a", 5.0), ("a", 5.0)], "item_id string, yhat double")
+    inv = spark.createDataFrame([("a", 3.0)], "item_id string, unit double")
+    items = spark.createDataFrame([("a", "thing", 1.0, 3, 0.5)], "item_id string, description string, price double, lead_time int, holding_cost double")
+    assert joins.join_inventory_forecast(forecast, inv, items).count() == 2
+    for one, two in ((inv.union(inv), items), (inv, items.union(items))):
+        with pytest.raises(Exception, match="many-to-one"):
+            joins.join_inventory_forecast(forecast, one, two).agg(F.sum("yhat")).collect()
 
 
 def test_gap_fill_covers_every_day(spark):
@@ -104,15 +128,16 @@ def test_histogram_edges(spark):
     assert [(b["left_edge"], b["n"]) for b in flat] == [(3.5, 0), (4.0, 4)]
 
 
-def test_chart_top10_shows_all_while_few(spark):
-    few = spark.range(20).select(F.col("id").cast("string").alias("c"), "id")
-    many = spark.range(21).select(F.col("id").cast("string").alias("c"), "id")
-    assert ranking.chart_top10(few, "c", "id").count() == 20
-    assert sorted(r["id"] for r in ranking.chart_top10(many, "c", "id").collect()) == list(range(11, 21))
+def test_chart_top10_shows_the_largest(spark):
+    for n in (5, 20, 21):
+        rows = spark.range(n).select(F.col("id").cast("string").alias("c"), "id")
+        got = sorted(r["id"] for r in ranking.chart_top10(rows, "c", "id").collect())
+        assert got == list(range(max(0, n - 10), n))
+    assert ranking.chart_top10(rows, "c", "id", 21).count() == 21
 
 
 def test_lookup_prefers_exact(spark):
-    schema = "sku string, on_hand double, shelf_units double, backroom_units double, avg_daily_sales double, lead_time_days double"
+    schema = "sku string, on_hand double, shelf_units double, stockroom_units double, avg_daily_sales double, lead_time_days double"
     df = spark.createDataFrame([("A-17", 9.0, 1.0, 8.0, 2.0, 3.0), ("a17", 4.0, 1.0, 3.0, 0.0, 3.0)], schema)
     assert filters.lookup_sku(df, "A17").first()["sku"] == "a17"
     assert filters.lookup_sku(df, "17").first()["days_cover"] == 4.5

@@ -68,7 +68,7 @@ def test_recursion_feeds_predictions_back(spark, fitted):
     calendar = spark.createDataFrame(
         [(last + dt.timedelta(days=i), "Fair" if i == 3 else None, i % 2) for i in range(1, 29)], "date date, event_name_1 string, snap_ca int"
     )
-    out = training.forecast_recursive_28(model, table, names, vocabulary, calendar)
+    out = training.forecast_recursive_28(training.model_step(model, names), table, names, vocabulary, calendar)
     got = {(r["store_id"], r["item_id"], r["date"]): r["y_pred"] for r in out.collect()}
     assert len(got) == 4 * 28
     own = table.where("store_id = 'S1' AND item_id = 'A'").orderBy("date").collect()
