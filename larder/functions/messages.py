@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larder.functions.paths import SKU_MENTION
+
 # Words whose presence (as lower-case substrings) marks each kind of request.
 ALLOWED_WORDS = [
     "inventory", "stock", "stocks", "in stock", "out of stock", "availability", "available",
@@ -53,6 +55,9 @@ PRODUCT_ITEMS = {
 }
 ITEM_CODE = r"(FOODS_\d+_\d+)"
 
+# Fixed value: how a message asks for a shelf picture to be checked.
+GAP_REQUEST = r"(?i)\bgap\s*(?:detect|detection)\s+(.+)$"
+
 # Chart kinds and the words that pick them, in order of precedence.
 CHART_KINDS = [
     ("Pie Chart", ["pie"]),
@@ -64,6 +69,16 @@ CHART_KINDS = [
 ]
 OTHER_CHART = "Custom Chart"
 
+# Kinds of analysis a question asks for and the words that mark them, in order of precedence.
+INTENT_CLASSES = [
+    ("trend", ["show trends", "over time", "change", "trend"]),
+    ("comparison", ["compare", "vs", "versus"]),
+    ("forecast", ["forecast", "predict", "future"]),
+    ("analysis", ["analyze", "why", "relationship"]),
+    ("summary", ["summary", "overview", "total"]),
+]
+TIME_FRAME = r"\b(last|next|this)\s+(day|week|month|quarter|year)\b"
+
 DEFAULT_HORIZON = 30
 
 
@@ -80,7 +95,7 @@ def mentions_any(lowered: Column, words: list[str]) -> Column:
 
 def intent_flags(text: Column) -> dict[str, Column]:
     low = F.lower(text)
-    has_sku = text.rlike(r"(?i)(?:^|\b)sku\s*[:#]?\s*([\w\-]+)")
+    has_sku = text.rlike(SKU_MENTION)
     flags = {
         "is_allowed": mentions_any(low, ALLOWED_WORDS),
         "wants_summary": mentions_any(low, SUMMARY_WORDS),
@@ -92,11 +107,33 @@ def intent_flags(text: Column) -> dict[str, Column]:
         "is_follow_up": mentions_any(low, FOLLOW_UP_WORDS),
         "wants_save": mentions_any(low, SAVE_WORDS),
         "wants_plot": mentions_any(low, PLOT_WORDS),
-        "gap_request": text.rlike(r"(?i)\bgap\s*(?:detect|detection)\s+(.+)$"),
+        "gap_request": text.rlike(GAP_REQUEST),
     }
     return {name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}
 
 
+def _word_in(lowered: Column, words: list[str]) -> Column:
+    """Whether any of the words or phrases stands in the text by itself, not as part of a longer word to its left."""
+    return lowered.rlike(r"\b(?:" + "|".join(words) + ")")
+
+
+def intent_class(text: Column) -> Column:
+    """The first kind of analysis that the text has a word of, else "other"."""
+    low = F.coalesce(F.lower(text), F.lit(""))
+    picked = None
+    for kind, words in INTENT_CLASSES:
+        test = _word_in(low, words)
+        picked = F.when(test, kind) if picked is None else picked.when(test, kind)
+    return picked.otherwise("other")
+
+
+def time_frame(text: Column) -> Column:
+    """The first relative time frame, such as "last month", in lower case with one space; NULL without one."""
+    low = F.lower(text)
+    parts = F.concat_ws(" ", F.regexp_extract(low, TIME_FRAME, 1), F.regexp_extract(low, TIME_FRAME, 2))
+    return F.when(low.rlike(TIME_FRAME), parts)
+
+
 def item_from_text(text: Column) -> Column:
     """Item code written in the text (any case), else the item of the first known product name, else NULL."""
     low = F.lower(text)

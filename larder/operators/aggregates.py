@@ -68,6 +68,16 @@ def sales_by_category(sales: DataFrame, categories: DataFrame | None = None) ->
     return keyed.groupBy("category").agg(F.sum("sale").alias("sales"))
 
 
+def revenue_by_category(sales: DataFrame, item_dim: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """Units and units x price per category; units are totalled per item before any join."""
+    per_item = sales_revenue(sales, item_dim)
+    if categories is None:
+        keyed = per_item.withColumn("category", F.substring_index("item_id", "_", 1))
+    else:
+        keyed = per_item.join(categories.select("item_id", "category"), "item_id")
+    return keyed.groupBy("category").agg(F.sum("units").alias("units"), F.sum("revenue").alias("revenue"))
+
+
 def period_compare(sales: DataFrame, days: int) -> DataFrame:
     """Units of the last ``days`` days against the same number of days before them."""
     last = sales.select(F.max("date")).scalar()

@@ -90,6 +90,19 @@ def _(spark, folder):
     return A.sales_by_category(marts.lines(spark, folder).select("item_id", "sale"))
 
 
+@query(
+    "revenue_by_category",
+    """
+    SELECT p_type AS category, sum(units) AS units, round(sum(units * price), 2) AS revenue
+    FROM (SELECT s.item_id, sum(s.sale) AS units, any_value(i.price) AS price FROM sales s JOIN item_dim i ON i.item_id = s.item_id GROUP BY 1)
+    JOIN part ON CAST(p_partkey AS VARCHAR) = CAST(item_id AS VARCHAR) GROUP BY 1""",
+    "sales item_dim",
+)
+def _(spark, folder):
+    found = A.revenue_by_category(marts.sales(spark, folder), marts.item_dim(spark, folder), marts.item_categories(spark, folder))
+    return rounded(found, 2, "revenue")
+
+
 @query(
     "sales_by_item_category",
     "SELECT p_type AS category, sum(l_quantity) AS sales FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1",

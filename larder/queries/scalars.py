@@ -257,15 +257,30 @@ def _any(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower(content), '{w}')" for w in words) + ")"
 
 
+# The words are written out here on their own: a wrong list in the code under test must not pass.
 @query(
     "intent_flags",
-    rf"""
-    SELECT conv_id, turn, {_any(messages.ALLOWED_WORDS)} AS is_allowed, {_any(messages.SUMMARY_WORDS)} AS wants_summary,
-           {_any(messages.REORDER_WORDS)} AND NOT regexp_matches(content, '(?i)(?:^|\b)sku\s*[:#]?\s*([\w\-]+)') AS wants_reorder,
-           {_any(messages.FORECAST_WORDS)} AS wants_forecast, {_any(messages.CHART_WORDS)} AS wants_chart,
-           {_any(messages.INVENTORY_WORDS)} AS about_inventory, {_any(messages.MULTI_ITEM_WORDS)} AS multi_item_reorder,
-           {_any(messages.FOLLOW_UP_WORDS)} AS is_follow_up, {_any(messages.SAVE_WORDS)} AS wants_save,
-           {_any(messages.PLOT_WORDS)} AS wants_plot, regexp_matches(content, '(?i)\bgap\s*(?:detect|detection)\s+(.+)$') AS gap_request
+    r"""
+    SELECT conv_id, turn,
+           regexp_matches(lower(content), 'inventory|stock|stocks|in stock|out of stock|availability|available|quantity|quantities|units|sku|skus|' ||
+           'restock|re-stock|backorder|back-ordered|timeline|timelines|schedule|schedules|deadline|deadlines|' ||
+           'milestone|milestones|when|date|dates|roadmap|release|ship|shipping|deliver|delivery|forecast|forecasts|' ||
+           'predict|prediction|predictions|projection|projections|outlook|trend|trends|demand|supply|price forecast|' ||
+           'capacity') AS is_allowed,
+           regexp_matches(lower(content), 'summary|overview|snapshot|status') AS wants_summary,
+           regexp_matches(lower(content), 'reorder plan|reorder|restock plan|restock') AND NOT regexp_matches(content, '(?i)(?:^|\b)sku\s*[:#]?\s*([\w\-]+)') AS wants_reorder,
+           regexp_matches(lower(content), 'forecast|predict|projection|future|predict sales|forecast sales|sales projection|future sales|' ||
+           'predict demand|demand forecast|sales forecast|trend forecast|next month|next week|coming days|upcoming|' ||
+           'prophet|prediction') AS wants_forecast,
+           regexp_matches(lower(content), 'plot|chart|graph|visualize|show|display|draw|trend|over time|historical|sales over|monthly|daily|weekly|' ||
+           'yearly|compare|comparison|distribution|pattern|pie|bar|line|scatter|time-series|time series|histogram|' ||
+           'box plot|heatmap|correlation|regression|forecast') AS wants_chart,
+           regexp_matches(lower(content), 'days of cover|coverage|inventory|stock level|reorder point') AS about_inventory,
+           regexp_matches(lower(content), 'which items need to be ordered|reorder priority|order soon|reorder list|who needs ordering') AS multi_item_reorder,
+           regexp_matches(lower(content), 'this|that|it|them|those|previous|last|above') AS is_follow_up,
+           regexp_matches(lower(content), 'save|export|parquet|file') AS wants_save,
+           regexp_matches(lower(content), 'plot|chart|graph|visualize|show') AS wants_plot,
+           regexp_matches(content, '(?i)\bgap\s*(?:detect|detection)\s+(.+)$') AS gap_request
     FROM messages""",
     "messages",
 )
@@ -274,6 +289,26 @@ def _(spark, folder):
     return marts.messages(spark, folder).select("conv_id", "turn", *[c.alias(n) for n, c in flags.items()])
 
 
+@query(
+    "message_intent",
+    r"""
+    SELECT conv_id, turn,
+           CASE WHEN regexp_matches(lower(content), '\b(show trends|over time|change|trend)') THEN 'trend'
+                WHEN regexp_matches(lower(content), '\b(compare|vs|versus)') THEN 'comparison'
+                WHEN regexp_matches(lower(content), '\b(forecast|predict|future)') THEN 'forecast'
+                WHEN regexp_matches(lower(content), '\b(analyze|why|relationship)') THEN 'analysis'
+                WHEN regexp_matches(lower(content), '\b(summary|overview|total)') THEN 'summary' ELSE 'other' END AS intent,
+           nullif(regexp_replace(regexp_extract(lower(content), '\b(last|next|this)\s+(day|week|month|quarter|year)\b'), '\s+', ' '), '') AS time_frame
+    FROM messages""",
+    "messages",
+)
+def _(spark, folder):
+    text = F.col("content")
+    return marts.messages(spark, folder).select(
+        "conv_id", "turn", messages.intent_class(text).alias("intent"), messages.time_frame(text).alias("time_frame")
+    )
+
+
 @query(
     "chart_type",
     f"""
