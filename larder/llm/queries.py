@@ -74,14 +74,41 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predict(rows, model).drop("text")
 
 
+LINES = "string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+LEVEL = r"length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g'))"
+
+
 @query(
     "op5_quotations",
-    """
-    SELECT conv_id, turn, role,
-           trim(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)),
-                               '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text,
-           CAST(0 AS INTEGER) AS quoted, CAST(NULL AS BIGINT) AS reply_to, turn AS thread, CAST(0 AS INTEGER) AS depth
-    FROM conversations
+    rf"""
+    WITH RECURSIVE marked AS (
+        SELECT *, {LEVEL} AS level FROM (SELECT conv_id, turn, unnest({LINES}) AS line FROM conversations)
+    ), printed AS (
+        SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(
+            CASE WHEN level = 0 THEN line ELSE regexp_replace(line, '^((?:[ \t]*>)*)[ \t]?', '') END), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS print
+        FROM marked
+    ), sources AS (
+        SELECT q.conv_id, q.turn, q.print, max(o.turn) AS source FROM printed q
+        JOIN printed o ON o.conv_id = q.conv_id AND o.print = q.print AND o.turn < q.turn
+        WHERE q.level = 1 AND o.level = 0 AND q.print <> '' GROUP BY ALL
+    ), votes AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, source DESC) AS k
+        FROM (SELECT conv_id, turn, source, count(*) AS n FROM sources GROUP BY ALL)
+    ), replies AS (SELECT conv_id, turn, source AS reply_to FROM votes WHERE k = 1),
+    chain AS (
+        SELECT conv_id, turn, reply_to, reply_to AS thread, 1 AS depth FROM replies
+        UNION ALL
+        SELECT c.conv_id, c.turn, c.reply_to, r.reply_to, c.depth + 1
+        FROM chain c JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.thread
+    ), ends AS (
+        SELECT conv_id, turn, max(reply_to) AS reply_to, arg_max(thread, depth) AS thread, max(depth) AS depth FROM chain GROUP BY ALL
+    )
+    SELECT m.conv_id, m.turn, role,
+           trim(regexp_replace(array_to_string([x FOR x IN {LINES} IF NOT regexp_matches(x, '^[ \t]*>')], chr(10)),
+                               '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text,
+           CAST(len([x FOR x IN {LINES} IF {LEVEL.replace("line", "x")} = 1]) AS INTEGER) AS quoted,
+           reply_to, coalesce(thread, m.turn) AS thread, CAST(coalesce(depth, 0) AS INTEGER) AS depth
+    FROM conversations m LEFT JOIN ends e ON e.conv_id = m.conv_id AND e.turn = m.turn
     """,
 )
 def op5_quotations(spark: SparkSession, folder: str) -> DataFrame:

@@ -49,3 +49,21 @@ def test_the_latest_of_equal_lines_is_answered(spark):
     out = by_turn(link_quotations(spark.createDataFrame(rows, SCHEMA)).collect())
     assert out[1, 50].reply_to == 49 and out[1, 51].reply_to is None
     assert link_quotations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sql_of_the_query_agrees_where_there_are_quotes(spark, tmp_path):
+    """The given tables hold no quotes, so the query and its SQL meet on a chat that does."""
+    import duckdb
+
+    from larder.llm.queries import ORACLES, QUERIES
+
+    rows = [r for r in CHAT if r[0] is not None and r[1] is not None and r[:2] != (2, 2)]
+    rows += [(3, k, "user", f"line {k}" if k % 3 else f"> line {k - 1}\n>> line {k - 2}\n> line {k - 2}\nline {k}", "x") for k in range(30)]
+    spark.createDataFrame(rows, SCHEMA).drop("depth").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    result = con.execute(ORACLES["op5_quotations"])
+    names = [d[0] for d in result.description]
+    want = {tuple(r[names.index(c)] for c in sorted(names)) for r in result.fetchall()}
+    got = {tuple(r[c] for c in sorted(names)) for r in QUERIES["op5_quotations"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == len(rows)
