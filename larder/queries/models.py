@@ -81,6 +81,11 @@ def _(spark, folder):
     return validated(spark, folder, "gbt")
 
 
+@query("train_validate_forest", VALIDATED, "panel")
+def _(spark, folder):
+    return validated(spark, folder, "rf")
+
+
 def weighted_step(rows):
     """A stated formula in place of a model: half of last week's day, the rest from the last month and yesterday."""
     return rows.withColumn("y_pred", F.col("sales_lag_7") * 0.5 + F.col("sales_rmean_28") * 0.25 + F.col("sales_lag_1") * 0.25)
