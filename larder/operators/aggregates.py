@@ -222,17 +222,18 @@ def pie_share(slices: DataFrame, value: str) -> DataFrame:
     return slices.withColumn("share", F.try_divide(F.col(value), total))
 
 
-def histogram_bins(df: DataFrame, column: str) -> DataFrame:
-    """Equal-width counts over max(1, min(20, rows // 2)) bins; the last bin includes its right edge.
+def histogram_bins(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """Equal-width counts over ``bins`` bins, by default max(1, min(20, rows // 2)); the last includes its right edge.
 
     When all values are equal the range is widened by half a unit on both sides.
     """
     present = df.where(F.col(column).isNotNull())
+    usual = F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.count(F.lit(1)) / 2)))
     shape = present.agg(
         F.struct(
             F.min(column).cast("double").alias("lo"),
             F.max(column).cast("double").alias("hi"),
-            F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.count(F.lit(1)) / 2))).cast("int").alias("bins"),
+            (usual if bins is None else F.lit(bins)).cast("int").alias("bins"),
         ).alias("s")
     ).scalar()
     flat = shape["lo"] == shape["hi"]
@@ -241,8 +242,8 @@ def histogram_bins(df: DataFrame, column: str) -> DataFrame:
     width = (hi - lo) / shape["bins"]
     bin_no = F.least(F.floor((F.col(column).cast("double") - lo) / width), shape["bins"] - 1).cast("int")
     counts = present.groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    bins = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), shape["bins"] - 1)).alias("bin"))
-    return bins.join(counts, "bin", "left").select(
+    all_bins = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0), shape["bins"] - 1)).alias("bin"))
+    return all_bins.join(counts, "bin", "left").select(
         "bin",
         (lo + F.col("bin") * width).alias("left_edge"),
         (lo + (F.col("bin") + 1) * width).alias("right_edge"),

@@ -124,6 +124,7 @@ def test_histogram_edges(spark):
     df = spark.range(0, 101).select(F.col("id").cast("double").alias("v"))
     bins = aggregates.histogram_bins(df, "v").orderBy("bin").collect()
     assert [b["n"] for b in bins] == [5] * 19 + [6] and (bins[0]["left_edge"], bins[-1]["right_edge"]) == (0.0, 100.0)
+    assert [b["n"] for b in aggregates.histogram_bins(df, "v", 4).orderBy("bin").collect()] == [25, 25, 25, 26]
     flat = aggregates.histogram_bins(spark.createDataFrame([(4.0,)] * 4, "v double"), "v").orderBy("bin").collect()
     assert [(b["left_edge"], b["n"]) for b in flat] == [(3.5, 0), (4.0, 4)]
 
