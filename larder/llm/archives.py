@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.llm import text_blocks as tb
+
 RECORDS_PER_FILE = 1000
 OUT_BYTES = 1 << 22
 
@@ -196,7 +198,7 @@ def _read(spark: SparkSession, path: str, parse, schema: pa.Schema, ddl: str) ->
                 yield _batch(rows, schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInArrow(run, ddl)
+    return files.select("content").mapInArrow(tb.tidy(run), ddl)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -256,15 +258,26 @@ def arc_to_warc(spark: SparkSession, arc: str, order: Column, least_bytes: int =
 
     Of records whose payloads are equal and of at least ``least_bytes`` bytes, the one that is smallest by ``order``
     (an expression over the columns of ``read_arc``) is a response, the others revisits of it.  The files are read
-    twice: once for the digests alone, once with their payloads.
+    twice: once for the digests alone, once with their payloads.  Only payloads that occur twice go into the table of
+    first records beside the files; its size is known to Spark when the payloads meet it, so that they need not be
+    shuffled where it is small.
     """
     name = record_id(F.col("url"), F.col("date"), F.col("digest"), F.col("head"))
-    firsts = (
+    path = arc.rstrip("/") + "-first-records"
+    (
         read_arc(spark, arc, bodies=False)
         .where(F.col("payload_bytes") >= least_bytes)
         .groupBy("digest")
-        .agg(F.min(F.struct(order.alias("order"), name.alias("id"), "url", "date")).alias("first"))
+        .agg(
+            F.min(F.struct(order.alias("order"), name.alias("id"), "url", "date")).alias("first"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .where("n > 1")
+        .drop("n")
+        .write.mode("overwrite")
+        .parquet(path)
     )
+    firsts = spark.read.parquet(path)
     known = F.col("first").isNotNull() & (order > F.col("first.order"))
     rows = read_arc(spark, arc).join(firsts, "digest", "left")
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
@@ -331,7 +344,7 @@ def page_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", url
     # Partitions take the two versions of the old format in turn.
     version = F.pmod(F.spark_partition_id(), F.lit(2)) + 1
     lines = pages.select(arc_lines(F.col(url), F.lit(when), http_block(body, head), version).alias("value"))
-    write_archive(lines, f"{folder}/arc", [arc_head(1, when), arc_head(2, when)], "\n", compress=False)
+    write_archive(lines, f"{folder}/arc", [arc_head(1, when), arc_head(2, when)], "\n", compress=True)
     page = F.nullif(http_field("head", "X-Page-Id"), F.lit("")).try_cast("long")
     # A page without an id sorts behind all others.
     order = F.struct(page.isNull().alias("unnamed"), page.alias("page"))
