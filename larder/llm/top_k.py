@@ -47,18 +47,20 @@ class Lists:
         seen = np.zeros(n, bool)
         kept, scores = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
         depth, step = 0, max(1, n // max(64, 2 * len(used)))
-        while depth < n:
+        up, unseen = query[used] > 0, n
+        while unseen:
             stop = min(n, depth + step)
-            if len(used):
-                up = query[used] > 0
+            if unseen > n // 8 and len(used):
                 lists = np.where(up, self.falling[depth:stop, used], self.rising[depth:stop, used])
                 fresh = np.zeros(n, bool)
                 fresh[lists.ravel()] = True
                 fresh &= ~seen
                 bound = (query[used] * self.vectors[lists[-1], used]).sum()
             else:
-                fresh, bound, stop = ~seen, 0, n
+                # Few vectors are left: scoring them costs less than reading on in all lists.
+                fresh, bound = ~seen, -np.inf
             seen |= fresh
+            unseen = n - int(np.count_nonzero(seen))
             at = np.flatnonzero(fresh)
             at = at[self.ids[at] != query_id]
             # A full pass over most of the block is cheaper than picking rows out of it.
