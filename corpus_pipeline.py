@@ -66,8 +66,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, how many there are, and whether they decode to the very text."""
     ranks, pattern = byte_vocabulary()
-    ids = byte_bpe.encode(docs.select(*COLUMNS), ranks=ranks, pattern=pattern)
-    both = byte_bpe.decode(ids, ranks=ranks)
+    both = byte_bpe.encode(docs.select(*COLUMNS), ranks=ranks, pattern=pattern, decoded="decoded")
     whole = F.coalesce(F.col("decoded").cast("string") == F.coalesce("text", F.lit("")), F.lit(False))
     return both.select(
         "doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("lossless")

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm import text_blocks as tb
 from larder.llm.shared import with_fields
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 BLOCK_CHARS = 1 << 22
+FEW = 24  # up to so many places of a merge, plain numbers are faster than arrays
 
 
 class Vocabulary:
@@ -46,6 +48,7 @@ class Vocabulary:
                     pairs.append((left << 32 | right, rank))
                     hasty.update(x for x in (left, right) if x > rank)
         pairs.sort()
+        self.pairs = dict(pairs)
         self.pair_keys = np.array([k for k, _ in pairs] or [-1], np.int64)
         self.pair_ids = np.array([r for _, r in pairs] or [-1], np.int64)
         # Tokens next to which a pair of a lower rank than the token's own can arise.
@@ -76,8 +79,10 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
     after[ends[lengths > 0] - 1] = total  # the last place stands for "no neighbour"
     before[(ends - lengths)[lengths > 0]] = total
 
-    index: dict[int, list[np.ndarray]] = {}
+    # Places by rank: in arrays, and single ones.
+    index: dict[int, tuple[list[np.ndarray], list[int]]] = {}
     waiting: list[int] = []
+    pair_rank = vocabulary.pairs.get
 
     def enter(places: np.ndarray) -> None:
         places = places[(places < total) & (after[places] < total)]
@@ -92,12 +97,35 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
             for rank, own in zip(ranks[np.concatenate(([0], cuts))].tolist(), np.split(places, cuts), strict=True):
                 add(rank, own)
 
-    def add(rank: int, places: np.ndarray) -> None:
-        if rank in index:
-            index[rank].append(places)
-        else:
-            index[rank] = [places]
+    def at(rank: int) -> tuple[list[np.ndarray], list[int]]:
+        if rank not in index:
+            index[rank] = [], []
             heapq.heappush(waiting, rank)
+        return index[rank]
+
+    def add(rank: int, places: np.ndarray) -> None:
+        at(rank)[0].append(places)
+
+    def merge_few(rank: int, places: list[int]) -> None:
+        """The same as below for a few places, one by one from the left."""
+        for k, place in enumerate(places):
+            gone = int(after[place])
+            if token[place] < 0 or pair_rank(int(token[place]) << 32 | int(token[gone])) != rank:
+                continue
+            beyond = int(after[gone])
+            token[place], token[gone], after[place] = rank, -1, beyond
+            if beyond < total:
+                before[beyond] = place
+            lower = False
+            for left in (int(before[place]), place):
+                if left < total and after[left] < total:
+                    born = pair_rank(int(token[left]) << 32 | int(token[after[left]]))
+                    if born is not None:
+                        at(born)[1].append(left)
+                        lower |= born < rank
+            if lower and k + 1 < len(places):
+                at(rank)[1].extend(places[k + 1 :])
+                return
 
     def overtaken(rank: int, places: np.ndarray) -> np.ndarray:
         """Whether merging a place may make a pair of a lower rank, whatever happens to its neighbours."""
@@ -113,8 +141,13 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.n
         enter(np.arange(total))
     while waiting:
         rank = heapq.heappop(waiting)
-        entries = index.pop(rank)
-        places = entries[0] if len(entries) == 1 else np.unique(np.concatenate(entries))
+        arrays, single = index.pop(rank)
+        if len(single) + sum(map(len, arrays)) <= FEW:
+            merge_few(rank, sorted({*single, *(p for a in arrays for p in a.tolist())}))
+            continue
+        if single:
+            arrays.append(np.array(single, np.int64))
+        places = arrays[0] if len(arrays) == 1 else np.unique(np.concatenate(arrays))
         # A place may have changed since it was entered.
         places = places[token[places] >= 0]
         places = places[vocabulary.merged(token[places], token[after[places]]) == rank]
@@ -240,20 +273,25 @@ def _spans(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(lengths)
 
 
-def encode(df: DataFrame, *, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, *, ranks: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """All columns of the input and ``ids`` array<int>, the token ids of the whole text without special tokens.
 
+    With ``decoded``, a binary column of that name holds what the ids decode to, made in the same pass.
+
     ranks: path of a file of base64 tokens and ranks that the driver can read.  A null or empty text has no ids.
     Replaces a column already called like ``ids``.  Equal texts and repeated rows get equal ids; an empty table gives
     an empty result.
     """
     file = _ship(df, ranks)
-    kept = [c for c in df.columns if c != ids]
+    kept = [c for c in df.columns if c not in (ids, decoded)]
     frame = df.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _once("encode", (ranks, pattern), lambda: Encoder(Vocabulary.parse(file.value), pattern))
+        decoder = _once("decode", (ranks,), lambda: Decoder(encoder.vocabulary)) if decoded else None
         for batch in batches:
             column = batch.column(at)
             lengths = column.fill_null("").cast(pa.large_string())
@@ -262,10 +300,17 @@ def encode(df: DataFrame, *, ranks: str, pattern: str, text: str = "text", ids:
                 part = batch.slice(start, stop - start)
                 out, bounds = encoder.encode([x or "" for x in part.column(at).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
+                more = [_binary(*decoder.decode(out, bounds))] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names=names)
+
+    fields = [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.BinaryType())] if decoded else [])]
+    names = [*kept, *(name for name, _ in fields)]
+    return frame.mapInArrow(tb.tidy(run), with_fields(frame, *fields))
+
 
-    schema = with_fields(frame, (ids, T.ArrayType(T.IntegerType())))
-    return frame.mapInArrow(run, schema)
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    offsets = pa.py_buffer(bounds.astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(data.tobytes())])
 
 
 def decode(df: DataFrame, *, ranks: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -290,10 +335,6 @@ def decode(df: DataFrame, *, ranks: str, ids: str = "ids", data: str = "decoded"
                 own = flat[edges[start] : edges[stop]]
                 out, bounds = decoder.decode(own, edges[start : stop + 1] - edges[start])
                 part = batch.slice(start, stop - start)
-                joined = pa.Array.from_buffers(
-                    pa.binary(), stop - start, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())]
-                )
-                yield pa.RecordBatch.from_arrays([*part.columns, joined], names=[*part.schema.names, data])
+                yield pa.RecordBatch.from_arrays([*part.columns, _binary(out, bounds)], names=[*part.schema.names, data])
 
-    schema = with_fields(frame, (data, T.BinaryType()))
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tb.tidy(run), with_fields(frame, (data, T.BinaryType())))

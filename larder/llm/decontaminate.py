@@ -143,7 +143,7 @@ def decontaminate(
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scanned = stored(
-        docs.mapInArrow(_prints(["doc_id"], bitmap, short), f"doc_id {kind}, n_words long, hits array<{HIT}>").withColumn(
+        docs.mapInArrow(tb.tidy(_prints(["doc_id"], bitmap, short)), f"doc_id {kind}, n_words long, hits array<{HIT}>").withColumn(
             "row", F.monotonically_increasing_id()
         )
     )

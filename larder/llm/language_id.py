@@ -132,7 +132,7 @@ def train(
 
     counted = (
         sample.select(number[F.col("lang")].cast("int").alias("number"), "text")
-        .mapInArrow(count, "number int, bucket int, n long")
+        .mapInArrow(tb.tidy(count), "number int, bucket int, n long")
         .groupBy("number", "bucket")
         .agg(F.sum("n").alias("n"))
         .toArrow()
@@ -181,7 +181,7 @@ def predict(
                 )
 
     schema = with_fields(frame, (predicted, T.StringType()), (score, T.DoubleType()))
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tb.tidy(run), schema)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -31,7 +31,7 @@ from larder.llm.shared import hash_bitmap, in_bitmap, stored
 
 MISS = 1e-7
 SMALL_BUCKET = 8  # up to here the pairs of a bucket are lines of a join; beyond, blocks
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 400_000
 
 _A, _B, _C = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F)
 
@@ -258,7 +258,7 @@ def near_duplicates(
     banding = Banding.for_threshold(percent)
     sketches = stored(
         docs.mapInArrow(
-            _sketches(words, banding), "doc_id long, n_shingles long, one long, two long, keys array<long>"
+            tb.tidy(_sketches(words, banding)), "doc_id long, n_shingles long, one long, two long, keys array<long>"
         )
     )
     classes = (
@@ -289,7 +289,7 @@ def near_duplicates(
     reps = rows.select("rep").distinct()
     sets = stored(
         docs.select("doc_id", "text", F.xxhash64("doc_id").alias("slot"))
-        .mapInArrow(_sets(words, bitmap), "doc_id long, set array<long>")
+        .mapInArrow(tb.tidy(_sets(words, bitmap)), "doc_id long, set array<long>")
         .join(reps, F.col("doc_id") == F.col("rep"))
         .select("rep", "set")
     )

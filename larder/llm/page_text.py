@@ -363,4 +363,4 @@ def extract(
     schema = with_fields(
         frame.drop("__html"), (text, T.StringType()), ("n_blocks", T.IntegerType()), ("least_certain", T.DoubleType())
     )
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tb.tidy(run), schema)

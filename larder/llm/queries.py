@@ -41,8 +41,7 @@ def byte_vocabulary() -> tuple[str, str]:
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = byte_vocabulary()
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    ids = byte_bpe.encode(docs, ranks=ranks, pattern=pattern).drop("text")
-    both = byte_bpe.decode(ids, ranks=ranks)
+    both = byte_bpe.encode(docs, ranks=ranks, pattern=pattern, decoded="decoded")
     # The text form of an array is its numbers between brackets, with a comma and a space between them.
     spaced = F.replace(F.btrim(F.col("ids").cast("string"), F.lit("[]")), F.lit(","), F.lit(""))
     return both.select(

@@ -215,7 +215,7 @@ def scan(df: DataFrame, *, text: str = "text", spans: str = "spans") -> DataFram
 
     span = T.StructType().add("kind", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())
     schema = with_fields(frame, (spans, T.ArrayType(span.add("bits", T.DoubleType()))))
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tb.tidy(run), schema)
 
 
 def written(spans: Column) -> Column:

@@ -84,7 +84,7 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_rows: int = 12_000,
+    max_rows: int = 8_000,
     min_rows: int = 3,
     alpha: float = 1.0,
     beta: float = 1.0,
@@ -115,20 +115,26 @@ def train(
         F.broadcast(labels), "doc_id"
     )
     listed = chosen.select("turn", "label", "text").mapInArrow(
-        _feature_lists, "turn long, label double, features array<int>"
+        tb.tidy(_feature_lists), "turn long, label double, features array<int>"
     )
 
     def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("turn", "ascending")])
+        # The table is large: each step lets go of the one before.
+        turns, labels = group.column("turn").to_numpy(), group.column("label").to_numpy()
         column = group.column("features").combine_chunks()
+        del group
         flat, bounds = column.values.to_numpy(), column.offsets.to_numpy()
         often = np.bincount(flat, minlength=DIMENSIONS) >= min_rows
+        order = np.argsort(turns, kind="stable")
         lists = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            own = flat[a:b]
-            lists.append(np.append(own[often[own]], BIAS))
-        w = ftrl(lists, group.column("label").to_numpy(), alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
+        for i in order:
+            own = flat[bounds[i] : bounds[i + 1]]
+            lists.append(np.append(own[often[own]], np.int32(BIAS)))
+        del column, flat
+        w = ftrl(lists, labels[order], alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
         kept = np.flatnonzero(w)
+        del lists
+        tb.give_back()
         return pa.table({"feature": pa.array(kept, pa.int32()), "weight": pa.array(w[kept], pa.float64())})
 
     fitted = listed.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "feature int, weight double").collect()
@@ -175,7 +181,7 @@ def score(
                 )
 
     schema = with_fields(frame, (score, T.DoubleType()), (predicted, T.IntegerType()))
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(tb.tidy(run), schema)
 
 
 def fold(doc_id: str = "doc_id") -> Column:

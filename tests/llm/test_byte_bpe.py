@@ -93,7 +93,9 @@ def test_tables(spark, library):
     for r in rows:
         text = r.text or ""
         assert r.ids == library.encode_ordinary(text) and bytes(r.decoded) == text.encode()
-    assert encode(nothing(spark), ranks=PATH, pattern=PATTERN).collect() == []
+    once = encode(frame, ranks=PATH, pattern=PATTERN, decoded="decoded")
+    assert once.columns == both.columns and sorted(map(str, once.collect())) == sorted(map(str, rows))
+    assert encode(nothing(spark), ranks=PATH, pattern=PATTERN, decoded="spans").collect() == []
 
 
 def test_digests(spark, library, tmp_path):
