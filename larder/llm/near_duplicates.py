@@ -45,7 +45,7 @@ class Banding:
 
     @classmethod
     def for_threshold(cls, percent: int) -> Banding:
-        """About seven in ten pairs of an accidental similarity of one half must not meet in a bucket by chance."""
+        """More rows a band for higher thresholds, where they cost few bands: loosely similar pairs then meet less often."""
         s = percent / 100
         rows = 6 if s >= 0.85 else 5 if s >= 0.75 else 4
         return cls(rows, max(1, math.ceil(math.log(MISS) / math.log1p(-min(s**rows, 1 - 1e-9)))))
