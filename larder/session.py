@@ -18,6 +18,8 @@ PLANNER_SETTINGS = {
     # limit Spark generates one method per stage; above it, it generates smaller ones per operator.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
