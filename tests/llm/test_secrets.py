@@ -2,7 +2,7 @@ import re
 
 from edges import documents, nothing
 
-from larder.llm.secrets import STRONG_BITS, find, guess_bits, redacted, scan
+from larder.llm.secrets import LEAST_DOCUMENTS, STRONG_BITS, base_ranks, find, guess_bits, redacted, scan, word_ranks
 
 KEY = "AKIA" + "Q7" * 8
 HEX = "0123456789abcdef" * 2
@@ -75,6 +75,38 @@ def test_redaction(spark):
         assert r.clean == out + r.text[at:]
 
 
+PROSE = [
+    "the secret is practice and the password is necessary.",
+    "Their secret is knowledge, and the token is available!",
+    "my secret is Preparation; the passphrase is remembered",
+]
+
+
+def test_ordinary_sentences_have_no_secrets(spark):
+    assert [find(t) for t in PROSE] == [[], [], []]
+    rows = scan(documents(spark, PROSE)).select("text", redacted(_col("text"), _col("spans")).alias("clean")).collect()
+    assert all(r.clean == r.text for r in rows)
+
+
+def test_frequent_words_of_the_table_are_words(spark):
+    """Words of no list are learnt from the rows, but not from the place of a credential value."""
+    spoken = [f"the gravnolidar of row {k} was seen" for k in range(LEAST_DOCUMENTS)]
+    told = ["the secret is gravnolidar", "the secret is vrelquistomb", *["the secret is kfvqzjwxbd"] * (2 * LEAST_DOCUMENTS)]
+    spans = lambda texts: {r.text: [(s.kind, r.text[s.start : s.end]) for s in r.spans] for r in scan(documents(spark, texts)).collect()}
+    out = spans(spoken + told)
+    assert out[told[0]] == [] and all(out[t] == [] for t in spoken)
+    assert out[told[1]] == [("guess", "vrelquistomb")] and out[told[2]] == [("guess", "kfvqzjwxbd")]
+    assert spans(spoken[1:] + told)[told[0]] == [("guess", "gravnolidar")]
+
+
+def test_the_word_list_is_bounded(spark, monkeypatch):
+    texts = [" ".join(a + b + "zzqx" for b in "bcdfghjklm") for a in "abcdefghij" for _ in range(LEAST_DOCUMENTS)]
+    own = lambda: set(word_ranks(documents(spark, texts))) - set(base_ranks())
+    assert len(own()) == 100
+    monkeypatch.setattr("larder.llm.secrets.MOST_WORDS", 40)
+    assert 10 < len(own()) < 70
+
+
 def _col(name):
     from pyspark.sql import functions as F
 
