@@ -1,18 +1,30 @@
 """Chat formatting by quotation linking.
 
-Lines that begin with ``>`` quote an earlier message, ``>>`` one that it quoted in turn.  Every quoted line is
-normalised, hashed and joined to the latest earlier message of its conversation that has that line itself; the message
-most lines of a reply point to, and of several the latest, is what it answers.  Chains of answers are then followed by
-pointer doubling, so that each message gets its thread and its depth, and its text without the quotes.
+Lines that begin with ``>`` quote an earlier message, ``>>`` one that it quoted in turn.  Adjacent lines of one level are a
+passage.  Every quoted line is normalised, hashed and joined to the latest earlier message of its conversation that has
+that line itself one level further out; a line that no message has so, because a mail client wrapped it anew or it is a
+sentence out of a longer one, is joined by the sentences and word shingles of its passage.  The message most lines of a
+reply point to, and of several the latest, is what it answers; deeper levels decide where the first does not.  Chains of
+answers are then followed by pointer doubling, so that each message gets its thread and its depth, and its text without
+the quotes.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from larder.llm import text_blocks as tb
 from larder.llm.shared import stored
 
+SHINGLE = 4  # words
+
 _MARKS = r"^((?:[ \t]*>)*)"
 
 
@@ -26,10 +38,64 @@ def _bare(line: Column) -> Column:
     return F.when(_level(line) == 0, line).otherwise(F.regexp_replace(line, _MARKS + "[ \t]?", ""))
 
 
-def _print(line: Column) -> Column:
-    """Hash of a line in lower case with letters and digits only; null for a line without any."""
-    words = F.trim(F.regexp_replace(F.lower(_bare(line)), r"[^\p{L}\p{N}]+", " "))
-    return F.when(words != "", F.xxhash64(words))
+_MARKED = re.compile(_MARKS)
+_WORD = re.compile(r"[^\W_]+")
+_SENTENCE_END = re.compile(r"[.!?\u2026]+(?=\s|$)|[\u3002\uff01\uff1f]+")
+
+
+def _print(words: list[str]) -> int:
+    """Hash of words in lower case with letters and digits only."""
+    return int.from_bytes(blake2b(" ".join(words).encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _prints(lines: list[str]) -> set[tuple[int, int, bool, int]]:
+    """(level, hash of a line, whether the next is that line as a whole, hash) of a message.
+
+    Beside whole lines these are what each line shares in: the lines, sentences, shingles and, where there is no shingle,
+    the whole of its passage.  Lines without a word do not part a passage.
+    """
+    passages: list[tuple[int, list[tuple[str, int]], list[int], list[int]]] = []  # level, (word, line), line ends, sentence ends
+    for line in lines:
+        marks = _MARKED.match(line)[0]
+        parts = [_WORD.findall(part) for part in _SENTENCE_END.split(line[len(marks) :].lower())]
+        if not any(parts):
+            continue
+        level = marks.count(">")
+        if not passages or passages[-1][0] != level:
+            passages.append((level, [], [], []))
+        _, words, breaks, ends = passages[-1]
+        for k, part in enumerate(parts):
+            words += [(w, len(breaks)) for w in part]
+            if k < len(parts) - 1:
+                ends.append(len(words))
+        breaks.append(len(words))
+    out = set()
+    for level, tokens, breaks, ends in passages:
+        words, n = [w for w, _ in tokens], len(tokens)
+        own = [_print(words[a:b]) for a, b in zip([0, *breaks], breaks)]
+        out |= {(level, x, True, x) for x in own}
+        spans = {*zip([0, *breaks], breaks), *zip([0, *ends], [*ends, n])}
+        spans |= {(k, min(k + SHINGLE, n)) for k in range(max(1, n - SHINGLE + 1))}
+        for a, b in spans:
+            if a < b:
+                piece = _print(words[a:b])
+                out |= {(level, own[k], False, piece) for k in range(tokens[a][1], tokens[b - 1][1] + 1)}
+    return out
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int64())
+    for batch in batches:
+        for at in range(len(batch)):
+            found = sorted(_prints(batch.column("lines")[at].as_py()))
+            columns = zip(*found) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array([batch.column(c)[at].as_py()] * len(found), batch.column(c).type) for c in ("conv_id", "turn")),
+                    *(pa.array(values, kind) for values, kind in zip(columns, kinds)),
+                ],
+                names=["conv_id", "turn", "level", "line", "exact", "print"],
+            )
 
 
 def link_quotations(
@@ -39,7 +105,8 @@ def link_quotations(
     the same conversation or null), thread (the turn its chain of answers begins with) and depth (answers in between).
 
     Only earlier turns can be answered, so there are no cycles, and order by thread and turn puts every message behind
-    what it answers.  Null and empty texts quote nothing and come back empty; a null conversation or turn quotes nothing
+    what it answers.  A line of level n points to a message that has it at level n - 1, which has what it quotes n - 1
+    steps further up; where none has, to the nearest level outside it.  Null and empty texts quote nothing and come back empty; a null conversation or turn quotes nothing
     and is not found.  Rows that repeat a turn are all returned; what any of them quotes counts for all.  Ties between
     earlier messages go to the later turn.  An empty table gives an empty result.
     """
@@ -49,31 +116,41 @@ def link_quotations(
         F.col(role).alias("role"),
         F.split(F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), "\r\n?", "\n"), "\n").alias("lines"),
     )
-    quotes = (
-        turns.select("conv_id", "turn", F.explode(F.filter("lines", lambda x: _level(x) == 1)).alias("line"))
-        .select("conv_id", "turn", _print(F.col("line")).alias("print"))
-        .where("conv_id is not null and turn is not null and print is not null")
-        .distinct()
-    )
-    quotes = stored(quotes)
-    # Of all other lines only those that are quoted somewhere in their conversation go on.
-    origins = (
-        turns.select("conv_id", "turn", F.explode(F.filter("lines", lambda x: _level(x) == 0)).alias("line"))
-        .select("conv_id", "turn", _print(F.col("line")).alias("print"))
-        .join(quotes.select("conv_id", "print").distinct(), ["conv_id", "print"], "left_semi")
-        .select("conv_id", "turn", "print", F.col("turn").alias("origin"))
+    known = turns.where("conv_id is not null and turn is not null")
+    # Only conversations that quote at all go on.
+    quoting = known.where(F.exists("lines", lambda x: _level(x) > 0)).select("conv_id").distinct()
+    talk = known.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", "lines")
+    schema = T.StructType([talk.schema["conv_id"], talk.schema["turn"]])
+    schema = schema.add("level", "integer").add("line", "long").add("exact", "boolean").add("print", "long")
+    prints = talk.mapInArrow(tb.tidy(_batches), schema)
+    quotes = stored(prints.where("level > 0").distinct())
+    key = ["conv_id", "exact", "print"]
+    # Of all others only those that are quoted somewhere in their conversation at a deeper level.
+    deepest = quotes.groupBy(*key).agg(F.max("level").alias("deepest"))
+    origins = stored(
+        prints.join(deepest, key)
+        .where("level < deepest")
+        .select(*key, F.col("level").alias("held"), "turn", F.col("turn").alias("origin"))
         .distinct()
     )
-    earlier = Window.partitionBy("conv_id", "print").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    replies = (
-        quotes.withColumn("origin", F.lit(None).cast("long"))
-        .unionByName(origins)
+    held = quotes.join(origins.select(*key, "held").distinct(), key).where("held < level")
+    earlier = Window.partitionBy(*key, "held").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    # Each line has one vote: for a message that has it as near to its own level as can be, and there as a whole line.
+    votes = (
+        held.withColumn("origin", F.lit(None).cast("long"))
+        .unionByName(origins, allowMissingColumns=True)
         .withColumn("source", F.max("origin").over(earlier))
         .where("origin is null and source is not null")
-        .groupBy("conv_id", "turn", "source")
+        .groupBy("conv_id", "turn", "level", "line", "held", "exact", "source")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("conv_id", "turn", "level", "line")
+        .agg(F.max(F.struct("held", "exact", "n", "source")).alias("best"))
+    )
+    replies = (
+        votes.groupBy("conv_id", "turn", "level", "best.held", "best.source")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("conv_id", "turn")
-        .agg(F.max(F.struct("n", "source")).alias("best"))
+        .agg(F.max(F.struct(-F.col("level"), "held", "n", "source")).alias("best"))
         .select("conv_id", "turn", F.col("best.source").alias("reply_to"))
     )
     chains = _chains(stored(replies))

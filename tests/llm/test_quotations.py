@@ -67,3 +67,31 @@ def test_sql_of_the_query_agrees_where_there_are_quotes(spark, tmp_path):
     want = {tuple(r[names.index(c)] for c in sorted(names)) for r in result.fetchall()}
     got = {tuple(r[c] for c in sorted(names)) for r in QUERIES["op5_quotations"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) == len(rows)
+
+
+def replies(spark, *texts):
+    rows = [(1, k, "user", text, "x") for k, text in enumerate(texts)]
+    out = by_turn(link_quotations(spark.createDataFrame(rows, SCHEMA)).collect())
+    return [(out[1, k].reply_to, out[1, k].thread, out[1, k].depth) for k in range(len(texts))]
+
+
+def test_deeper_levels_link_where_the_first_does_not(spark):
+    chat = ("Where is the harbour?", "> Where is the harbour?\nBehind the hills.", "Other talk", ">> Where is the harbour?\nI know.")
+    assert replies(spark, *chat) == [(None, 0, 0), (0, 0, 1), (None, 2, 0), (1, 0, 2)]
+    assert replies(spark, *chat, ">>> where is\n>>> the harbour\nStill no.")[4] == (3, 0, 3)
+    assert replies(spark, chat[0], chat[2], chat[3])[2] == (0, 0, 1)
+
+
+def test_quotes_that_were_wrapped_anew(spark):
+    long = "The boats came back from the strait before dawn, and nobody had counted them."
+    wrapped = "The boats came back from\nthe strait before dawn,\nand nobody had counted them."
+    quote = lambda text: "> " + text.replace("\n", "\n> ") + "\nIs that so?"
+    for original, quoted in ((long, wrapped), (wrapped, long)):
+        assert replies(spark, "Hello", original, "yes", quote(quoted)) == [(None, 0, 0), (None, 1, 0), (None, 2, 0), (1, 1, 1)]
+    # Two short words, and lines without a word between.
+    assert replies(spark, "yes please", "no", "> yes\n>\n> please\nGood")[2] == (0, 0, 1)
+
+
+def test_a_sentence_out_of_a_longer_line(spark):
+    chat = ("Good day. Do you know? Call me then.", "No idea", "> Do you know?\nI do", "Nobody knows the harbour", "> Nobody\nWho?")
+    assert [r[0] for r in replies(spark, *chat)] == [None, None, 0, None, None]
