@@ -14,7 +14,7 @@ from larder.llm import byte_bpe, secrets, toxicity
 from larder.llm.decontaminate import decontaminate
 from larder.llm.near_duplicates import near_duplicates
 from larder.llm.queries import byte_vocabulary
-from larder.llm.shared import remove, table
+from larder.llm.shared import remove, stored, table
 from larder.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,12 +31,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by 0.8 or more of their five-word shingles.
+    """One row, of the smallest id, of each group linked by 0.8 or more of their five-word shingles.
 
-    Documents without words or without an id stay.
+    Rows are told apart by a hash of id and text, and a row without an id comes after all others of its group.  Of rows
+    that are equal in both, one stays.  Documents without words stay, repeated ones too.
     """
-    dropped = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(docs, words=5, percent=80, doc_id="row_key").where("n_shingles > 0")
+    keys = stored(found.groupBy(F.col("doc_id").alias("row_key"), "component_id").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = (
+        docs.select("row_key", "doc_id")
+        .join(keys, "row_key")
+        .groupBy("component_id")
+        .agg(F.min(order).alias("first"))
+        .select("first.row_key")
+    )
+    dropped = keys.join(first, "row_key", "left_anti").select("row_key")
+    repeated = keys.where("n > 1").select("row_key")
+    single = docs.join(dropped.union(repeated).distinct(), "row_key", "left_anti").select(*COLUMNS)
+    many = docs.join(repeated.join(first, "row_key", "left_semi"), "row_key", "left_semi")
+    one = many.groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return single.unionByName(one)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

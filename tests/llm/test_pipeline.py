@@ -59,6 +59,20 @@ def test_stages(spark, tmp_path):
     assert all(r.lossless and r.n_tokens == len(r.ids) for r in out)
 
 
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    rng = random.Random(2)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(3000)}" for _ in range(60)) for _ in range(5))
+    rows = [(1, a, "en")] * 3 + [(9, a, "en"), (None, a, "en")]  # copies of one id, of another and of none
+    rows += [(None, b, "en"), (None, b, "fr")]  # equal but for the language
+    rows += [(2, c, "en"), (5, c, "en"), (5, d, "en")]  # one id on two texts
+    rows += [(7, e, "en"), (6, e + " x", "en"), (8, "", "en"), (8, "", "en"), (None, None, "en")]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert tuple(kept.columns) == COLUMNS
+    want = [(1, a, "en"), (None, b, "en"), (2, c, "en"), (5, d, "en"), (6, e + " x", "en"), (8, "", "en"), (8, "", "en"), (None, None, "en")]
+    assert sorted(map(str, (tuple(r)[:3] for r in kept.collect()))) == sorted(map(str, want))
+
+
 def test_empty_tables(spark, tmp_path):
     for name, ddl in (
         ("documents", "doc_id long, text string, lang string, source string, n_chars long"),
