@@ -56,17 +56,26 @@ def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def ftrl(
-    lists: list[np.ndarray], labels: np.ndarray, *, alpha: float, beta: float, l1: float, l2: float, epochs: int
+    lists: list[np.ndarray],
+    labels: np.ndarray,
+    counts: np.ndarray | None = None,
+    *,
+    alpha: float,
+    beta: float,
+    l1: float,
+    l2: float,
+    epochs: int,
 ) -> np.ndarray:
-    """Weights of DIMENSIONS features and the constant, fitted in the given order of rows."""
+    """Weights of DIMENSIONS features and the constant, fitted in the given order of rows; each counts ``counts`` times."""
     z, n, w = np.zeros((3, DIMENSIONS + 1))
+    counts = np.ones(len(labels)) if counts is None else counts
     for _ in range(epochs):
-        for own, y in zip(lists, labels, strict=True):
+        for own, y, c in zip(lists, labels, counts, strict=True):
             zi, ni = z[own], n[own]
             root = np.sqrt(ni)
             limit = np.where(own == BIAS, 0.0, l1)
             wi = np.where(np.abs(zi) <= limit, 0.0, -(zi - np.sign(zi) * limit) / ((beta + root) / alpha + l2))
-            g = 1.0 / (1.0 + np.exp(-np.clip(wi.sum(), -35, 35))) - y
+            g = c * (1.0 / (1.0 + np.exp(-np.clip(wi.sum(), -35, 35))) - y)
             z[own] = zi + g - (np.sqrt(ni + g * g) - root) / alpha * wi
             n[own] = ni + g * g
     root = np.sqrt(n)
@@ -84,7 +93,7 @@ def train(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_rows: int = 8_000,
+    max_rows: int = 12_000,
     min_rows: int = 3,
     alpha: float = 1.0,
     beta: float = 1.0,
@@ -95,7 +104,9 @@ def train(
     """Non-zero weights by feature, or None where nothing is labelled.
 
     About ``max_rows`` labelled documents are taken, by a hash of their id, and fitted in one task in the order of that
-    hash: this bounds the fit whatever the corpus.  Features of fewer than ``min_rows`` of them are left out.  A document
+    hash: this bounds the fit whatever the corpus.  The rarer label gets its share of them, but at least a quarter of the
+    sample or all its rows; a row of the other then counts more, so that the proportions are those of all labelled rows
+    and a row of the rarer label counts once.  Features of fewer than ``min_rows`` of them are left out.  A document
     with several labels counts as 1 if any of them does.
     """
     labels = (
@@ -103,13 +114,21 @@ def train(
         .groupBy(F.col(doc_id).alias("doc_id"))
         .agg(F.max(label).cast("double").alias("label"))
     )
-    total = labels.count()
-    if not total:
+    totals = dict(map(tuple, labels.groupBy((F.col("label") > 0).alias("positive")).count().collect()))
+    if not totals:
         return None
+    total = sum(totals.values())
     turn = F.xxhash64("doc_id", F.lit(7))
     labels = labels.withColumn("turn", turn)
+    times = {True: 1.0, False: 1.0}
     if total > max_rows:
-        labels = labels.where(F.pmod("turn", F.lit(1 << 30)) < int(max_rows / total * (1 << 30)))
+        rare = min((True, False), key=lambda k: totals.get(k, 0))
+        n_rare = totals.get(rare, 0)
+        taken = max(max_rows * n_rare / total, min(n_rare, max_rows / 4))
+        shares = {rare: min(1.0, taken / max(n_rare, 1)), not rare: (max_rows - taken) / totals[not rare]}
+        times[not rare] = shares[rare] / shares[not rare] if n_rare else 1.0
+        share = F.when(F.col("label") > 0, F.lit(shares[True])).otherwise(F.lit(shares[False]))
+        labels = labels.where(F.pmod("turn", F.lit(1 << 30)) < share * float(1 << 30))
     # Bounded by max_rows, so the join sends the chosen ids to the texts and no text to the ids.
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(
         F.broadcast(labels), "doc_id"
@@ -131,7 +150,8 @@ def train(
             own = flat[bounds[i] : bounds[i + 1]]
             lists.append(np.append(own[often[own]], np.int32(BIAS)))
         del column, flat
-        w = ftrl(lists, labels[order], alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
+        counts = np.where(labels[order] > 0, times[True], times[False])
+        w = ftrl(lists, labels[order], counts, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
         kept = np.flatnonzero(w)
         del lists
         tb.give_back()

@@ -77,3 +77,15 @@ def test_weights_are_zero_below_the_threshold():
     assert w[3] > 1 and np.count_nonzero(w) <= 9
     strict = toxicity.ftrl(lists, labels, alpha=0.5, beta=1.0, l1=1e6, l2=0.0, epochs=2)
     assert np.count_nonzero(strict) == 1
+
+
+def test_rare_toxic_rows_are_learnt_from_a_bounded_sample(spark):
+    import random
+
+    rng = random.Random(3)
+    draw = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(12))
+    rows = [(i, draw() + (" clown" if i < 30 else ""), int(i < 30)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights = toxicity.train(docs, docs, max_rows=200)
+    out = toxicity.score(docs, weights).select("toxic", "score").collect()
+    assert min(r.score for r in out if r.toxic) > max(r.score for r in out if not r.toxic)
