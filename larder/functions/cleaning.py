@@ -34,8 +34,9 @@ def _col(value: Column | str) -> Column:
 
 
 CONTROLS = r"[\x00-\x1F\x7F]"
-# Text that cleaning leaves as it is: printable ASCII words with single spaces between them.
-PLAIN_WORDS = r"^[!-~]+(?: [!-~]+)*\z"
+# What text has that cleaning may change: anything beyond printable ASCII, or a space at an end or after another one.
+# One class or literal at a time: a repeated group would cost the JVM a stack frame for every word of a long text.
+UNTIDY = r"[^ -~]|^ |  | \z"
 
 
 def clean_text(value: Column | str) -> Column:
@@ -46,7 +47,7 @@ def clean_text(value: Column | str) -> Column:
     """
     c = _col(value)
     rewritten = F.trim(F.regexp_replace(F.regexp_replace(c, CONTROLS, ""), r"(?U)\s+", " "))
-    return F.when(c.rlike(PLAIN_WORDS), c).otherwise(rewritten)
+    return F.when(c.rlike(UNTIDY), rewritten).otherwise(c)
 
 
 def is_missing_text(value: Column | str) -> Column:

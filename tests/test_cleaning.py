@@ -173,3 +173,10 @@ def test_whole_numbers_reach_the_bounds_of_a_long(spark):
     rows = [("9223372036854774784",), ("-9223372036854775808",), ("9223372036854775808",), ("1,234.9",), ("12d",), ("inf",), ("1e3",), ("0x1p3",)]
     got = [r[0] for r in spark.createDataFrame(rows, "v string").select(C.coerce_int("v")).collect()]
     assert got == [9223372036854774784, -(2**63), None, 1234, None, None, 1000, None]
+
+
+def test_very_long_texts_are_cleaned(spark):
+    plain = "word " * 100_000 + "end"
+    cells = [plain, plain + " ", plain.replace(" ", "  "), plain + "\t x"]
+    df = spark.createDataFrame([(c,) for c in cells], "t string").select(C.clean_text("t").alias("t"))
+    assert [r.t for r in df.collect()] == [plain, plain, plain, plain + " x"]
