@@ -25,17 +25,17 @@ from larder.llm.shared import stored
 
 SHINGLE = 4  # words
 
-_MARKS = r"^((?:[ \t]*>)*)"
+_MARKS = r"^[ \t>]*"  # no repeated group: it would cost the JVM a stack frame for every mark
 
 
 def _level(line: Column) -> Column:
     """Number of quote marks in front of a line; spaces between them are allowed."""
-    return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), r"[^>]", ""))
+    return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), r"[^>]", ""))
 
 
 def _bare(line: Column) -> Column:
     """A line without its quote marks and the space after them."""
-    return F.when(_level(line) == 0, line).otherwise(F.regexp_replace(line, _MARKS + "[ \t]?", ""))
+    return F.when(_level(line) == 0, line).otherwise(F.regexp_replace(line, _MARKS + ">[ \t]?", ""))
 
 
 _MARKED = re.compile(_MARKS)

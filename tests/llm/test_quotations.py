@@ -95,3 +95,11 @@ def test_quotes_that_were_wrapped_anew(spark):
 def test_a_sentence_out_of_a_longer_line(spark):
     chat = ("Good day. Do you know? Call me then.", "No idea", "> Do you know?\nI do", "Nobody knows the harbour", "> Nobody\nWho?")
     assert [r[0] for r in replies(spark, *chat)] == [None, None, 0, None, None]
+
+
+def test_very_long_lines_and_texts(spark):
+    marks, words = ">" * 100_000, "word " * 100_000
+    rows = [(1, 0, "user", words, None), (1, 1, "user", marks + " deep", None), (1, 2, "user", "> " + words, None)]
+    got = by_turn(link_quotations(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got[1, 1].text == "" and got[1, 1].quoted == 0
+    assert (got[1, 2].text, got[1, 2].quoted, got[1, 2].reply_to) == ("", 1, 0)
