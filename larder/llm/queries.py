@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.llm import byte_bpe, language_id, page_text, secrets, toxicity
 from larder.llm.archives import page_archive
 from larder.llm.decontaminate import decontaminate
+from larder.llm.exact_duplicates import exact_duplicates
 from larder.llm.near_duplicates import near_duplicates
 from larder.llm.quotations import link_quotations
 from larder.llm.shared import table
@@ -226,3 +227,17 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.written(base), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"),
     )
+
+
+@query(
+    "op11_exact_duplicates",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
+    SELECT doc_id, keep_id, group_size, CASE WHEN keep_id IS NULL THEN true ELSE coalesce(doc_id = keep_id, false) END AS kept,
+           sha256(d.text) AS text_sha256
+    FROM d JOIN g ON g.text = d.text
+    """,
+)
+def op11_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(table(spark, folder, "documents"))
