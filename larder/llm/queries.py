@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, language_id, page_text, secrets, toxicity
+from larder.llm import byte_bpe, language_id, merkle, page_text, secrets, toxicity
 from larder.llm.archives import page_archive
 from larder.llm.decontaminate import decontaminate
 from larder.llm.exact_duplicates import exact_duplicates
 from larder.llm.near_duplicates import near_duplicates
 from larder.llm.quotations import link_quotations
-from larder.llm.shared import table
+from larder.llm.shared import remainder, table
 from larder.llm.top_k import quantised, top_k, whole
 from larder.session import scratch_path
 
@@ -241,3 +241,73 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
+
+
+# crc32 of the decimal id, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST({0} AS VARCHAR), '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                             lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in fields) + ")"
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE d AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+        FROM (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+                     CASE WHEN doc_id IS NOT NULL AND {CRC32.format("doc_id")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")}
+                          ELSE {_leaf_sql("n_chars")} END AS presented
+              FROM documents)
+    ), low AS (
+        SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM d GROUP BY lang
+        UNION ALL
+        SELECT lang, level + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)]
+        FROM low WHERE len(nodes) > 1
+    ), subroots AS (
+        SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM low WHERE len(nodes) = 1
+    ), high AS (
+        SELECT 0 AS level, list(subroot ORDER BY tree) AS nodes FROM subroots
+        UNION ALL
+        SELECT level + 1, [sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')) FOR i IN range((len(nodes) + 1) // 2)]
+        FROM high WHERE len(nodes) > 1
+    ), lows AS (SELECT lang, list(nodes ORDER BY level) AS tree_nodes FROM low WHERE len(nodes) > 1 GROUP BY lang),
+    highs AS (SELECT list(nodes ORDER BY level) AS top_nodes FROM high WHERE len(nodes) > 1),
+    paths AS (
+        SELECT d.doc_id, leaf, presented, subroot,
+               list_concat([CASE WHEN (pos >> k) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(tree_nodes[k + 1][xor(pos >> k, 1) + 1], '')
+                            FOR k IN range(coalesce(len(tree_nodes), 0))],
+                           [CASE WHEN (tree >> k) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(top_nodes[k + 1][xor(tree >> k, 1) + 1], '')
+                            FOR k IN range(coalesce(len(top_nodes), 0))]) AS steps
+        FROM d JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang
+        LEFT JOIN lows l ON l.lang IS NOT DISTINCT FROM d.lang CROSS JOIN highs
+    ), folded AS (
+        SELECT *, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root,
+               list_reduce(list_prepend(presented, steps),
+                           lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+        FROM paths
+    )
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s[2:] FOR s IN steps], '')) AS proof_sha256, folded_root,
+           folded_root = root AS verified
+    FROM folded
+    """,
+)
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+
+    def leaf(n_chars: Column) -> Column:
+        return merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    changed = F.coalesce(remainder("doc_id", 7) == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(changed, leaf(more)).alias("other"))
+    rows = rows.withColumn("presented", F.coalesce("other", "leaf"))
+    found = merkle.manifest(rows, key="doc_id", group="lang", digest="leaf", presented="presented")
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified"
+    )
