@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from larder.llm import text_blocks as tb
@@ -164,9 +164,9 @@ def _read(blob: bytes) -> pa.RecordBatch:
         return stream.read_next_batch()
 
 
-def _dealt(rows: Iterator[tuple]) -> Iterator[list | None]:
+def _dealt(rows: Iterator[Row]) -> Iterator[list | None]:
     """The answers of a partition beside its first blob, and nothing beside the others."""
-    answers = [row for _, row in rows]
+    answers = [row.asDict() for row in rows]
     if answers:
         yield answers
         for _ in range(answers[0]["blobs"] - 1):
@@ -219,13 +219,16 @@ def exact_duplicates(
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark, rows_in = docs.sparkSession, docs.count()
+    if not rows_in:
+        nothing = docs.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
+        return nothing.select("doc_id", "keep_id", "group_size", _kept().alias("kept"), F.sha2("text", 256).alias("text_sha256"))
     owner_bits = min(bits, max(0, math.ceil(math.log2(max(rows_in, 1) / owner_rows)))) if rows_in > owner_rows else 0
     sent = docs.select("text").mapInArrow(tb.tidy(_send(bits, owner_bits)), _MESSAGE_SQL)
     answers = stored(sent.groupBy("owner").applyInArrow(_answer(bits, owner_bits), _MESSAGE_SQL))
 
     packed = docs.mapInArrow(tb.tidy(_packed(bits)), "blob binary").rdd
-    returned = answers.rdd.map(lambda r: (r["part"], r.asDict())).partitionBy(packed.getNumPartitions(), lambda part: part)
-    marked = packed.map(tuple).zip(returned.mapPartitions(_dealt)).mapPartitions(_suspects(bits, owner_bits))
+    returned = answers.repartitionById(max(1, packed.getNumPartitions()), "part").rdd.mapPartitions(_dealt)
+    marked = packed.zip(returned).mapPartitions(_suspects(bits, owner_bits))
     rows = stored(
         spark.createDataFrame(marked, "blob binary").mapInArrow(
             tb.tidy(_unpacked), "doc_id long, print long, text_sha256 string, text string"
