@@ -12,8 +12,9 @@ from larder.llm.archives import page_archive
 from larder.llm.decontaminate import decontaminate
 from larder.llm.exact_duplicates import exact_duplicates
 from larder.llm.near_duplicates import near_duplicates
+from larder.llm.prefix_trie import ordered_turns, prefix_trie
 from larder.llm.quotations import link_quotations
-from larder.llm.shared import remainder, table
+from larder.llm.shared import remainder, stored, table
 from larder.llm.top_k import quantised, top_k, whole
 from larder.session import scratch_path
 
@@ -311,3 +312,63 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified"
     )
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH t AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                   sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS source, n, {CRC32.format("conv_id")} % 6 AS h
+        FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)
+    ), x AS (
+        SELECT c.*, least(c.h, coalesce(s.n, 0)) AS head, least(c.h, coalesce(s.n, 0)) + greatest(c.n - c.h, 0) AS length
+        FROM c LEFT JOIN c s ON s.conv_id = c.source
+    ), r AS (
+        SELECT x.conv_id, pos + 1 AS depth, role, text FROM x JOIN t ON t.conv_id = x.source AND t.pos < x.h
+        UNION ALL
+        SELECT x.conv_id, head + pos - h + 1, role, text FROM x JOIN t ON t.conv_id = x.conv_id AND t.pos >= x.h
+    ), p AS (
+        SELECT conv_id, depth, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY depth) AS prefix, length(text) AS size
+        FROM r
+        UNION ALL SELECT conv_id, 0, [], 0 FROM x
+    ), g AS (SELECT prefix, depth, min(conv_id) AS name, count(*) AS n_convs, min(size) AS size FROM p GROUP BY prefix, depth),
+    n AS (
+        SELECT g.*, u.name AS parent FROM g LEFT JOIN p q ON q.conv_id = g.name AND q.depth = g.depth - 1
+        LEFT JOIN g u ON u.prefix = q.prefix
+    ), k AS (SELECT parent AS name, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+    m AS (
+        SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.name = n.name AND k.depth = n.depth
+    ), sums AS (
+        SELECT a.prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * m.size) AS saved
+        FROM m JOIN p a ON a.conv_id = m.name AND a.depth <= m.depth GROUP BY a.prefix
+    ), ends AS (
+        SELECT prefix, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS names
+        FROM p JOIN x ON x.conv_id = p.conv_id AND x.length = p.depth GROUP BY prefix
+    )
+    SELECT m.name AS conv_id, m.depth, parent AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+           CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(names, '')) AS ends_sha256
+    FROM m JOIN sums ON sums.prefix = m.prefix LEFT JOIN ends ON ends.prefix = m.prefix
+    """,
+)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, members = shared_heads(stored(ordered_turns(table(spark, folder, "conversations"))))
+    return prefix_trie(turns, members)
+
+
+def shared_heads(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every conversation c with the first h turns of conversation c - c % 100 in place of its own; h is crc32(c) % 6."""
+    convs = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).withColumns(
+        {"h": remainder("conv_id", 6), "source": F.col("conv_id") - F.col("conv_id") % 100}
+    )
+    sizes = convs.select(F.col("conv_id").alias("source"), F.col("n").alias("source_n"))
+    convs = stored(convs.join(sizes, "source", "left").withColumn("head", F.least("h", F.coalesce("source_n", F.lit(0)))))
+    heads = turns.where("position < 5").withColumnRenamed("conv_id", "source").join(convs.select("conv_id", "source", "h"), "source")
+    heads = heads.where("position < h").select("conv_id", (F.col("position") + 1).alias("depth"), "print", "size")
+    own = turns.join(convs.select("conv_id", "h", "head"), "conv_id").where("position >= h")
+    own = own.select("conv_id", (F.col("head") + F.col("position") - F.col("h") + 1).alias("depth"), "print", "size")
+    return heads.unionByName(own), convs.select("conv_id")
