@@ -27,6 +27,7 @@ HEADLINE = [
     "m5_tidy",
     "forecast_items",
     "forecast_with_history",
+    "forecast_turning",
     "inventory_insights",
     "reorder_priority",
     "feature_table",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.plans import cleaning, forecast, insights, mart, reorder, shelf, tidy
+from larder.plans import cleaning, forecast, insights, mart, reorder, shelf, tidy, turning
 from larder.queries.aggregates import rounded
 from larder.queries.ctes import forecast_cte
 from larder.queries.registry import query
@@ -154,6 +154,69 @@ def _(spark, folder):
     return rounded(forecast.forecast_items(sales, include_history=True), 4, *BANDS)
 
 
+def _turning_sql(source: str, history: bool) -> str:
+    """The turning forecast over the gap-filled series: normal equations per item, solved by elimination.
+
+    Twelve knots; columns of the design are the constant, the day, six waves of the week and the days since each knot.
+    """
+    size = 2 + 6 + 12
+    waves = [f"{f}(2 * pi() * d * {j} / 7)" for f in ("cos", "sin") for j in (1, 2, 3)]
+    knot = [f"(g.first + floor(width * (0.8 * {k} / 12)))" for k in range(1, 13)]
+    hinges = [f"greatest(d - {k}, 0) / width" for k in knot]
+    design = ", ".join(["1.0", "(d - g.first) / width", *waves, *hinges])
+    penalty = "[" + ", ".join(["0.0", *["0.001"] * 7, *["0.1"] * 12]) + "]"
+    products = ", ".join(
+        "[" + ", ".join(f"sum(x[{min(i, j)}] * x[{max(i, j)}])" for j in range(1, size + 1)) + f", sum(x[{i}] * y)]" for i in range(1, size + 1)
+    )
+    ridge = f"[[m[i][j] + CASE WHEN i = j THEN {penalty}[i] ELSE 0 END FOR j IN range(1, {size + 2})] FOR i IN range(1, {size + 1})]"
+    day = "CAST(({}) - DATE '2000-01-03' AS INTEGER)"
+    shown = ", ".join(f"round({c}, 4) AS {c}" for c in BANDS)
+    return f"""
+    daily AS (SELECT item_id, date, sum(sale) AS y FROM {source} GROUP BY 1, 2),
+    g AS (SELECT {day.format("min(date)")} AS first, greatest({day.format("max(date)")} - {day.format("min(date)")}, 1) AS width FROM daily),
+    span AS (SELECT item_id, {day.format("min(date)")} AS lo, {day.format("max(date)")} AS hi FROM daily GROUP BY item_id),
+    dense AS (
+        SELECT s.item_id, lo, hi, s.d, coalesce(y, 0) AS y
+        FROM (SELECT *, unnest(range(lo, hi + 1)) AS d FROM span) s
+        LEFT JOIN daily ON daily.item_id = s.item_id AND {day.format("daily.date")} = s.d
+    ), designed AS (SELECT item_id, lo, hi, d, y, [{design}] AS x FROM dense, g),
+    normal AS (SELECT item_id, any_value(lo) AS lo, any_value(hi) AS hi, [{products}] AS m FROM designed GROUP BY item_id),
+    eliminated AS (
+        SELECT item_id, lo, hi, 0 AS k, {ridge} AS m FROM normal
+        UNION ALL
+        SELECT item_id, lo, hi, k + 1,
+               [CASE WHEN i = k + 1 THEN [v / m[k + 1][k + 1] FOR v IN m[i]]
+                     ELSE [m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j] FOR j IN range(1, {size + 2})] END
+                FOR i IN range(1, {size + 1})]
+        FROM eliminated WHERE k < {size}
+    ), fits AS (SELECT item_id, lo, hi, [row[{size + 1}] FOR row IN m] AS b FROM eliminated WHERE k = {size}),
+    spread AS (
+        SELECT f.item_id, sqrt(avg(power(y - list_inner_product(b, x), 2))) AS sigma
+        FROM designed JOIN fits f ON f.item_id = designed.item_id GROUP BY f.item_id
+    ), ahead AS (
+        SELECT item_id, hi, b, d, [{design}] AS x FROM (SELECT *, unnest(range({"lo" if history else "hi + 1"}, hi + 31)) AS d FROM fits), g
+    ), f_turning AS (
+        SELECT a.item_id, CAST(DATE '2000-01-03' + CAST(d AS INTEGER) AS DATE) AS ds, sigma,
+               list_inner_product(b, x) AS mean, list_inner_product(b[1:2], x[1:2]) + list_inner_product(b[9:], x[9:]) AS trend
+        FROM ahead a JOIN spread s ON s.item_id = a.item_id
+    ), f_bands AS (
+        SELECT item_id, ds, trend, greatest(mean, 0) AS yhat, greatest(mean - {forecast.BAND_Z} * sigma, 0) AS yhat_lower,
+               greatest(mean + {forecast.BAND_Z} * sigma, 0) AS yhat_upper FROM f_turning
+    )
+    SELECT item_id, ds, {shown} FROM f_bands"""
+
+
+@query("forecast_turning", "," + _turning_sql("sales", False), "sales")
+def _(spark, folder):
+    return rounded(turning.forecast_turning(marts.sales(spark, folder)), 4, *BANDS)
+
+
+@query("forecast_turning_history", "," + _turning_sql("brand_sales", True), "brand_sales")
+def _(spark, folder):
+    sales = marts.lines(spark, folder).select("item_id", "date", "sale")
+    return rounded(turning.forecast_turning(sales, include_history=True), 4, *BANDS)
+
+
 def _forecast(spark, folder):
     return forecast.forecast_items(marts.sales(spark, folder)).select("item_id", "ds", "yhat")
 
