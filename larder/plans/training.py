@@ -89,6 +89,19 @@ def _future_days(features: DataFrame, calendar: DataFrame, horizon: int) -> list
     return [r.asDict() for r in joined.orderBy("date").collect()]
 
 
+def future_features(features: DataFrame, vocabulary: dict[str, list[str]], calendar: DataFrame, horizon: int) -> list[dict]:
+    """Of every forecast day its date, calendar parts, flags and event indicators."""
+    spark, days = features.sparkSession, _future_days(features, calendar, horizon)
+    dates = spark.createDataFrame([(d["date"],) for d in days], "date date").withColumns(calendar_parts("date"))
+    parts = {r["date"]: r.asDict() for r in dates.collect()}
+    out = []
+    for day in days:
+        seen = {c: day[c] if day[c] in vocabulary.get(c, []) else OTHER for c in EVENT_COLUMNS}
+        events = {dummy_name(c, v): int(seen[c] == v) for c, values in vocabulary.items() for v in values[1:]}
+        out.append(parts[day["date"]] | {f: int(day[f]) for f in SNAP_FLAGS} | events)
+    return out
+
+
 def _history_features() -> dict:
     at = {k: F.try_element_at("hist", F.lit(-k)) for k in LAGS}
     out = {f"sales_lag_{k}": F.coalesce(v, F.lit(0.0)) for k, v in at.items()}

@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from larder.plans import features, training
+from larder.plans import boosting, features, training
 
 FIRST = dt.date(2024, 1, 1)
 
@@ -85,3 +86,54 @@ def test_recursion_feeds_predictions_back(spark, fitted):
         prediction = model.predict(vector)
         assert got["S1", "A", day] == pytest.approx(prediction)
         history.append(prediction)
+
+
+@pytest.fixture(scope="module")
+def staged(fitted):
+    _, table, names, *_ = fitted
+    return boosting.train_validate_staged(table, names, rounds=12, patience=3, maxDepth=3)
+
+
+def test_arrays_predict_what_spark_predicts(spark, fitted):
+    _, table, names, model, *_ = fitted
+    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(table.where("item_id = 'A'"))
+    forest = training.make_regressor("rf", numTrees=7, maxDepth=4, featuresCol="features", labelCol="sales").fit(rows)
+    for m in (model, forest):
+        got = m.transform(rows).select(*names, F.col(m.getPredictionCol()).alias("guess")).toPandas()
+        trees = boosting.Trees.of(m, spark)
+        assert trees.predict(got[names].to_numpy(float)) == pytest.approx(got["guess"].to_numpy())
+
+
+def test_stop_rule():
+    assert boosting.stopped_at([5, 4, 3, 3, 3, 2], 3) == (6, False)
+    assert boosting.stopped_at([5, 4, 3, 3, 3, 3, 2], 3) == (3, True)
+    assert boosting.stopped_at([1.0], 3) == (1, False)
+
+
+def test_staged_validation(fitted, staged):
+    """Metrics of the stored predictions by SQL; errors per round as Spark's own; a run that stops early."""
+    _, table, names, *_ = fitted
+    rows = staged.predictions.toPandas()
+    sql = "SELECT sqrt(avg(power(y_true - y_pred, 2))), max(abs(abs_err - abs(y_true - y_pred))), count(*) FROM rows"
+    rmse, gap, n = duckdb.sql(sql).fetchall()[0]
+    assert (rmse, gap, n) == (pytest.approx(staged.rmse), 0, 4 * 28)
+    assert staged.best_round == staged.errors.index(min(staged.errors[: staged.best_round + 3])) + 1
+    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(table)
+    model = training.make_regressor("gbt", maxDepth=3, maxIter=len(staged.errors), featuresCol="features", labelCol="sales")
+    model = model.fit(vectors.where(F.col("date") < F.lit(staged.start)))
+    own = model.evaluateEachIteration(vectors.where(F.col("date") >= F.lit(staged.start)), "squared")
+    assert [e * e for e in staged.errors] == pytest.approx(own)
+
+
+def test_recursion_in_blocks_equals_the_recursion_step_by_step(spark, fitted):
+    vocabulary, table, names, model, *_ = fitted
+    last = FIRST + dt.timedelta(days=149)
+    calendar = spark.createDataFrame(
+        [(last + dt.timedelta(days=i), "Fair" if i == 3 else None, i % 2) for i in range(1, 29)], "date date, event_name_1 string, snap_ca int"
+    )
+    short = table.where("store_id = 'S1' OR date > '2024-04-20'")  # series of under 56 rows too
+    want = training.forecast_recursive_28(training.model_step(model, names), short, names, vocabulary, calendar)
+    trees = boosting.Trees.of(model, spark)
+    got = boosting.forecast_blocks(lambda rows, names: trees.predict(rows), short, names, vocabulary, calendar)
+    key = lambda df: {(r["store_id"], r["item_id"], r["date"]): r["y_pred"] for r in df.collect()}
+    assert key(got) == pytest.approx(key(want)) and len(key(got)) == 4 * 28
