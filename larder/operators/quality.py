@@ -9,27 +9,25 @@ from larder.functions.cleaning import PRICE_RANGE, QUANTITY_RANGE, out_of_bounds
 from larder.operators.filters import missing_key
 
 
-def dq_report(keyed: DataFrame, cleaned: DataFrame, keys: list[str]) -> DataFrame:
+def dq_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in and out, rows without key, duplicates, out-of-range values and NULLs per column.
 
-    ``keyed`` is the export with cleaned keys, before rows are dropped; ``cleaned`` is the final table with
-    its marks of out-of-range cells.
+    ``rows`` has the last row of every key, cleaned and with its marks of out-of-range cells, and in ``__rows`` how many
+    rows of the export it stands for; rows with a missing key are among them.
     """
-    no_key = missing_key(keys)
-    rows = keyed.agg(F.count(F.lit(1)).alias("initial_rows"), F.count_if(no_key).alias("missing_keys"))
-    nulls = {f"null_{c}": F.count_if(F.col(c).isNull()) for c in cleaned.columns if not c.startswith("__")}
-    final = cleaned.agg(
-        F.count(F.lit(1)).alias("final_rows"),
-        F.count_if("__bad_quantity").alias("out_of_bounds_qty"),
-        F.count_if("__bad_price").alias("out_of_bounds_price"),
+    stays = ~missing_key(keys)
+    total = lambda count: F.coalesce(F.sum(count), F.lit(0).cast("long"))
+    nulls = {f"null_{c}": F.count_if(stays & F.col(c).isNull()) for c in rows.columns if not c.startswith("__")}
+    found = rows.agg(
+        total(F.col("__rows")).alias("initial_rows"),
+        total(F.when(~stays, F.col("__rows"))).alias("missing_keys"),
+        total(F.when(stays, F.col("__rows") - 1)).alias("duplicates_dropped"),
+        F.count_if(stays).alias("final_rows"),
+        F.count_if(stays & F.col("__bad_quantity")).alias("out_of_bounds_qty"),
+        F.count_if(stays & F.col("__bad_price")).alias("out_of_bounds_price"),
         *[test.alias(name) for name, test in nulls.items()],
     )
-    start = rows.select(F.struct("initial_rows", "missing_keys")).scalar()
-    both = final.withColumns({"initial_rows": start["initial_rows"], "missing_keys": start["missing_keys"]})
-    # What is neither without key nor in the result was a duplicate.
-    repeated = F.col("initial_rows") - F.col("missing_keys") - F.col("final_rows")
-    both = both.withColumn("duplicates_dropped", repeated)
-    return both.unpivot([], both.columns, "metric", "value")
+    return found.unpivot([], found.columns, "metric", "value")
 
 
 def bounds_columns(df: DataFrame, quantity: str, price: str | None) -> DataFrame:

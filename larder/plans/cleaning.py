@@ -14,6 +14,7 @@ from larder.operators import headers
 from larder.operators.filters import drop_missing_keys
 from larder.operators.quality import bounds_columns, dq_report
 from larder.operators.windows import dedupe_keep_last, rolling_mean_min1
+from larder.session import spread
 
 DEFAULT_LEAD_TIME = 7.0
 ROLLING_ROWS = 7
@@ -74,12 +75,15 @@ def clean_inventory(
     safety_stock: float = stock.DEFAULT_SAFETY_STOCK,
     ordered: bool = True,
     tiebreak: list[Column] | None = None,
+    spellings: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Any inventory upload to the canonical table with cover, restock flag and safety stock.
 
+    ``spellings`` maps canonical columns to further headers, beside those of ``HEADER_SPELLINGS``.
+
     One narrow projection over the scan, unless daily sales have to be derived (one window).
     """
-    df, _ = headers.alias_headers(df)
+    df, _ = headers.alias_headers(df, spellings)
     df = headers.require_columns(derive_missing(df, tiebreak), headers.CANONICAL)
     kinds = {c: df.schema[c].dataType.typeName() for c in headers.NUMERIC}
     df = df.withColumns(
@@ -155,12 +159,24 @@ def price_column(df: DataFrame, layout: ExportLayout) -> str | None:
 def clean_export(df: DataFrame, order: list[str], layout: ExportLayout | None = None) -> DataFrame:
     """Clean a generic export.  ``order`` names the columns giving row order, for keep-last."""
     layout = layout or ExportLayout()
-    keyed, keys = _keyed(df, layout)
+    keyed, keys = _keyed(spread(df), layout)
     return _finish_export(keyed, keys, layout, order).drop("__bad_quantity", "__bad_price")
 
 
 def export_report(df: DataFrame, order: list[str], layout: ExportLayout | None = None) -> DataFrame:
-    """The data-quality report of the same cleaning."""
+    """The data-quality report of the same cleaning, from one scan.
+
+    One aggregate keeps the last row of each key and counts the others; rows without key are groups of it too, so nothing
+    has to be counted before they are dropped.
+    """
     layout = layout or ExportLayout()
-    keyed, keys = _keyed(df, layout)
-    return dq_report(keyed, _finish_export(keyed, keys, layout, order), keys)
+    keyed, keys = _keyed(spread(df), layout)
+    columns = keyed.columns
+    if keys:
+        last = F.max_by(F.struct(*columns), F.struct(*[F.col(headers.snake_name(c)) for c in order]))
+        counted = keyed.groupBy(*[F.col(k).alias(f"__key_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__rows"), last.alias("__last"))
+        counted = counted.select("__rows", "__last.*")
+    else:
+        counted = keyed.withColumn("__rows", F.lit(1).cast("long"))
+    typed = type_export(counted, layout, [c for c in columns if c not in keys])
+    return dq_report(bounds_columns(typed, layout.quantity, price_column(typed, layout)), keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Planning settings that do not depend on cluster size.  Shuffle partition counts and memory are left to
 # whoever submits the job; AQE coalesces small shuffles and splits skewed ones.
@@ -56,6 +56,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where the input is too small, by Spark's estimate, to give each core a file split.
+
+    An unsplit file is read by one task whatever is to be done with its rows.  The shuffle this costs is bounded by the
+    number of cores times the size of a split; larger inputs have splits for all cores and are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def checkpointed(df):
     """Reliable checkpoint: cuts lineage and survives losing the executors that computed it."""
     shared_folder(df.sparkSession)

@@ -180,3 +180,22 @@ def test_very_long_texts_are_cleaned(spark):
     cells = [plain, plain + " ", plain.replace(" ", "  "), plain + "\t x"]
     df = spark.createDataFrame([(c,) for c in cells], "t string").select(C.clean_text("t").alias("t"))
     assert [r.t for r in df.collect()] == [plain, plain, plain, plain + " x"]
+
+
+def test_own_spellings(spark):
+    df = spark.createDataFrame([("1", "p", 4, 2)], "sku string, product_name string, `Rear Stock` int, `on hand` int")
+    assert clean_inventory(df, spellings={"stockroom_units": ["rear stock"]}).first()["stockroom_units"] == 4.0
+    assert clean_inventory(df).first()["stockroom_units"] != 4.0
+
+
+def test_report_scans_the_export_once(spark, tmp_path):
+    rows = [("a", "w", "5", "1"), ("a", "w", "-5", "2"), (None, "w", "1", "3"), ("", None, "1", "4"), ("b", None, "x", "5")]
+    path = str(tmp_path / "export")
+    spark.createDataFrame(rows, "SKU string, `Location ID` string, `Qty On Hand` string, n string").write.parquet(path)
+    report = export_report(spark.read.parquet(path), ["n"])
+    assert report._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    got = {r["metric"]: r["value"] for r in report.collect()}
+    kept = {k: v for k, v in got.items() if not k.startswith("null_")}
+    assert kept == {
+        "initial_rows": 5, "missing_keys": 3, "duplicates_dropped": 1, "final_rows": 1, "out_of_bounds_qty": 1, "out_of_bounds_price": 0,
+    }
