@@ -21,20 +21,63 @@ def item_fits(daily: DataFrame, keys: list[str], date: str, value: str) -> DataF
 
     Day numbers count from the item's first day; effect k belongs to days k, k + 7, ...
     """
-    # Sums are taken against a fixed day and re-based to the item's first day afterwards, which saves the
-    # extra pass that would be needed to learn the first day before summing.
-    origin = F.lit("2000-01-03").cast("date")
-    day = F.date_diff(F.col(date), origin)
+    return fits_of(fit_sums(daily, keys, date, value), keys)
+
+
+# Sums are taken against a fixed day and re-based to the item's first day afterwards, which saves the extra pass that
+# would be needed to learn the first day before summing, and lets sums of several loads be added up.
+ORIGIN = "2000-01-03"
+
+
+def fit_sums(daily: DataFrame, keys: list[str], date: str, value: str, before: str | None = None) -> DataFrame:
+    """The sums per item that the fit needs, of one row per item and day.
+
+    With ``before``, the column of what these days had until now, they are what the sums grow by.
+    """
+    day = F.date_diff(F.col(date), F.lit(ORIGIN).cast("date"))
     y = F.col(value).cast("double")
-    by_weekday = [F.sum(F.when(F.pmod(day, F.lit(7)) == k, y).otherwise(0.0)) for k in range(7)]
-    sums = daily.groupBy(*keys).agg(
+    old = F.col(before).cast("double") if before else F.lit(0.0)
+    more = y - old
+    by_weekday = [F.sum(F.when(F.pmod(day, F.lit(7)) == k, more).otherwise(0.0)) for k in range(7)]
+    return daily.groupBy(*keys).agg(
         F.min(day).alias("__lo"),
         F.max(day).alias("__hi"),
-        F.sum(y).alias("__sy"),
-        F.sum(day.cast("double") * y).alias("__sdy"),
-        F.sum(y * y).alias("__syy"),
+        F.sum(more).alias("__sy"),
+        F.sum(day.cast("double") * more).alias("__sdy"),
+        F.sum(y * y - old * old).alias("__syy"),
         F.array(*by_weekday).alias("__wy"),
     )
+
+
+def changed_days(days: DataFrame, sales: DataFrame, keys: list[str], date: str = "date", value: str = "sale") -> DataFrame:
+    """The days that new sales fall on: what they had in ``days`` (0 for none) and what they have now.
+
+    Only the days of the increment are looked up; sales that come late are among them like any others.
+    """
+    fresh = sales.groupBy(*keys, date).agg(F.sum(value).alias("__more"))
+    known = days.select(*keys, date, F.col(value).alias("__before"))
+    both = fresh.join(known, [*keys, date], "left").withColumn("__before", F.coalesce("__before", F.lit(0)))
+    return both.withColumn(value, F.col("__before") + F.col("__more")).drop("__more")
+
+
+def merged_days(days: DataFrame, changes: DataFrame, keys: list[str], date: str = "date", value: str = "sale") -> DataFrame:
+    """Day sums with the changed days in place of what they were."""
+    return days.join(changes, [*keys, date], "left_anti").unionByName(changes.select(*days.columns))
+
+
+def merged_sums(sums: DataFrame, changes: DataFrame, keys: list[str], date: str = "date", value: str = "sale") -> DataFrame:
+    """Sums per item grown by the changed days."""
+    both = sums.unionByName(fit_sums(changes, keys, date, value, "__before"))
+    added = {c: F.sum(c) for c in ("__sy", "__sdy", "__syy")}
+    by_weekday = F.array(*[F.sum(F.get("__wy", F.lit(k))) for k in range(7)])
+    return both.groupBy(*keys).agg(
+        F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), *[x.alias(c) for c, x in added.items()], by_weekday.alias("__wy")
+    )
+
+
+def fits_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """The fits that follow from the sums."""
+    origin = F.lit(ORIGIN).cast("date")
     n = (F.col("__hi") - F.col("__lo") + 1).cast("double")
     sty = F.col("__sdy") - F.col("__lo") * F.col("__sy")
     mean_t = (n - 1) / 2
@@ -82,7 +125,11 @@ def forecast_items(
     """
     keys = keys or ["item_id"]
     daily = sales.groupBy(*keys, date).agg(F.sum(value).alias(value))
-    fits = item_fits(daily, keys, date, value)
+    return forecast_of(item_fits(daily, keys, date, value), keys, horizon, include_history, z)
+
+
+def forecast_of(fits: DataFrame, keys: list[str], horizon: int = HORIZON, include_history: bool = False, z: float = BAND_Z) -> DataFrame:
+    """The rows of ``forecast_items`` from fits, which may come from stored sums."""
     first = F.lit(0) if include_history else F.col("__n").cast("int")
     rows = fits.withColumn("__t", F.explode(F.sequence(first, F.col("__n").cast("int") + (horizon - 1))))
     trend = F.col("__icpt") + F.col("__slope") * F.col("__t")
