@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from larder.operators import filters
 from larder.plans.features import demand_features
 from larder.queries.registry import query
-from larder.sources import marts
+from larder.session import scratch_path
+from larder.sources import catalog, marts
 
 INVENTORY_COLUMNS = ["sku", "product_name", "on_hand", "stockroom_units", "shelf_units", "lead_time_days", "category"]
 INVENTORY = ", ".join(INVENTORY_COLUMNS)
@@ -84,6 +85,14 @@ def _(spark, folder):
     return filters.sku_history(history, "42")
 
 
+@query("sku_history_keyed", "SELECT item_id AS sku, date, sale AS demand FROM item_daily WHERE item_id = '42'", "item_daily")
+def _(spark, folder):
+    """The same lookup on a table laid out for it."""
+    history = marts.sales(spark, folder).groupBy(F.col("item_id").alias("sku"), "date").agg(F.sum("sale").alias("demand"))
+    path = catalog.write_keyed(history, scratch_path(spark, "history"), "sku", ["date"])
+    return filters.sku_history(spark.read.parquet(path), "42")
+
+
 @query(
     "drop_null_features",
     """

@@ -54,9 +54,10 @@ def _(spark, folder):
 @query(
     "read_m5",
     """
-    SELECT 'calendar' AS source, d AS key1, CAST(date AS VARCHAR) AS key2, CAST(wm_yr_wk AS VARCHAR) AS key3, event_name_1 AS value, CAST(snap_ca AS VARCHAR) AS flag FROM calendar
-    UNION ALL SELECT 'prices', store_id, item_id, CAST(wm_yr_wk AS VARCHAR), CAST(CAST(round(sell_price * 10000) AS BIGINT) AS VARCHAR), NULL FROM prices
-    UNION ALL SELECT 'sales', store_id, item_id, d, CAST(sold_qty AS VARCHAR), NULL FROM week_cells""",
+    SELECT 'calendar' AS source, d AS key1, CAST(date AS VARCHAR) AS key2, CAST(wm_yr_wk AS VARCHAR) AS key3, event_name_1 AS value, CAST(snap_ca AS VARCHAR) AS flag, NULL AS load_no FROM calendar
+    UNION ALL SELECT 'prices', store_id, item_id, CAST(wm_yr_wk AS VARCHAR), CAST(CAST(round(sell_price * 10000) AS BIGINT) AS VARCHAR), NULL, NULL FROM prices
+    UNION ALL SELECT 'sales', store_id, item_id, d, CAST(sold_qty AS VARCHAR), NULL, '1' FROM week_cells
+    UNION ALL SELECT 'sales', store_id, item_id, d, CAST(sold_qty + 1 AS VARCHAR), NULL, '0' FROM week_cells WHERE regexp_matches(item_id, '[05]$')""",
     "calendar prices week_cells",
 )
 def _(spark, folder):
@@ -69,13 +70,13 @@ def _(spark, folder):
     ]
     sales, days, prices = readers.read_m5(spark, *paths)
     none = F.lit(None).cast("string")
-    # The daily columns of the wide table as rows, of the final load only; prices in hundredths of a cent.
-    cells = wide_to_long(sales.where("load_no = '1'"), ["store_id", "item_id"])
+    # The daily columns of the wide table as rows, of both loads; prices in hundredths of a cent.
+    cells = wide_to_long(sales, ["store_id", "item_id", "load_no"])
     cents = F.round(F.col("sell_price").cast("double") * 10000).cast("long").cast("string")
     return (
-        days.select(F.lit("calendar").alias("source"), F.col("d").alias("key1"), F.col("date").alias("key2"), F.col("wm_yr_wk").alias("key3"), F.col("event_name_1").alias("value"), F.col("snap_ca").alias("flag"))
-        .unionByName(prices.select(F.lit("prices").alias("source"), F.col("store_id").alias("key1"), F.col("item_id").alias("key2"), F.col("wm_yr_wk").alias("key3"), cents.alias("value"), none.alias("flag")))
-        .unionByName(cells.select(F.lit("sales").alias("source"), F.col("store_id").alias("key1"), F.col("item_id").alias("key2"), F.col("d").alias("key3"), F.col("sold_qty").alias("value"), none.alias("flag")))
+        days.select(F.lit("calendar").alias("source"), F.col("d").alias("key1"), F.col("date").alias("key2"), F.col("wm_yr_wk").alias("key3"), F.col("event_name_1").alias("value"), F.col("snap_ca").alias("flag"), none.alias("load_no"))
+        .unionByName(prices.select(F.lit("prices").alias("source"), F.col("store_id").alias("key1"), F.col("item_id").alias("key2"), F.col("wm_yr_wk").alias("key3"), cents.alias("value"), none.alias("flag"), none.alias("load_no")))
+        .unionByName(cells.select(F.lit("sales").alias("source"), F.col("store_id").alias("key1"), F.col("item_id").alias("key2"), F.col("d").alias("key3"), F.col("sold_qty").alias("value"), none.alias("flag"), "load_no"))
     )
 
 
@@ -151,18 +152,20 @@ UPSERTED = """
       FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) best ON l_partkey = p_partkey"""
 
 
+def _returned(spark, folder):
+    """New labels of returned items, and the order in which they were given."""
+    returned = marts.table(spark, folder, "lineitem").where("l_returnflag = 'R'")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity"]
+    label = F.concat(F.lit("sold "), F.col("l_quantity").cast("long").cast("string")).alias("label")
+    return returned.select(F.col("l_partkey").alias("id"), label, *order), [F.col(c) for c in order]
+
+
 def _items(spark, folder):
     path = scratch_path(spark, "items")
     name = "larder_items_" + path.rsplit("-", 1)[1]
     part = marts.table(spark, folder, "part")
     catalog.replace_table(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), name, path)
-    returned = marts.table(spark, folder, "lineitem").where("l_returnflag = 'R'")
-    changes = returned.select(
-        F.col("l_partkey").alias("id"),
-        F.concat(F.lit("sold "), F.col("l_quantity").cast("long").cast("string")).alias("label"),
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity",
-    )
-    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")]
+    changes, order = _returned(spark, folder)
     location = catalog.upsert_by_key(spark, name, changes, "id", order)
     spark.sql(f"DROP TABLE {name}")
     return spark.read.parquet(location)
@@ -203,6 +206,31 @@ def _(spark, folder):
     return catalog.table_profile(marts.table(spark, folder, "part"), "part")
 
 
+@query(
+    "table_samples",
+    """
+    WITH texts AS (
+        SELECT [CAST(p_partkey AS VARCHAR), p_name, p_brand, p_type, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)] AS cells FROM part
+    ), ranked AS (
+        SELECT cells, row_number() OVER (ORDER BY sha256(array_to_string([coalesce(strlen(c) || ':' || c, '-') FOR c IN cells], '')), cells) AS position FROM texts
+    )
+    SELECT 'part' AS table_name, CAST(position AS INTEGER) AS position, cells[1] AS p_partkey, cells[2] AS p_name, cells[3] AS p_brand, cells[4] AS p_type,
+           cells[5] AS p_size, cells[6] AS p_retailprice FROM ranked WHERE position <= 3""",
+)
+def _(spark, folder):
+    return catalog.table_samples(marts.table(spark, folder, "part"), "part")
+
+
+@query("upsert_buckets", UPSERTED)
+def _(spark, folder):
+    path = scratch_path(spark, "items")
+    part = marts.table(spark, folder, "part")
+    catalog.write_buckets(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")), path, "id", buckets=16)
+    changes, order = _returned(spark, folder)
+    catalog.upsert_buckets(spark, path, changes, "id", order)
+    return catalog.read_buckets(spark, path)
+
+
 @query(
     "run_sql",
     """

@@ -127,3 +127,48 @@ def test_sales_without_keys_keep_all_rows(spark):
     assert long_sales(wide, [F.col("row")]).count() == 4
     with pytest.raises(ValueError, match="order"):
         long_sales(wide, [])
+
+
+def files_of(path, bucket):
+    import glob
+
+    return {(f, __import__("os").path.getmtime(f)) for f in glob.glob(f"{path}/{catalog.BUCKET}={bucket}/*.parquet")}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "items")
+    rows = [(i, f"old {i}") for i in range(40)] + [(None, "no key")]
+    catalog.write_buckets(spark.createDataFrame(rows, "id long, label string"), path, "id", buckets=8)
+    before = {b: files_of(path, b) for b in range(8)}
+    assert all(before.values())
+    changes = spark.createDataFrame([(3, "older", 1), (3, "new 3", 2), (100, "new 100", 1)], "id long, label string, n int")
+    touched = catalog.upsert_buckets(spark, path, changes, "id", [F.col("n")])
+    assert 1 <= len(touched) <= 2
+    for b in range(8):
+        assert (files_of(path, b) == before[b]) == (b not in touched)
+    got = {r["id"]: r["label"] for r in catalog.read_buckets(spark, path).collect()}
+    assert got == {i: f"old {i}" for i in range(40)} | {3: "new 3", 100: "new 100", None: "no key"}
+    assert catalog.upsert_buckets(spark, path, changes.limit(0), "id", [F.col("n")]) == []
+    assert catalog.read_buckets(spark, path).count() == 42
+
+
+def test_keyed_layout_is_read_in_part(spark, tmp_path):
+    history = spark.range(100_000).selectExpr("concat('k', id % 1000) AS sku", "id AS day", "id * 2 AS demand")
+    path = catalog.write_keyed(history, str(tmp_path / "keyed"), "sku", ["day"], files=10)
+    found = spark.read.parquet(path).where("sku = 'k500'")
+    assert sorted(r["day"] for r in found.collect()) == list(range(500, 100_000, 1000))
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert leaf.metrics().apply("numOutputRows").value() < 25_000
+    absent = spark.read.parquet(path).where("sku = 'k500x'")  # within the range of a file, but not in its Bloom filter
+    assert absent.collect() == []
+    leaf = absent._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert leaf.metrics().apply("numOutputRows").value() == 0
+
+
+def test_samples_are_whole_rows_and_the_same_again(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "x", float(i)) for i in range(50)], "a long, `b c` string, d double")
+    first = catalog.table_samples(df.repartition(3), "t").collect()
+    assert first == catalog.table_samples(df.repartition(7), "t").collect() and len(first) == 3
+    rows = {tuple(None if v is None else str(v) for v in r) for r in df.collect()}
+    assert all((r["a"], r["b c"], r["d"]) in rows for r in first)
+    assert catalog.table_samples(df.limit(0), "t").collect() == []
