@@ -3,8 +3,9 @@
 The fixed shapes are assignments to a credential name, access key ids and long hexadecimal runs.  Beyond them, values
 that follow credential words in looser wording are cut at minimum cost into dictionary words, dates, repeats, keyboard
 walks and brute-force characters; a value that costs at least STRONG_BITS to guess is a secret too.  The dictionary is
-made of the first guesses of COMMON, of the words of the byte-level vocabulary and of the frequent words of the scanned
-table itself, so that ordinary prose behind a credential word is cheap in any language.
+made of the first guesses of COMMON and of the words and word parts of the byte-level vocabulary, so that ordinary prose
+behind a credential word is cheap, also where a word is only made of known parts.  It is the same for every text: the spans
+of a text follow from that text alone.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 import base64
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from datetime import date
 from functools import cache
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm import text_blocks as tb
-from larder.llm.shared import stored, with_fields
+from larder.llm.shared import with_fields
 
 KINDS = ("assign", "access", "hex", "guess")
 STRONG_BITS = 36.0
@@ -53,12 +53,7 @@ insert enter please company office home internet computer network security backu
 linux github docker cloud house horse battery staple correct black white blue green orange tiger lion flower coffee
 money happy lucky magic star angel baby""".split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-# Words of prose: shorter ones would make parts of random letters cheap, and longer ones are rarely words.
-WORD = re.compile(r"\b[^\W\d_]{4,24}\b")
 LONGEST_WORD = 24
-LEAST_DOCUMENTS = 5  # rows that hold a word, before it counts as one
-MOST_WORDS = 1 << 16  # of the table's own words, about so many of the most frequent
-_HELD_WORDS = 50_000  # words that a task counts before it hands them on
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 
@@ -84,16 +79,17 @@ def _alphabet_bits(ch: str) -> float:
 
 @cache
 def base_ranks() -> dict[str, int]:
-    """Rank of the words of COMMON and, behind them, of the whole words of the byte-level vocabulary, whose tokens stand
-    in the order in which they were merged, so roughly by frequency."""
+    """Rank of the words of COMMON and, behind them, of the words and word parts of three letters and more of the
+    byte-level vocabulary, whose tokens stand in the order in which they were merged, so roughly by frequency."""
     import public_tokenizers
 
     ranks = dict(RANK)
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         tokens = sorted((int(rank), base64.b64decode(token)) for token, rank in map(bytes.split, lines))
     for _, token in tokens:
-        if token[:1] == b" " and len(token) > 4 and token[1:].isalpha() and token.isascii():
-            ranks.setdefault(token[1:].decode().lower(), len(ranks) + 1)
+        word = token.removeprefix(b" ")
+        if LONGEST_WORD >= len(word) > 2 and word.isalpha() and word.isascii():
+            ranks.setdefault(word.decode().lower(), len(ranks) + 1)
     return ranks
 
 
@@ -214,65 +210,6 @@ def _candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _HEX_BYTES = np.zeros(256, bool)
 _HEX_BYTES[[*range(48, 58), *range(97, 103)]] = True
 
-def _words(text: str) -> set[str]:
-    """The distinct words of a text in lower case, without those in the place of a credential value."""
-    for pattern, group in ((ASSIGN, 2), (CONTEXT, 1)):
-        text = pattern.sub(lambda m, k=group: m[0][: m.start(k) - m.start()] + "0" * (m.end(k) - m.start(k)), text)
-    return set(WORD.findall(text.lower()))
-
-
-def word_ranks(df: DataFrame, *, text: str = "text") -> dict[str, int]:
-    """``base_ranks`` with the table's own words: those in LEAST_DOCUMENTS rows or more, by the number of rows.
-
-    A word in both lists keeps its better rank.  What stands behind a credential word is not counted, so that a secret
-    does not become a word by being repeated.  The rows are counted as one aggregate; at most about MOST_WORDS words come
-    to the driver: whole classes of counts (of an eighth of an octave), the most frequent first, and of the class that
-    does not fit the share of its words, by hash, that does.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-
-        def counted() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"]
-            )
-            held.clear()
-            return out
-
-        for batch in batches:
-            for start, stop, data, offsets in tb.text_blocks(batch.column(0)):
-                credential = _candidates(data, offsets)
-                flat = data.tobytes()
-                for row in range(stop - start):
-                    own = flat[offsets[row] : offsets[row + 1]].decode("utf-8")
-                    held.update(_words(own) if credential[row] else set(WORD.findall(own.lower())))
-                    if len(held) > _HELD_WORDS:
-                        yield counted()
-        yield counted()
-
-    counts = stored(
-        df.select(F.col(f"`{text}`").cast("string").alias("text"))
-        .mapInArrow(tb.tidy(run), "word string, n long")
-        .groupBy("word")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= LEAST_DOCUMENTS)
-        .withColumn("class", F.floor(F.log2("n") * 8))
-    )
-    room, chosen = MOST_WORDS, F.lit(False)
-    for k, words in sorted(map(tuple, counts.groupBy("class").count().collect()), reverse=True):
-        share = min(1.0, room / words)
-        chosen = chosen | ((F.col("class") == k) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
-        room -= words
-        if room <= 0:
-            break
-    own = sorted((-n, word) for word, n in counts.where(chosen).select("word", "n").collect())
-    ranks = dict(base_ranks())
-    for i, (_, word) in enumerate(own):
-        ranks[word] = min(ranks.get(word, len(COMMON) + i + 1), len(COMMON) + i + 1)
-    return ranks
-
-
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("bits", pa.float64())]))
 
 
@@ -280,13 +217,13 @@ def scan(df: DataFrame, *, text: str = "text", spans: str = "spans") -> DataFram
     """All columns of the input and ``spans``: array of (kind, start, end, bits), in code points, end exclusive.
 
     Null, empty and clean texts have no spans; texts are scanned whole.  Spans of different kinds may overlap, except
-    that ``guess`` spans never touch another.  Repeated rows are scanned one by one.  A column already called like
-    ``spans`` is replaced.  The texts are read twice, first for ``word_ranks``.
+    that ``guess`` spans never touch another.  The spans of a row depend on its text only; repeated rows have the same.  A
+    column already called like ``spans`` is replaced.
     """
     kept = [c for c in df.columns if c != spans]
     frame = df.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text)
-    ranks = df.sparkSession.sparkContext.broadcast(word_ranks(frame, text=text))
+    ranks = df.sparkSession.sparkContext.broadcast(base_ranks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,11 @@
+import math
 import re
 
+import pytest
 from edges import documents, nothing
 
-from larder.llm.secrets import LEAST_DOCUMENTS, STRONG_BITS, base_ranks, find, guess_bits, redacted, scan, word_ranks
+from larder.llm import secrets
+from larder.llm.secrets import STRONG_BITS, base_ranks, find, guess_bits, redacted, scan
 
 KEY = "AKIA" + "Q7" * 8
 HEX = "0123456789abcdef" * 2
@@ -88,23 +91,43 @@ def test_ordinary_sentences_have_no_secrets(spark):
     assert all(r.clean == r.text for r in rows)
 
 
-def test_frequent_words_of_the_table_are_words(spark):
-    """Words of no list are learnt from the rows, but not from the place of a credential value."""
-    spoken = [f"the gravnolidar of row {k} was seen" for k in range(LEAST_DOCUMENTS)]
-    told = ["the secret is gravnolidar", "the secret is vrelquistomb", *["the secret is kfvqzjwxbd"] * (2 * LEAST_DOCUMENTS)]
-    spans = lambda texts: {r.text: [(s.kind, r.text[s.start : s.end]) for s in r.spans] for r in scan(documents(spark, texts)).collect()}
-    out = spans(spoken + told)
-    assert out[told[0]] == [] and all(out[t] == [] for t in spoken)
-    assert out[told[1]] == [("guess", "vrelquistomb")] and out[told[2]] == [("guess", "kfvqzjwxbd")]
-    assert spans(spoken[1:] + told)[told[0]] == [("guess", "gravnolidar")]
-
-
-def test_the_word_list_is_bounded(spark, monkeypatch):
-    texts = [" ".join(a + b + "zzqx" for b in "bcdfghjklm") for a in "abcdefghij" for _ in range(LEAST_DOCUMENTS)]
-    own = lambda: set(word_ranks(documents(spark, texts))) - set(base_ranks())
-    assert len(own()) == 100
-    monkeypatch.setattr("larder.llm.secrets.MOST_WORDS", 40)
-    assert 10 < len(own()) < 70
+def test_spans_follow_from_the_text_alone(spark):
+    """A leaked value is found however often it stands elsewhere, and found the same alone and in any table."""
+    leaked = ["the secret is vrelquistomb9", "the passphrase is brimstone7quartzite", "the secret is kfvqzjwxbd"]
+    other = ["brimstone7quartzite vrelquistomb9 kfvqzjwxbd were seen"] * 20
+    rows = scan(documents(spark, leaked * 7 + other)).collect()
+    for r in rows:
+        assert [(s.kind, s.start, s.end) for s in r.spans] == [x[:3] for x in find(r.text or "")]
+    assert all(len(r.spans) == 1 and r.spans[0].kind == "guess" for r in rows if r.text in leaked)
+
+
+def piece_bits(piece, ranks):
+    """The price of a piece taken as a whole, by kind; without the price of the cut."""
+    prices = [w for w in [secrets._word_bits(piece, ranks)] if w is not None and 2 <= len(piece) <= secrets.LONGEST_WORD]
+    dated = secrets._date_end(piece, 0)
+    prices += [dated[1]] if dated and dated[0] == len(piece) else []
+    if len(piece) >= 3 and len(set(piece)) == 1:
+        prices.append(secrets._alphabet_bits(piece[0]) + math.log2(len(piece)))
+    if len(piece) >= 3 and all(p in secrets._NEAR for p in zip(piece.lower(), piece.lower()[1:])):
+        prices.append(math.log2(len(secrets._PLACES)) + math.log2(len(piece)) + 0.5 * len(piece))
+    return min(prices, default=math.inf)
+
+
+@pytest.mark.parametrize(
+    "value", ["dragon2001", "aaaqwerty7", "P4ssw0rd19", "xkcdzzzz", "20191231ab", "19999asdf", "letmein111", "qazWSXedc", "31-12-1999x", "Zq9!vT"]
+)
+def test_the_cut_is_the_cheapest_of_all(value):
+    """Every cut into pieces, tried one by one; single characters cost no cut."""
+    ranks = base_ranks()
+    best = math.inf
+    for mask in range(1 << (len(value) - 1)):
+        cuts = [0, *(i + 1 for i in range(len(value) - 1) if mask >> i & 1), len(value)]
+        total = 0.0
+        for a, b in zip(cuts, cuts[1:]):
+            single = secrets._alphabet_bits(value[a]) if b - a == 1 else math.inf
+            total += min(single, secrets._BREAK_BITS + piece_bits(value[a:b], ranks))
+        best = min(best, total)
+    assert guess_bits(value) == pytest.approx(best)
 
 
 def _col(name):
