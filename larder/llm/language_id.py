@@ -93,7 +93,8 @@ def train(
 ) -> Model | None:
     """Fit on rows with a text and a language, about ``per_language`` of each by a hash of the id; None without any.
 
-    This bounds the fit whatever the corpus; the taken texts count whole.  More than MOST_LANGUAGES values of ``lang``
+    This bounds the fit whatever the corpus; the taken texts count whole.  The priors are the shares of the languages among
+    all rows that have a text and a language.  More than MOST_LANGUAGES values of ``lang``
     are an error, because the matrix would no longer be small.
     """
     rows = docs.select(
@@ -140,7 +141,7 @@ def train(
     matrix = np.full((BUCKETS, len(names)), smoothing)
     at = counted.column("bucket").to_numpy(), counted.column("number").to_numpy()
     matrix[at] += counted.column("n").to_numpy()
-    seen = np.minimum(np.array([totals[x] for x in names], float), per_language)
+    seen = np.array([totals[x] for x in names], float)
     return Model(names, np.log(seen / seen.sum()), np.log(matrix / matrix.sum(axis=0)).astype(np.float32))
 
 

@@ -42,6 +42,33 @@ def test_bounded_sample_learns_every_language(spark, truth):
     assert np.mean([r.lang_pred == truth[0][r.doc_id] for r in rows]) > 0.95
 
 
+def test_language_scores_of_plain_naive_bayes(spark):
+    """Counts, smoothing, priors and posteriors again, with dictionaries."""
+    import math
+    from collections import Counter
+
+    texts = [("en", "the boats are here"), ("en", "and there"), ("fr", "les bateaux"), ("en", "the strait"), ("fr", "ici"), ("de", "das Boot")]
+    df = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.train(df, per_language=1_000_000)
+
+    def buckets(text):
+        data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        points, bounds = language_id.characters(data, offsets)
+        return [int(b) for found, _ in language_id.ngrams(points, bounds) for b in found]
+
+    counts = {g: Counter(b for own, t in texts if own == g for b in buckets(t)) for g in ("de", "en", "fr")}
+    got = {r.text: r for r in language_id.predict(df, model).collect()}
+    for _, text in texts:
+        logs = {}
+        for g, own in counts.items():
+            whole = sum(own.values()) + 0.5 * language_id.BUCKETS
+            prior = sum(x == g for x, _ in texts) / len(texts)
+            logs[g] = math.log(prior) + sum(math.log((own[b] + 0.5) / whole) for b in buckets(text))
+        best = max(logs, key=logs.get)
+        assert got[text].lang_pred == best
+        assert got[text].score == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), rel=1e-3)
+
+
 def test_toxicity_of_held_out_documents(spark, truth):
     rows = [r for r in QUERIES["op7_toxicity"](spark, FOLDER).collect() if r.held_out and r.doc_id in truth[1]]
     y = np.array([truth[1][r.doc_id] for r in rows])
