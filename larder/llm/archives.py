@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from larder.llm import text_blocks as tb
 
 RECORDS_PER_FILE = 1000
+FILE_BYTES = 64 << 20  # before compression; a file is read back whole, so this and one record bound a task's memory
 OUT_BYTES = 1 << 22
 
 ARC_FIELDS = {
@@ -61,19 +63,32 @@ def arc_lines(url: Column, when: Column, block: Column, version: Column) -> Colu
     )
 
 
-def _with_heads(heads: list[str], records_per_file: int):
-    """Put a head before every ``records_per_file`` records, where the writer begins a file: in turn, by partition."""
+def _with_heads(heads: list[str], records_per_file: int, file_bytes: int):
+    """Put a head before every ``records_per_file`` records, where the writer begins a file: in turn, by partition.
+
+    The writer counts records only.  A file that has ``file_bytes`` bytes gets empty records for those still missing: they
+    leave nothing but line ends, which readers skip.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, head = 0, heads[TaskContext.get().partitionId() % len(heads)]
+        held, size, head = 0, 0, heads[TaskContext.get().partitionId() % len(heads)]
         for batch in batches:
             column, at = batch.column(0), 0
+            lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             while at < len(column):
                 if held == 0:
                     yield pa.RecordBatch.from_arrays([pa.array([head], column.type)], names=["value"])
                 step = min(len(column) - at, records_per_file - held)
+                # The record that crosses the limit still goes in.
+                step = min(step, int(np.searchsorted(np.cumsum(lengths[at : at + step]), file_bytes - size)) + 1)
                 yield pa.RecordBatch.from_arrays([column.slice(at, step)], names=["value"])
-                at, held = at + step, (held + step) % records_per_file
+                held, size = held + step, size + int(lengths[at : at + step].sum())
+                at += step
+                if size >= file_bytes and held < records_per_file:
+                    yield pa.RecordBatch.from_arrays([pa.array([""] * (records_per_file - held), column.type)], names=["value"])
+                    held = records_per_file
+                if held == records_per_file:
+                    held = size = 0
 
     return run
 
@@ -93,14 +108,22 @@ def warc_head(when: str) -> str:
 
 
 def write_archive(
-    records: DataFrame, path: str, heads: list[str], end: str, compress: bool, per_file: int = RECORDS_PER_FILE
+    records: DataFrame,
+    path: str,
+    heads: list[str],
+    end: str,
+    compress: bool,
+    per_file: int = RECORDS_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write one string column of records as archive files, every record ended by ``end``.
 
+    A file is closed after ``per_file`` records or by the record that brings it to ``file_bytes`` bytes.
+
     Each file begins with a head; of several heads, partitions take one in turn by their number.
     """
     (
-        records.mapInArrow(_with_heads(heads, per_file), "value string")
+        records.mapInArrow(_with_heads(heads, per_file, file_bytes), "value string")
         .write.option("lineSep", end)
         .option("compression", "gzip" if compress else "none")
         .option("maxRecordsPerFile", per_file + 1)
@@ -318,21 +341,23 @@ def _warc_rows(data: bytes):
         yield (
             fields["warc-record-id"], fields["warc-type"], fields["warc-date"], fields.get("warc-target-uri"), digest,
             fields.get("warc-refers-to"), "\r\n".join(["", *(f"{k}: {v}" for k, v in http.items()), ""]),
+            len(body) if fields["warc-type"] == "response" else None,
         )
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, date, url, digest, refers_to (a record id) and the HTTP head; payloads are checked."""
+    """record_id, record_type, date, url, digest, refers_to (a record id), the HTTP head and the bytes of a response's
+    payload; payloads are checked."""
     names = ("record_id", "record_type", "date", "url", "digest", "refers_to", "head")
-    ddl = ", ".join(f"{n} string" for n in names)
-    return _read(spark, path, _warc_rows, _schema(**dict.fromkeys(names, pa.string())), ddl)
+    ddl = ", ".join(f"{n} string" for n in names) + ", payload_bytes long"
+    return _read(spark, path, _warc_rows, _schema(**dict.fromkeys(names, pa.string()), payload_bytes=pa.int64()), ddl)
 
 
 def page_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write pages as ARC files (both versions), convert them to WARC files, and read those back.
 
-    Returns page_id, url, payload_bytes, payload_digest, record_type, refers_to (a page_id) and record_id, one row per
-    page.  A null html is an empty payload, a null url ``about:blank``; white space in a URL is percent-encoded.  Equal
+    Returns page_id, payload_bytes, payload_digest, record_type, refers_to (a page_id), record_id and url, one row per
+    page; the payload of a revisit is that of the record it refers to.  A null html is an empty payload, a null url ``about:blank``; white space in a URL is percent-encoded.  Equal
     payloads, empty ones included, are one response (the smallest page_id) and revisits.  Rows that repeat a page_id and
     a payload are all responses.  A page without an id is archived under an empty one: it comes back with page_id null
     and is revisited by none unless no row of its payload has an id.  An empty table gives an empty result.
@@ -351,14 +376,14 @@ def page_archive(pages: DataFrame, folder: str, *, page_id: str = "page_id", url
     write_archive(arc_to_warc(spark, f"{folder}/arc", order), f"{folder}/warc", [warc_head(stamp)], "\r\n\r\n", compress=True)
     back = read_warc(spark, f"{folder}/warc").withColumn("page_id", page)
     named = back.where("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id")
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id"), F.col("payload_bytes").alias("first_bytes")
     ).dropDuplicates(["refers_to"])
     return back.join(named, "refers_to", "left").select(
         "page_id",
-        "url",
-        http_field("head", "Content-Length").cast("long").alias("payload_bytes"),
+        F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
         "record_type",
         F.col("first_id").alias("refers_to"),
         "record_id",
+        "url",
     )

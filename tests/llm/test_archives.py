@@ -99,3 +99,13 @@ def test_files_hold_a_bounded_number_of_records(spark, tmp_path):
     # Bodies of five bytes are too short to be revisits.
     assert sum(r.record_type == "revisit" for r in back) == 95 - 40 - sum(i >= 40 and i % 40 < 10 for i in range(95))
     assert {r.date for r in back} == {"2024-05-06T07:08:09Z"}
+
+
+def test_files_are_closed_by_bytes_too(spark, tmp_path):
+    blocks = [f"{i} " + "x" * (30_000 if i % 7 == 0 else 10) for i in range(60)]
+    lines = spark.createDataFrame([(f"http://a/ 0.0.0.0 20240101000000 text/html {len(b)}\n{b}",) for b in blocks], "value string").coalesce(1)
+    write_archive(lines, str(tmp_path / "arc"), [arc_head(1, "20240101000000")], "\n", compress=False, per_file=20, file_bytes=40_000)
+    files = sorted((tmp_path / "arc").glob("part-*"))
+    assert len(files) > 3 and all(f.stat().st_size < 75_000 for f in files)
+    got = [block.decode() for f in files for _, block in arc_records(f.read_bytes())]
+    assert sorted(got) == sorted(blocks)
