@@ -3,7 +3,11 @@
 Queries meet the candidates block against block, so every task holds two blocks of bounded size.  In a candidate block
 every dimension is a list of the vectors in sorted order.  A query reads its lists from the end that suits the sign of
 its component, step by step; every vector that turns up is scored in full, and reading stops once the sum of the last
-values read, which bounds all vectors not seen yet, is below the k-th best score.  The best of all blocks are merged.
+values read, which bounds all vectors not seen yet, is below the k-th best score, or once no vector is unseen.  The best of
+all blocks are merged.
+
+Every candidate block meets every query block, so rows are copied n / QUERIES_PER_BLOCK and n / CANDIDATES_PER_BLOCK times:
+blocks are as large as a task can hold, candidates in smaller ones only where fewer than a block for each core would be left.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES_PER_BLOCK = 16_384
-QUERIES_PER_BLOCK = 512
+CANDIDATES_PER_BLOCK = 65_536
+LEAST_CANDIDATES = 4_096
+QUERIES_PER_BLOCK = 16_384
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -50,15 +55,15 @@ class Lists:
         up, unseen = query[used] > 0, n
         while unseen:
             stop = min(n, depth + step)
-            if unseen > n // 8 and len(used):
+            fresh = np.zeros(n, bool)
+            if len(used):
                 lists = np.where(up, self.falling[depth:stop, used], self.rising[depth:stop, used])
-                fresh = np.zeros(n, bool)
                 fresh[lists.ravel()] = True
-                fresh &= ~seen
                 bound = (query[used] * self.vectors[lists[-1], used]).sum()
             else:
-                # Few vectors are left: scoring them costs less than reading on in all lists.
-                fresh, bound = ~seen, -np.inf
+                # Without a component the query has no list, and every score is 0.
+                fresh[:], bound = True, 0
+            fresh &= ~seen
             seen |= fresh
             unseen = n - int(np.count_nonzero(seen))
             at = np.flatnonzero(fresh)
@@ -136,7 +141,9 @@ def top_k(
         return rows.where("vec_id is not null and vector is not null and not array_contains(transform(vector, x -> x is null), true)")
 
     queries, candidates = plain(queries).dropDuplicates(["vec_id"]), plain(candidates)
-    c_blocks = max(1, math.ceil(candidates.count() / CANDIDATES_PER_BLOCK))
+    rows, cores = candidates.count(), candidates.sparkSession.sparkContext.defaultParallelism
+    per_block = min(CANDIDATES_PER_BLOCK, max(LEAST_CANDIDATES, math.ceil(rows / cores)))
+    c_blocks = max(1, math.ceil(rows / per_block))
     q_blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
     # Rows are dealt by a hash of id and vector, so that repeated ids do not pile up in one block.
     left = candidates.withColumn("c", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(c_blocks)).cast("int")).withColumn(

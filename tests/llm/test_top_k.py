@@ -42,6 +42,7 @@ def test_search_stops_before_the_end(monkeypatch):
 
 def test_tables(spark, monkeypatch):
     monkeypatch.setattr(module, "CANDIDATES_PER_BLOCK", 90)
+    monkeypatch.setattr(module, "LEAST_CANDIDATES", 50)
     monkeypatch.setattr(module, "QUERIES_PER_BLOCK", 7)
     rng = np.random.default_rng(4)
     data = [(int(i), [float(x) for x in rng.normal(size=6)], 1, "clash") for i in range(400)]
