@@ -158,7 +158,8 @@ def manifest(
     """
     kind = rows.schema[key].dataType.simpleString()
     leaves = rows.select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(digest).alias("digest"), F.col(presented).alias("presented"))
-    numbered = number_rows(leaves, [F.col("group").asc_nulls_first(), F.col("key").asc_nulls_first(), "digest"], "global")
+    # Stored first: a sort by ranges reads its input twice, and leaves are hashes of whole texts.
+    numbered = number_rows(stored(leaves), [F.col("group").asc_nulls_first(), F.col("key").asc_nulls_first(), "digest"], "global")
     groups = numbered.groupBy("group").agg(F.min("global").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = stored(number_rows(groups, ["first"], "tree"))
     # Null and text apart, so that both are plain join keys.

@@ -46,7 +46,7 @@ def ordered_turns(
         F.length(body).cast("long").alias("size"),
     )
     # Numbered over the table, not by a window: one conversation may be a large part of all rows.
-    numbered = number_rows(turns, ["conv_id", F.col("turn").asc_nulls_first(), "print"], "place")
+    numbered = number_rows(stored(turns), ["conv_id", F.col("turn").asc_nulls_first(), "print"], "place")
     firsts = numbered.groupBy("conv_id").agg(F.min("place").alias("first"))
     return numbered.join(firsts, "conv_id").select("conv_id", (F.col("place") - F.col("first")).alias("position"), "print", "size")
 
