@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm import text_blocks as tb
@@ -113,6 +113,21 @@ def _equal_run(places: list[int]) -> Column:
     return out
 
 
+def _join_keys() -> Column:
+    """What document and item must share: the run and the two words on one of its sides.
+
+    A common stretch of SPAN words has SIDE of them beside the run, so two or more on the left or on the right.  A short
+    item is its run alone.  The run by itself would bring every item that holds a common phrase to all its occurrences.
+    """
+    words = F.col("around")
+
+    def side(number: int, near: int, far: int) -> Column:
+        return F.when((words[near] != 0) & (words[far] != 0), F.xxhash64(F.lit(number), "print", words[near], words[far]))
+
+    both = F.array_compact(F.array(side(1, SIDE - 1, SIDE - 2), side(2, SIDE + GRAM, SIDE + GRAM + 1)))
+    return F.when(F.col("size") < SPAN, F.array("print")).otherwise(both)
+
+
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,
@@ -150,14 +165,18 @@ def decontaminate(
 
     # Equal surroundings of several items are one line here; their items come in by name afterwards.
     place = F.xxhash64("print", "around").alias("place")
-    places = printed.select("print", F.col("size").alias("item_size"), F.col("around").alias("item_around"), place).distinct()
+    places = printed.withColumn("key", F.explode(_join_keys())).select(
+        "key", F.col("print").alias("item_print"), F.col("size").alias("item_size"), F.col("around").alias("item_around"), place
+    )
+    places = places.distinct()
     left, right = _equal_run([SIDE - 1 - k for k in range(SIDE)]), _equal_run([SIDE + GRAM + k for k in range(SIDE)])
     same = F.slice("around", SIDE + 1, GRAM) == F.slice("item_around", SIDE + 1, GRAM)
     hits = (
         scanned.select("row", F.explode("hits").alias("hit"))
         .select("row", "hit.*")
-        .join(places, "print")
-        .where((F.col("size") == F.col("item_size")) & same)
+        .withColumn("key", F.explode(_join_keys()))
+        .join(places, "key")
+        .where((F.col("print") == F.col("item_print")) & (F.col("size") == F.col("item_size")) & same)
         .withColumn("left", F.when(F.col("size") < SPAN, 0).otherwise(left))
         .withColumn("right", F.when(F.col("size") < SPAN, F.col("size") - GRAM).otherwise(right))
         .where(F.col("left") + F.col("right") + GRAM >= F.col("size"))
@@ -166,7 +185,17 @@ def decontaminate(
         )
     )
     hits = stored(hits.distinct())
-    spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("runs"))
+    # Runs that touch or overlap are one span.
+    by_start = Window.partitionBy("row").orderBy("start", "stop")
+    before = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.select("row", "start", "stop").distinct().withColumn("apart", F.coalesce(F.col("start") > before, F.lit(True)))
+    runs = runs.withColumn("span", F.sum(F.col("apart").cast("int")).over(by_start))
+    spans = (
+        runs.groupBy("row", "span")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    )
     named = printed.where("item_id is not null").select("item_id", place).distinct()
     listed = (
         hits.select("row", "place")
@@ -179,26 +208,8 @@ def decontaminate(
         scanned.select("row", "doc_id", "n_words")
         .join(spans, "row", "left")
         .join(listed, "row", "left")
-        .withColumn("spans", F.coalesce(_merged("runs"), F.expr(f"cast(array() as array<{_RUN}>)")))
+        .withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")))
         .withColumn("items", F.coalesce("items", F.expr("cast(array() as array<string>)")))
         .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"]))
         .select("doc_id", "n_words", "spans", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
     )
-
-
-_RUN = "struct<start:int,stop:int>"
-
-
-def _merged(runs: str) -> Column:
-    """Sorted ranges with those that touch or overlap joined."""
-
-    def join(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))
-        return F.when(F.size(done) == 0, F.array(x)).when(
-            x["start"] <= last["stop"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))
-        ).otherwise(F.concat(done, F.array(x)))
-
-    return F.when(
-        F.col(runs).isNotNull(), F.aggregate(runs, F.expr(f"cast(array() as array<{_RUN}>)"), join)
-    )
