@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from larder.llm import text_blocks as tb
 from larder.llm.components import components
-from larder.llm.shared import hash_bitmap, in_bitmap, stored
+from larder.llm.shared import hash_bitmap, in_bitmap, join_counted, stored
 
 MISS = 1e-7
 SMALL_BUCKET = 8  # up to here the pairs of a bucket are lines of a join; beyond, blocks
@@ -272,8 +272,8 @@ def near_duplicates(
     rows = members.where("doc_id = rep").select(
         "rep", F.col("n_shingles").alias("size"), F.explode("keys").alias("bucket")
     )
-    full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    rows = stored(rows.join(full.select("bucket", "pivot"), "bucket"))
+    full = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1"))
+    rows = stored(join_counted(rows, full, "bucket", "n").drop("n"))
 
     close = F.least(F.col("size"), F.col("pivot_size")) * 100 >= F.greatest(F.col("size"), F.col("pivot_size")) * percent
     sizes = rows.select(F.col("rep").alias("pivot"), F.col("size").alias("pivot_size")).distinct()
@@ -308,7 +308,7 @@ def _residual(rows: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
         "bucket", "rep", "size", "pivot", F.coalesce("root", "rep").alias("root")
     )
     left = rooted.where("rep != pivot")
-    open_ = (
+    open_ = stored(
         left.groupBy("bucket")
         .agg(
             F.min("root").alias("low"),
@@ -318,7 +318,7 @@ def _residual(rows: DataFrame, roots: DataFrame, sets: DataFrame, percent: int)
         )
         .where("low != high")
     )
-    left = stored(left.join(open_.select("bucket", "n", "total"), "bucket"))
+    left = stored(join_counted(left, open_.select("bucket", "n", "total"), "bucket", "n"))
 
     few = left.where(F.col("n") <= SMALL_BUCKET)
     other = few.select("bucket", F.col("rep").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))

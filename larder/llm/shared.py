@@ -54,6 +54,22 @@ def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[(slots >> np.uint64(3)).astype(np.int64)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+HEAVY_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with a table that says for each key, in column ``n``, how many rows of ``rows`` have it.
+
+    Keys with more than one in HEAVY_SHARE of all counted rows, so fewer than HEAVY_SHARE keys, are joined by broadcast:
+    their rows stay where they are.  What is shuffled has no hot key left.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    large = F.col(n) * HEAVY_SHARE > total
+    heavy = F.broadcast(counted.where(large))
+    light = rows.join(F.broadcast(counted.where(large).select(key)), key, "left_anti").join(counted.where(~large), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """The schema of a table with further columns."""
     return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in fields)])
