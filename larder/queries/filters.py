@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larder.operators import filters
+from larder.operators import filters, search
 from larder.plans.features import demand_features
 from larder.queries.registry import query
 from larder.session import scratch_path
@@ -27,6 +27,17 @@ def _(spark, folder):
     return filters.search_inventory(_inventory(spark, folder), "RING", 500).select(*INVENTORY_COLUMNS)
 
 
+@query(
+    "search_inventory_index",
+    f"SELECT {INVENTORY} FROM inventory WHERE lower(sku) LIKE '%ring%' OR lower(product_name) LIKE '%ring%'",
+    "inventory",
+)
+def _(spark, folder):
+    """The same search, all its rows, through posting lists."""
+    path = search.write_search_index(_inventory(spark, folder), scratch_path(spark, "search"), "sku", ["sku", "product_name"])
+    return search.search(spark, path, "sku", ["sku", "product_name"], "RING").select(*INVENTORY_COLUMNS)
+
+
 @query(
     "filter_chat",
     "SELECT conv_id, turn, role, content FROM messages WHERE role IN ('user', 'assistant') AND lower(content) LIKE '%forecast%'",
