@@ -108,8 +108,9 @@ LEVEL = r"length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>
            trim(regexp_replace(array_to_string([x FOR x IN {LINES} IF NOT regexp_matches(x, '^[ \t]*>')], chr(10)),
                                '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text,
            CAST(len([x FOR x IN {LINES} IF {LEVEL.replace("line", "x")} = 1]) AS INTEGER) AS quoted,
-           reply_to, coalesce(thread, m.turn) AS thread, CAST(coalesce(depth, 0) AS INTEGER) AS depth
-    FROM conversations m LEFT JOIN ends e ON e.conv_id = m.conv_id AND e.turn = m.turn
+           reply_to, coalesce(thread, m.turn) AS thread, CAST(coalesce(depth, 0) AS INTEGER) AS depth, coalesce(position, 0) AS position
+    FROM conversations m
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, thread ORDER BY turn) AS position FROM ends) e ON e.conv_id = m.conv_id AND e.turn = m.turn
     """,
 )
 def op5_quotations(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,8 +22,10 @@ from pyspark.sql import types as T
 
 from larder.llm import text_blocks as tb
 from larder.llm.shared import stored
+from larder.operators.ordering import number_rows
 
 SHINGLE = 4  # words
+TURN_BLOCK = 10  # log2 of the turns among which one window looks for a line
 
 _MARKS = r"^[ \t>]*"  # no repeated group: it would cost the JVM a stack frame for every mark
 
@@ -83,29 +85,38 @@ def _prints(lines: list[str]) -> set[tuple[int, int, bool, int]]:
     return out
 
 
+_BATCH_PRINTS = 50_000
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int64())
     for batch in batches:
+        held: list[tuple[int, int, bool, int]] = []
+        rows: list[int] = []
         for at in range(len(batch)):
             found = sorted(_prints(batch.column("lines")[at].as_py()))
-            columns = zip(*found) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array([batch.column(c)[at].as_py()] * len(found), batch.column(c).type) for c in ("conv_id", "turn")),
-                    *(pa.array(values, kind) for values, kind in zip(columns, kinds)),
-                ],
-                names=["conv_id", "turn", "level", "line", "exact", "print"],
-            )
+            held += found
+            rows += [at] * len(found)
+            if held and (len(held) > _BATCH_PRINTS or at == len(batch) - 1):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).take(pa.array(rows)) for c in ("conv_id", "turn")),
+                        *(pa.array(values, kind) for values, kind in zip(zip(*held), kinds)),
+                    ],
+                    names=["conv_id", "turn", "level", "line", "exact", "print"],
+                )
+                held, rows = [], []
 
 
 def link_quotations(
     messages: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
     """One row per message: conv_id, turn, role, text without quotes, quoted (its lines of level 1), reply_to (a turn of
-    the same conversation or null), thread (the turn its chain of answers begins with) and depth (answers in between).
+    the same conversation or null), thread (the turn its chain of answers begins with), depth (answers in between) and
+    position (its place in the thread, from 0).
 
-    Only earlier turns can be answered, so there are no cycles, and order by thread and turn puts every message behind
-    what it answers.  A line of level n points to a message that has it at level n - 1, which has what it quotes n - 1
+    A thread is a conversation built anew: its messages by position, every one behind what it answers, since only earlier
+    turns can be answered.  Messages outside any chain are threads of their own.  A line of level n points to a message that has it at level n - 1, which has what it quotes n - 1
     steps further up; where none has, to the nearest level outside it.  Null and empty texts quote nothing and come back empty; a null conversation or turn quotes nothing
     and is not found.  Rows that repeat a turn are all returned; what any of them quotes counts for all.  Ties between
     earlier messages go to the later turn.  An empty table gives an empty result.
@@ -134,13 +145,10 @@ def link_quotations(
         .distinct()
     )
     held = quotes.join(origins.select(*key, "held").distinct(), key).where("held < level")
-    earlier = Window.partitionBy(*key, "held").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     # Each line has one vote: for a message that has it as near to its own level as can be, and there as a whole line.
     votes = (
-        held.withColumn("origin", F.lit(None).cast("long"))
-        .unionByName(origins, allowMissingColumns=True)
-        .withColumn("source", F.max("origin").over(earlier))
-        .where("origin is null and source is not null")
+        _latest_before(held, origins, [*key, "held"])
+        .where("source is not null")
         .groupBy("conv_id", "turn", "level", "line", "held", "exact", "source")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("conv_id", "turn", "level", "line")
@@ -153,7 +161,7 @@ def link_quotations(
         .agg(F.max(F.struct(-F.col("level"), "held", "n", "source")).alias("best"))
         .select("conv_id", "turn", F.col("best.source").alias("reply_to"))
     )
-    chains = _chains(stored(replies))
+    chains = _placed(_chains(stored(replies)))
     own = F.transform(F.filter("lines", lambda x: _level(x) == 0), _bare)
     return (
         turns.withColumn("text", F.btrim(F.regexp_replace(F.array_join(own, "\n"), "\n{3,}", "\n\n"), F.lit("\n ")))
@@ -168,10 +176,38 @@ def link_quotations(
             "reply_to",
             F.coalesce("thread", "turn").alias("thread"),
             F.coalesce("depth", F.lit(0)).alias("depth"),
+            F.coalesce("position", F.lit(0).cast("long")).alias("position"),
         )
     )
 
 
+def _latest_before(asked: DataFrame, origins: DataFrame, key: list[str]) -> DataFrame:
+    """``asked`` with ``source``, the largest turn below its own among ``origins`` of the same key; null for none.
+
+    Turns are cut into blocks.  A window looks within a block; what earlier blocks of the key end with is a running
+    maximum over one row per block.  So a line that stands in every message of a long conversation is no single task.
+    """
+    block = F.shiftright("turn", TURN_BLOCK).alias("block")
+    last = origins.groupBy(*key, block).agg(F.max("origin").alias("last"))
+    blocks = last.select(*key, "block").unionByName(asked.select(*key, block)).distinct().join(last, [*key, "block"], "left")
+    over_blocks = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*key, "block", F.max("last").over(over_blocks).alias("carried"))
+    within = Window.partitionBy(*key, "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    both = asked.withColumn("origin", F.lit(None).cast("long")).unionByName(origins, allowMissingColumns=True)
+    found = both.withColumn("block", block).withColumn("own", F.max("origin").over(within)).where("origin is null")
+    return found.join(carried, [*key, "block"]).withColumn("source", F.coalesce("own", "carried")).drop("own", "carried", "block", "origin")
+
+
+def _placed(chains: DataFrame) -> DataFrame:
+    """Replies with their place in the thread, behind the message it begins with.
+
+    Numbered over the table, not by a window: one thread may be a large part of all messages.
+    """
+    numbered = number_rows(chains, ["conv_id", "thread", "turn"], "place", start=1)
+    firsts = numbered.groupBy("conv_id", "thread").agg(F.min("place").alias("first"))
+    return numbered.join(firsts, ["conv_id", "thread"]).withColumn("position", F.col("place") - F.col("first") + 1).drop("place", "first")
+
+
 def _chains(replies: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to, thread and depth of all replies; each round doubles the steps that are known."""
     known = replies.withColumn("thread", F.col("reply_to")).withColumn("depth", F.lit(1))

@@ -103,3 +103,27 @@ def test_very_long_lines_and_texts(spark):
     got = by_turn(link_quotations(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got[1, 1].text == "" and got[1, 1].quoted == 0
     assert (got[1, 2].text, got[1, 2].quoted, got[1, 2].reply_to) == ("", 1, 0)
+
+
+def test_threads_in_reply_order(spark):
+    rows = link_quotations(spark.createDataFrame(CHAT, SCHEMA)).collect()
+    threads = {}
+    for r in rows:
+        if r.conv_id == 1:
+            threads.setdefault(r.thread, []).append(r)
+    for own in threads.values():
+        own.sort(key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own)))
+        place = {r.turn: r.position for r in own}
+        assert all(r.reply_to is None or place[r.reply_to] < r.position for r in own)
+    assert max(map(len, threads.values())) > 2
+
+
+def test_a_line_of_every_message_over_many_blocks(spark, monkeypatch):
+    """A line that stands everywhere points to the latest message that has it, in its own block of turns or an earlier one."""
+    monkeypatch.setattr("larder.llm.quotations.TURN_BLOCK", 2)
+    rows = [(1, t, "user", "> yes\nyes" if t % 3 else "yes", None) for t in range(40)] + [(1, 100, "user", "> yes", None)]
+    rows += [(2, 0, "user", "once", None), (2, 70, "user", "> once", None), (2, -9, "user", "once", None)]
+    got = by_turn(link_quotations(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert all(got[1, t].reply_to == t - 1 for t in range(40) if t % 3)
+    assert got[1, 100].reply_to == 39 and got[2, 70].reply_to == 0 and got[2, 0].reply_to is None
