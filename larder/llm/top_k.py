@@ -52,7 +52,7 @@ class Lists:
         seen = np.zeros(n, bool)
         kept, scores = np.zeros(0, np.int64), np.zeros(0, self.vectors.dtype)
         depth, step = 0, max(1, n // max(64, 2 * len(used)))
-        up, unseen = query[used] > 0, n
+        up, unseen, every = query[used] > 0, n, None
         while unseen:
             stop = min(n, depth + step)
             fresh = np.zeros(n, bool)
@@ -68,8 +68,10 @@ class Lists:
             unseen = n - int(np.count_nonzero(seen))
             at = np.flatnonzero(fresh)
             at = at[self.ids[at] != query_id]
-            # A full pass over most of the block is cheaper than picking rows out of it.
-            values = (self.vectors @ query)[at] if 2 * len(at) > n else self.vectors[at] @ query
+            # Where most of the block has turned up, one pass over it is cheaper than picking rows out again and again.
+            if every is None and 3 * unseen < 2 * n:
+                every = self.vectors @ query
+            values = self.vectors[at] @ query if every is None else every[at]
             if len(kept) == k:
                 good = values >= scores[-1]
                 at, values = at[good], values[good]
