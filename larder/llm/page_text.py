@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +35,7 @@ _TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""",
     re.S,
 )
+_UNTAGGED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)  # of _TOKEN, what needs no >
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -108,9 +111,15 @@ def _kind(tag: str, attributes: str) -> tuple[str, dict[str, str]]:
 
 
 def parse(page: str) -> list[Node]:
-    """Structural elements of a page in document order; the first is the root."""
+    """Structural elements of a page in document order; the first is the root.
+
+    Where the open elements of each tag stand is kept, so that no tag has to look through all that are open.
+    """
     nodes = [Node("root", -1, 0)]
     stack: list[tuple[str, int]] = [("", 0)]  # (tag, structural node it belongs to)
+    places: defaultdict[str, list[int]] = defaultdict(list)  # on the stack, ascending
+    blocks = [0]  # places of those that are not inline
+    last_end = page.rfind(">")
     pieces: list[str] = []
     linked = order = links_open = 0
     at, end = 0, len(page)
@@ -137,20 +146,29 @@ def parse(page: str) -> list[Node]:
                 links_open -= 1
             if stack[-1][0] not in INLINE:
                 flush()
-            stack.pop()
+                blocks.pop()
+            places[stack.pop()[0]].pop()
+
+    def enter(tag: str, node: int) -> None:
+        places[tag].append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
 
     def close(tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-        found = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in stops:
-                break
-            if stack[k][0] in tags:
-                found = k
-        if found:
-            leave(found)
+        # The outermost of the tags within the innermost stop.
+        stop = max((places[s][-1] for s in stops if places[s]), default=0)
+        within = [places[t][bisect_right(places[t], stop)] for t in tags if places[t] and places[t][-1] > stop]
+        if within:
+            leave(min(within))
 
     while at < end:
-        m = _TOKEN.search(page, at)
+        # Behind the last ">" no tag ends, and trying each would read on to the end of the page.
+        m = _TOKEN.search(page, at, last_end + 1)
+        if m is None:
+            m = _UNTAGGED.search(page, at)
+        elif m[2] is None:
+            m = _UNTAGGED.match(page, m.start())  # it may go on behind the last ">"
         stop = m.start() if m else end
         if stop > at:
             text = page[at:stop]
@@ -160,16 +178,13 @@ def parse(page: str) -> list[Node]:
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        if m.re is _UNTAGGED or m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    leave(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag does not end a block
+            # An inline end tag does not end a block.
+            if places[tag] and (tag not in INLINE or places[tag][-1] > blocks[-1]):
+                leave(places[tag][-1])
             continue
         if tag in UNSEEN:
             if tag not in INLINE and tag not in ("noscript", "script", "style", "template"):
@@ -188,7 +203,7 @@ def parse(page: str) -> list[Node]:
         if tag in INLINE:
             if tag == "a":
                 links_open += 1
-            stack.append((tag, stack[-1][1]))
+            enter(tag, stack[-1][1])
             continue
         if tag in CLOSES_P:
             close(("p",), ("button", "table", "td", "th"))
@@ -202,7 +217,7 @@ def parse(page: str) -> list[Node]:
             nodes[-1].label = 1
         elif "data-drop" in values:
             nodes[-1].label = 0
-        stack.append((tag, len(nodes) - 1))
+        enter(tag, len(nodes) - 1)
     leave(1)
     flush()
     return nodes

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -117,3 +118,17 @@ def test_tables(spark, model):
     assert [r.text for r in out[:5]] == ["No id, no harm.", "", "", "Hello there, world.", "Hello there, world."]
     assert out[5].text.count("A line, and another.") == 40_000 and out[5].n_blocks == 40_000
     assert extract(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("page", ['<a "x' * 40_000, "> " + '<a "x' * 40_000, "<div>" * 40_000 + "</p>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<p><button>" + "<div>" * 40_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    started = time.perf_counter()
+    parse(page)
+    assert time.perf_counter() - started < 5
+
+
+def test_unclosed_comments_reach_the_end():
+    texts = lambda page: [t for n in parse(page) for _, t in n.texts]
+    assert texts("<p>seen</p><!-- hidden <b> and hidden") == ["seen"]
+    assert texts("<p>a > b <!-- hidden") == ["a > b"]
+    assert texts("<p>one</p> tail <b") == ["one", "tail <b"]
