@@ -116,3 +116,37 @@ def test_rare_toxic_rows_are_learnt_from_a_bounded_sample(spark):
     weights = toxicity.train(docs, docs, max_rows=200)
     out = toxicity.score(docs, weights).select("toxic", "score").collect()
     assert min(r.score for r in out if r.toxic) > max(r.score for r in out if not r.toxic)
+
+
+def test_ftrl_coordinate_by_coordinate():
+    """The same updates with dictionaries and one number at a time."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    lists = [np.array(sorted(rng.sample(range(60), rng.randrange(1, 12))) + [toxicity.BIAS], np.int32) for _ in range(80)]
+    labels = np.array([float(any(f < 6 for f in own[:-1])) for own in lists])
+    counts = np.array([rng.choice([1.0, 2.5]) for _ in lists])
+    settings = dict(alpha=0.7, beta=1.0, l1=0.6, l2=0.1, epochs=3)
+    z, n = {}, {}
+
+    def weight(f):
+        limit = 0.0 if f == toxicity.BIAS else settings["l1"]
+        if abs(z.get(f, 0.0)) <= limit:
+            return 0.0
+        sign = 1 if z[f] > 0 else -1
+        return -(z[f] - sign * limit) / ((settings["beta"] + math.sqrt(n[f])) / settings["alpha"] + settings["l2"])
+
+    for _ in range(settings["epochs"]):
+        for own, y, c in zip(lists, labels, counts):
+            now = {int(f): weight(int(f)) for f in own}
+            g = c * (1 / (1 + math.exp(-sum(now.values()))) - y)
+            for f, w in now.items():
+                before = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / settings["alpha"] * w
+                n[f] = before + g * g
+    got = toxicity.ftrl(lists, labels, counts, **settings)
+    want = {f: weight(f) for f in z}
+    assert {int(f) for f in np.flatnonzero(got)} == {f for f, w in want.items() if w}
+    assert all(got[f] == pytest.approx(w) for f, w in want.items())
+    assert 0 < sum(w != 0 for w in want.values()) < len(want)
