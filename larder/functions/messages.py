@@ -144,18 +144,19 @@ def item_from_text(text: Column) -> Column:
     return picked
 
 
+# How a span of days is written, tried in this order, and how many days the unit or phrase stands for.
+SPANS = [(r"(\d+)\s*days?", 1), (r"(\d+)\s*weeks?", 7), (r"(\d+)\s*months?", 30)]
+NEXT_SPANS = [(r"next\s+week", 7), (r"next\s+month", 30)]
+
+
 def horizon_from_text(text: Column, default: int = DEFAULT_HORIZON) -> Column:
     """Days ahead: "N days", "N weeks" x 7, "N months" x 30, "next week", "next month", else the default."""
     low = F.lower(text)
-
-    def amount(pattern: str) -> Column:
-        return F.regexp_extract(low, pattern, 1).try_cast("long")
-
-    picked = F.when(low.rlike(r"\d+\s*days?"), amount(r"(\d+)\s*days?"))
-    picked = picked.when(low.rlike(r"\d+\s*weeks?"), amount(r"(\d+)\s*weeks?") * 7)
-    picked = picked.when(low.rlike(r"\d+\s*months?"), amount(r"(\d+)\s*months?") * 30)
-    picked = picked.when(low.rlike(r"next\s+week"), F.lit(7).cast("long"))
-    picked = picked.when(low.rlike(r"next\s+month"), F.lit(30).cast("long"))
+    picked = F
+    for pattern, days in SPANS:
+        picked = picked.when(low.rlike(pattern), F.regexp_extract(low, pattern, 1).try_cast("long") * days)
+    for pattern, days in NEXT_SPANS:
+        picked = picked.when(low.rlike(pattern), F.lit(days).cast("long"))
     return picked.otherwise(F.lit(default).cast("long"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from larder.plans import training
 from larder.plans.features import LAGS, MEAN_ROWS, SERIES
-from larder.session import checkpointed, scratch_path
+from larder.session import checkpointed, remove_path, scratch_path
 
 ROUNDS, PATIENCE = 600, 50
 
@@ -43,6 +43,7 @@ class Trees:
         path = scratch_path(spark, "model")
         model.write().save(path)
         rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # trees x nodes of one model
+        remove_path(spark, path)
         count, size = model.getNumTrees, 1 + max(r["id"] for r in rows)
         feature, left = np.zeros((count, size), np.int32), np.tile(np.arange(size, dtype=np.int32), (count, 1))
         right, threshold, value = left.copy(), np.full((count, size), np.inf), np.zeros((count, size))

@@ -102,8 +102,9 @@ def image_tiles(
 ) -> DataFrame:
     """Tile sums of image files (path, content); an unreadable file gives one row with its error.
 
-    Pictures keep their size unless ``longest`` bounds their longer side.  Each comes to Python on its own, so a worker
-    holds one picture at a time, however many files there are.
+    Pictures keep their size unless ``longest`` bounds their longer side.  A worker decodes one picture at a time.  The
+    encoded files of a task reach it together at most: the file scan packs no more than
+    ``spark.sql.files.maxPartitionBytes`` of them into a task, or one larger file.
     """
     side = max(SMALLEST_TILE, int(tile))
 
