@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ PRICE_RANGE = (0.0, 1_000_000.0)
 # Month names by their first three letters.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
+MARK = "\x01"  # between the parts of a date that was taken apart
+
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -50,6 +54,15 @@ def clean_text(value: Column | str) -> Column:
     return F.when(c.rlike(UNTIDY), rewritten).otherwise(c)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it.
+
+    Spark shares repeated expressions only where they are always evaluated, so within a branch of ``when`` a costly text
+    is worked out again for every mention.  The variable of a higher-order function is bound to its value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_missing_text(value: Column | str) -> Column:
     c = _col(value)
     return c.isNull() | F.lower(F.trim(c)).isin(MISSING_TEXTS)
@@ -131,6 +144,10 @@ def parse_date_any(value: Column | str) -> Column:
 
 def _cast_time(c: Column) -> Column:
     """Year-first text to a timestamp; hours of AM and PM are turned into 24 hours first."""
+    return once(c, _cast_known_time)
+
+
+def _cast_known_time(c: Column) -> Column:
     half = r"(?i)^(\S+[ T])(\d{1,2})(:\d\d(?::\d\d(?:\.\d+)?)?|) ?([ap])\.?m\.?(.*)$"
     hour = F.regexp_extract(c, half, 2).cast("int")
     afternoon = F.lower(F.regexp_extract(c, half, 4)) == "p"
@@ -147,8 +164,11 @@ def _numeric_date(c: Column) -> Column:
     shape = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?!\d)"
     # A group number swallows the digits behind it, so the century goes in with a mark in between.
     c = F.replace(F.regexp_replace(c, r"^(\d{1,2}[/.-]\d{1,2}[/.-])(\d{2})(?!\d)", "$1#$2"), F.lit("#"), F.lit("20"))
-    return F.coalesce(
-        _cast_time(F.regexp_replace(c, shape, "$3-$1-$2")), _cast_time(F.regexp_replace(c, shape, "$3-$2-$1"))
+    return once(
+        c,
+        lambda c: F.coalesce(
+            _cast_time(F.regexp_replace(c, shape, "$3-$1-$2")), _cast_time(F.regexp_replace(c, shape, "$3-$2-$1"))
+        ),
     )
 
 
@@ -158,10 +178,16 @@ def _named_date(c: Column) -> Column:
         r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]? +)?(?:(\d{1,2})(?:st|nd|rd|th)?[ -])?([a-z]{3})[a-z]*\.?[ -]"
         r"(?:(\d{1,2})(?:st|nd|rd|th)?,? )?(\d{4})(?!\d),?(.*)$"
     )
-    part = lambda k: F.regexp_extract(c, shape, k)
+    # One match gives all five parts; a text that does not match comes back as it was.
+    parts = F.regexp_replace(c, shape, MARK.join(f"${k}" for k in range(1, 6)))
+    return once(parts, lambda found: F.when(found != c, once(F.split(found, MARK, 5), _date_of_parts)))
+
+
+def _date_of_parts(parts: Column) -> Column:
+    part = lambda k: F.get(parts, F.lit(k - 1))
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2)))
     day = F.concat(part(1), part(3))  # one of them is empty
-    fits = c.rlike(shape) & (month > 0) & ((part(1) == "") != (part(3) == ""))
+    fits = (month > 0) & ((part(1) == "") != (part(3) == ""))
     return F.when(fits, _cast_time(F.concat(part(4), F.lit("-"), month.cast("string"), F.lit("-"), day, part(5))))
 
 

@@ -199,3 +199,12 @@ def test_report_scans_the_export_once(spark, tmp_path):
     assert kept == {
         "initial_rows": 5, "missing_keys": 3, "duplicates_dropped": 1, "final_rows": 1, "out_of_bounds_qty": 1, "out_of_bounds_price": 0,
     }
+
+
+def test_named_dates_are_taken_apart_once(spark):
+    df = spark.createDataFrame([("Jan 5, 2024",)], "t string").select(C.parse_date_any("t").alias("t"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("mon|tue|wed|thu") == 1
+    texts = ["5 Jan 2024 10:30 pm\x01", "5\x01Jan\x01\x012024\x01", "Jan 5 2024", "5 Jan 5, 2024", "Fri, 5th Jan 2024\n", "13/1/24 1:02"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(C.parse_date_any("t").cast("string").alias("t")).collect()
+    assert [r.t for r in got] == ["2024-01-05 22:30:00", None, "2024-01-05 00:00:00", None, "2024-01-05 00:00:00", "2024-01-13 01:02:00"]
