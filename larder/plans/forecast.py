@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.cleaning import once
+
 BAND_Z = 1.2815515655446004  # 10th and 90th percentile of the normal distribution
 HORIZON = 30
 
@@ -143,3 +145,25 @@ def forecast_of(fits: DataFrame, keys: list[str], horizon: int = HORIZON, includ
         trend.alias("trend"),
         *keys,
     )
+
+
+def forecast_series(sales: DataFrame, horizon: int = HORIZON, keys: list[str] | None = None, date: str = "date", value: str = "sale") -> DataFrame:
+    """The days and yhat of ``forecast_items`` as one row per item: keys, and the arrays ``ds`` and ``yhat`` in day order.
+
+    What sums or accumulates a forecast item by item needs no sort of its days then.
+    """
+    keys = keys or ["item_id"]
+    fits = item_fits(sales.groupBy(*keys, date).agg(F.sum(value).alias(value)), keys, date, value)
+    n = F.col("__n").cast("int")
+    days = fits.withColumn("__t", F.sequence(n, n + (horizon - 1)))
+    # Bound once: the optimizer would put the formulas of the fit in place of its columns, to be worked out for every day.
+    fit = F.struct("__icpt", "__slope", "__season")
+
+    def of_day(fit: Column, t: Column) -> Column:
+        return F.greatest(fit["__icpt"] + fit["__slope"] * t + F.get(fit["__season"], t % 7), F.lit(0.0))
+
+    return days.select(
+        *keys,
+        F.transform("__t", lambda t: F.date_add("__start", t)).alias("ds"),
+        once(fit, lambda fit: F.transform("__t", lambda t: of_day(fit, t))).alias("yhat"),
+    )

@@ -1,8 +1,8 @@
 """From a forecast to coverage, reorder point, money, urgency and risk, for all items at once.
 
-Input is any (item_id, ds, yhat) frame with one row per item and day.  The running total is the only window;
-it and every later total are keyed by item, so one shuffle by item serves the whole chain (none when the
-frame comes straight from ``forecast_items``, which already is laid out by item).
+Input is any (item_id, ds, yhat) frame with one row per item and day, or one row per item with its days as arrays
+(``forecast_series``).  The analyses go through an item's days within its row, so what a task holds and sorts are items,
+not days; rows are gathered into such series first.
 """
 
 from __future__ import annotations
@@ -19,11 +19,36 @@ LOW_MARGIN = 10
 STOCK_COLUMNS = ["current_inventory", "description", "price", "lead_time", "holding_cost"]
 
 
+def is_series(forecast: DataFrame) -> bool:
+    return forecast.schema["yhat"].dataType.typeName() == "array"
+
+
+def as_series(forecast: DataFrame) -> DataFrame:
+    """One row per item with its days in order: item_id, ds, yhat."""
+    if is_series(forecast):
+        return forecast.select("item_id", "ds", "yhat").where(F.size("yhat") > 0)
+    days = forecast.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("ds", "yhat"))).alias("__days"))
+    return days.select("item_id", F.col("__days.ds").alias("ds"), F.col("__days.yhat").alias("yhat"))
+
+
+def added(total: Column, value: Column) -> Column:
+    """The sum that ignores NULLs and is NULL without a value."""
+    return F.coalesce(total + value, total, value)
+
+
 def cumulative_demand(forecast: DataFrame, key: str = "item_id") -> DataFrame:
+    """Rows with the item's demand up to their day.
+
+    A series adds its days up within its row, where every day copies the totals before it; this is for horizons, and
+    years of days are better given as rows.
+    """
+    if is_series(forecast):
+        none = F.array().cast("array<double>")
+        totals = F.aggregate("yhat", none, lambda upto, y: F.concat(upto, F.array(added(F.try_element_at(upto, F.lit(-1)), y))))
+        others = [c for c in forecast.columns if c not in ("ds", "yhat")]
+        return forecast.withColumn("cum_demand", totals).select(*others, F.inline(F.arrays_zip("ds", "yhat", "cum_demand")))
     w = Window.partitionBy(key).orderBy("ds")
-    return forecast.withColumns(
-        {"cum_demand": F.sum("yhat").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__rn": F.row_number().over(w)}
-    )
+    return forecast.withColumn("cum_demand", F.sum("yhat").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def inventory_projection(df: DataFrame) -> DataFrame:
@@ -34,21 +59,41 @@ def inventory_projection(df: DataFrame) -> DataFrame:
 
 
 def item_sums(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataFrame:
-    """One row per item with every sum the analyses need.
+    """One row per item with every sum the analyses need, from one pass over its days within its row.
 
-    ``inv`` and ``item_dim`` have one row per item.  Their columns are grouping columns here: they follow
-    from the item, and as keys they keep this a hash aggregate on the layout the rows already have.
+    ``inv`` and ``item_dim`` have one row per item.
     """
-    running = inventory_projection(cumulative_demand(join_inventory_forecast(forecast, inv, item_dim)))
-    reached = F.when(F.col("cum_demand") >= F.col("current_inventory"), F.col("ds"))
-    return running.groupBy("item_id", *STOCK_COLUMNS).agg(
-        F.count(F.lit(1)).alias("forecast_days"),
-        F.min("ds").alias("__first_ds"),
-        F.min(reached).alias("cover_until"),
-        F.sum("yhat").alias("__total"),
-        F.sum(F.when(F.col("__rn") <= F.col("lead_time"), F.col("yhat")).otherwise(0.0)).alias("__first_k"),
-        F.avg("inventory").alias("__avg_inventory"),
-        F.avg("yhat").alias("avg_daily_demand"),
+    items = join_inventory_forecast(as_series(forecast), inv, item_dim)
+    number, date = F.lit(None).cast("double"), items.schema["ds"].dataType.elementType
+    start = F.struct(
+        number.alias("total"), number.alias("first_k"), F.lit(0.0).alias("inventory"), F.lit(0).cast("long").alias("known"),
+        F.lit(None).cast(date).alias("until"),
+    )
+
+    def day(sums: Column, i: Column) -> Column:
+        ds, yhat = F.get("ds", i), F.get("yhat", i)
+        total = added(sums["total"], yhat)
+        left = F.greatest(F.col("current_inventory") - total, F.lit(0.0))
+        return F.struct(
+            total.alias("total"),
+            added(sums["first_k"], F.when(i < F.col("lead_time"), yhat).otherwise(0.0)).alias("first_k"),
+            (sums["inventory"] + left).alias("inventory"),
+            (sums["known"] + F.when(yhat.isNull(), 0).otherwise(1)).alias("known"),
+            F.least(sums["until"], F.when(total >= F.col("current_inventory"), ds)).alias("until"),
+        )
+
+    summed = items.withColumn("__sums", F.aggregate(F.sequence(F.lit(0), F.size("yhat") - 1), start, day))
+    days = F.size("yhat").cast("long")
+    return summed.select(
+        "item_id",
+        *STOCK_COLUMNS,
+        days.alias("forecast_days"),
+        F.array_min("ds").alias("__first_ds"),
+        F.col("__sums.until").alias("cover_until"),
+        F.col("__sums.total").alias("__total"),
+        F.col("__sums.first_k").alias("__first_k"),
+        (F.col("__sums.inventory") / days).alias("__avg_inventory"),
+        F.try_divide(F.col("__sums.total"), F.col("__sums.known")).alias("avg_daily_demand"),
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.operators import windows as W
 from larder.plans import insights
 from larder.plans.features import SERIES, demand_features, price_features
-from larder.plans.forecast import forecast_items
+from larder.plans.forecast import forecast_items, forecast_series
 from larder.queries.aggregates import rounded
 from larder.queries.registry import query
 from larder.sources import marts
@@ -166,7 +166,7 @@ def _(spark, folder):
     "item_numbers",
 )
 def _(spark, folder):
-    forecast = forecast_items(marts.sales(spark, folder)).select("item_id", "ds", "yhat")
+    forecast = forecast_series(marts.sales(spark, folder))
     sums = insights.item_sums(forecast, marts.stock(spark, folder), marts.item_dim(spark, folder))
     return sums.select("item_id", "lead_time", F.round(insights.first_k_demand(), 4).alias("lead_time_demand"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.aggregates import forecast_summary, priority_counts
 from larder.plans import evaluate, insights
-from larder.plans.forecast import BAND_Z, forecast_items
+from larder.plans.forecast import BAND_Z, forecast_items, forecast_series
 
 START = dt.date(2024, 3, 5)
 
@@ -122,3 +122,39 @@ def test_wrmsse_of_two_series(spark):
     assert weights.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
     free = evaluate.validation_weights(panel.withColumn("sell_price", F.lit(0.0)), start)
     assert {r["weight"] for r in free.collect()} == {0.5}
+
+
+def stocks(spark, items):
+    inv = spark.createDataFrame([(k, 40.0 * (i + 1)) for i, k in enumerate(items)], "item_id string, unit double")
+    dim = spark.createDataFrame(
+        [(k, f"item {k}", 2.0, 3 + 20 * i, 0.5) for i, k in enumerate(items)],
+        "item_id string, description string, price double, lead_time int, holding_cost double",
+    )
+    return inv, dim
+
+
+def test_series_give_what_rows_give_and_no_day_is_sorted(spark):
+    rng = random.Random(4)
+    items = {k: {d: float(rng.randrange(9)) for d in range(25)} for k in ("a", "b", "c")}
+    sales, (inv, dim) = frame(spark, items), stocks(spark, items)
+    rows, series = forecast_items(sales).select("item_id", "ds", "yhat"), forecast_series(sales)
+    spread_out = series.select("item_id", F.inline(F.arrays_zip("ds", "yhat")))
+    assert sorted(spread_out.collect()) == sorted(rows.collect())
+    own = insights.inventory_insights(series, inv, dim)
+    assert sorted(own.collect()) == sorted(insights.inventory_insights(rows, inv, dim).collect())
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    running = [insights.cumulative_demand(f).select("item_id", "ds", "yhat", "cum_demand") for f in (series, rows)]
+    assert sorted(running[0].collect()) == sorted(running[1].collect())
+    assert "Window" not in running[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_days_without_a_forecast(spark):
+    days = [START + dt.timedelta(days=d) for d in range(4)]
+    rows = [("a", days[2], 25.0), ("a", days[0], None), ("a", days[1], 20.0), ("a", days[3], None), ("b", days[0], None)]
+    inv, dim = stocks(spark, ["a", "b"])
+    forecast = spark.createDataFrame(rows, "item_id string, ds date, yhat double")
+    a, b = insights.item_sums(forecast, inv, dim).orderBy("item_id").collect()
+    assert (a.forecast_days, a["__first_ds"], a.cover_until, a["__total"], a["__first_k"]) == (4, days[0], days[2], 45.0, 45.0)
+    assert (a["__avg_inventory"], a.avg_daily_demand) == (5.0, 22.5)
+    assert (b.forecast_days, b.cover_until, b["__total"], b["__first_k"], b.avg_daily_demand) == (1, None, None, None, None)
