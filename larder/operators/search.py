@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.session import spread
 from larder.sources.catalog import write_keyed
 
 LONGEST = 3
@@ -43,7 +44,9 @@ def write_search_index(df: DataFrame, path: str, key: str, columns: list[str]) -
     """
     write_keyed(df, f"{path}/rows", key, [])
     groups = F.array_distinct(F.flatten(F.array(*[letter_groups(_folded(c)) for c in columns])))
-    postings = df.select(F.explode(groups).alias("group"), F.col(key).alias("key"))
+    # From the rows as written: whatever made them is not worked out again, neither for the lists nor for their ranges.
+    written = df.sparkSession.read.parquet(f"{path}/rows")
+    postings = spread(written.select(key, *[c for c in columns if c != key])).select(F.explode(groups).alias("group"), F.col(key).alias("key"))
     # One group may be in every row: files follow ranges of group and key.
     write_keyed(postings, f"{path}/lists", "group", ["key"])
     return path

@@ -45,3 +45,17 @@ def test_groups(spark):
     got = spark.createDataFrame([("abab",), ("",), ("a",), ("ab",)], "t string").select(search.letter_groups(F.col("t")).alias("g")).collect()
     assert [sorted(r.g) for r in got] == [["ab", "aba", "ba", "bab"], [], [], ["ab"]]
     assert search.groups_of_term("ABAB") == ["aba", "bab"] and search.groups_of_term("a") == []
+
+
+def test_the_lists_come_from_the_written_rows(spark, tmp_path):
+    worked_out = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            worked_out.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(100).selectExpr("cast(id as string) AS sku", "concat('ring ', id) AS name").mapInArrow(counted, "sku string, name string")
+    path = search.write_search_index(df, str(tmp_path / "index"), "sku", ["sku", "name"])
+    assert worked_out.value <= 200  # once for the ranges of the rows, once for the rows
+    assert search.search(spark, path, "sku", ["sku", "name"], "ring 7").count() == 11
