@@ -147,15 +147,26 @@ def forecast_of(fits: DataFrame, keys: list[str], horizon: int = HORIZON, includ
     )
 
 
-def forecast_series(sales: DataFrame, horizon: int = HORIZON, keys: list[str] | None = None, date: str = "date", value: str = "sale") -> DataFrame:
-    """The days and yhat of ``forecast_items`` as one row per item: keys, and the arrays ``ds`` and ``yhat`` in day order.
+def forecast_fits(sales: DataFrame, horizon: int = HORIZON, keys: list[str] | None = None, date: str = "date", value: str = "sale") -> DataFrame:
+    """What the yhat of ``forecast_items`` follow from, one row per item without its days.
 
-    What sums or accumulates a forecast item by item needs no sort of its days then.
+    Joins and sorts of items move these; ``days_within`` puts the days in afterwards.  Span, level, slope and weekdays need
+    plain sums only, so sales are summed by item at once; only the band needs the squares of whole days.
     """
     keys = keys or ["item_id"]
-    fits = item_fits(sales.groupBy(*keys, date).agg(F.sum(value).alias(value)), keys, date, value)
+    fits = fits_of(fit_sums(sales, keys, date, value), keys).drop("__end", "__sigma")
+    return fits.withColumn("__horizon", F.lit(horizon))
+
+
+def is_fits(forecast: DataFrame) -> bool:
+    return "__horizon" in forecast.columns
+
+
+def days_within(fits: DataFrame) -> DataFrame:
+    """Fits with the arrays ``ds`` and ``yhat``, in day order, in place of their columns; other columns stay."""
+    own = ["__start", "__n", "__icpt", "__slope", "__season", "__horizon"]
     n = F.col("__n").cast("int")
-    days = fits.withColumn("__t", F.sequence(n, n + (horizon - 1)))
+    days = fits.withColumn("__t", F.sequence(n, n + (F.col("__horizon") - 1)))
     # Bound once: the optimizer would put the formulas of the fit in place of its columns, to be worked out for every day.
     fit = F.struct("__icpt", "__slope", "__season")
 
@@ -163,7 +174,15 @@ def forecast_series(sales: DataFrame, horizon: int = HORIZON, keys: list[str] |
         return F.greatest(fit["__icpt"] + fit["__slope"] * t + F.get(fit["__season"], t % 7), F.lit(0.0))
 
     return days.select(
-        *keys,
+        *[c for c in fits.columns if c not in own],
         F.transform("__t", lambda t: F.date_add("__start", t)).alias("ds"),
         once(fit, lambda fit: F.transform("__t", lambda t: of_day(fit, t))).alias("yhat"),
     )
+
+
+def forecast_series(sales: DataFrame, horizon: int = HORIZON, keys: list[str] | None = None, date: str = "date", value: str = "sale") -> DataFrame:
+    """The days and yhat of ``forecast_items`` as one row per item: keys, and the arrays ``ds`` and ``yhat`` in day order.
+
+    What sums or accumulates a forecast item by item needs no sort of its days then.
+    """
+    return days_within(forecast_fits(sales, horizon, keys, date, value))

@@ -1,8 +1,9 @@
 """From a forecast to coverage, reorder point, money, urgency and risk, for all items at once.
 
-Input is any (item_id, ds, yhat) frame with one row per item and day, or one row per item with its days as arrays
-(``forecast_series``).  The analyses go through an item's days within its row, so what a task holds and sorts are items,
-not days; rows are gathered into such series first.
+Input is any (item_id, ds, yhat) frame with one row per item and day, one row per item with its days as arrays
+(``forecast_series``), or one without days (``forecast_fits``), which get their days after the joins.  The analyses go
+through an item's days within its row, so what a task holds and sorts are items, not days; rows are gathered into such
+series first.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators.joins import join_inventory_forecast
+from larder.plans.forecast import days_within, is_fits
 
 CRITICAL_DAYS, LOW_DAYS = 7, 14
 SAFETY_FACTOR = 1.25
@@ -24,7 +26,9 @@ def is_series(forecast: DataFrame) -> bool:
 
 
 def as_series(forecast: DataFrame) -> DataFrame:
-    """One row per item with its days in order: item_id, ds, yhat."""
+    """One row per item with its days in order: item_id, ds, yhat; fits stay without days, if they have a first one."""
+    if is_fits(forecast):
+        return forecast.where(F.col("__n").isNotNull())
     if is_series(forecast):
         return forecast.select("item_id", "ds", "yhat").where(F.size("yhat") > 0)
     days = forecast.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("ds", "yhat"))).alias("__days"))
@@ -42,6 +46,8 @@ def cumulative_demand(forecast: DataFrame, key: str = "item_id") -> DataFrame:
     A series adds its days up within its row, where every day copies the totals before it; this is for horizons, and
     years of days are better given as rows.
     """
+    if is_fits(forecast):
+        forecast = days_within(forecast)
     if is_series(forecast):
         none = F.array().cast("array<double>")
         totals = F.aggregate("yhat", none, lambda upto, y: F.concat(upto, F.array(added(F.try_element_at(upto, F.lit(-1)), y))))
@@ -64,6 +70,8 @@ def item_sums(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataF
     ``inv`` and ``item_dim`` have one row per item.
     """
     items = join_inventory_forecast(as_series(forecast), inv, item_dim)
+    if is_fits(items):
+        items = days_within(items)
     number, date = F.lit(None).cast("double"), items.schema["ds"].dataType.elementType
     start = F.struct(
         number.alias("total"), number.alias("first_k"), F.lit(0.0).alias("inventory"), F.lit(0).cast("long").alias("known"),

@@ -241,7 +241,7 @@ def _(spark, folder):
 
 
 def _forecast(spark, folder):
-    return forecast.forecast_series(marts.sales(spark, folder))
+    return forecast.forecast_fits(marts.sales(spark, folder))
 
 
 def _inputs(spark, folder):

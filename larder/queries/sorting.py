@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.operators import aggregates, ranking
 from larder.plans import insights
 from larder.plans.cleaning import clean_inventory
-from larder.plans.forecast import forecast_series
+from larder.plans.forecast import forecast_fits
 from larder.plans.reorder import reorder_plan
 from larder.queries.registry import query
 from larder.sources import marts
@@ -17,7 +17,7 @@ PRIORITY = """item_id, description, current_inventory, coverage_days, coverage_s
 
 
 def ranked_items(spark, folder):
-    forecast = forecast_series(marts.sales(spark, folder))
+    forecast = forecast_fits(marts.sales(spark, folder))
     found = insights.inventory_insights(forecast, marts.stock(spark, folder), marts.item_dim(spark, folder))
     return insights.reorder_priority(found)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.operators import windows as W
 from larder.plans import insights
 from larder.plans.features import SERIES, demand_features, price_features
-from larder.plans.forecast import forecast_series
+from larder.plans.forecast import forecast_fits
 from larder.queries.aggregates import rounded
 from larder.queries.registry import query
 from larder.sources import marts
@@ -120,7 +120,7 @@ def _(spark, folder):
 
 @query("cumulative_demand", "SELECT item_id, ds, round(cum_demand, 4) AS cum_demand FROM running", "running")
 def _(spark, folder):
-    forecast = forecast_series(marts.sales(spark, folder))
+    forecast = forecast_fits(marts.sales(spark, folder))
     return rounded(insights.cumulative_demand(forecast).select("item_id", "ds", "cum_demand"), 4, "cum_demand")
 
 
@@ -132,7 +132,7 @@ def _(spark, folder):
 def _(spark, folder):
     from larder.operators.joins import join_inventory_forecast
 
-    forecast = forecast_series(marts.sales(spark, folder))
+    forecast = forecast_fits(marts.sales(spark, folder))
     joined = join_inventory_forecast(forecast, marts.stock(spark, folder), marts.item_dim(spark, folder))
     left = insights.inventory_projection(insights.cumulative_demand(joined))
     return rounded(left.select("item_id", "ds", "current_inventory", "inventory"), 4, "inventory")
@@ -166,7 +166,7 @@ def _(spark, folder):
     "item_numbers",
 )
 def _(spark, folder):
-    forecast = forecast_series(marts.sales(spark, folder))
+    forecast = forecast_fits(marts.sales(spark, folder))
     sums = insights.item_sums(forecast, marts.stock(spark, folder), marts.item_dim(spark, folder))
     return sums.select("item_id", "lead_time", F.round(insights.first_k_demand(), 4).alias("lead_time_demand"))
 

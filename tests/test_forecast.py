@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from larder.operators.aggregates import forecast_summary, priority_counts
 from larder.plans import evaluate, insights
-from larder.plans.forecast import BAND_Z, forecast_items, forecast_series
+from larder.plans.forecast import BAND_Z, forecast_fits, forecast_items, forecast_series
+from larder.queries import QUERIES
 
 START = dt.date(2024, 3, 5)
 
@@ -158,3 +159,28 @@ def test_days_without_a_forecast(spark):
     assert (a.forecast_days, a["__first_ds"], a.cover_until, a["__total"], a["__first_k"]) == (4, days[0], days[2], 45.0, 45.0)
     assert (a["__avg_inventory"], a.avg_daily_demand) == (5.0, 22.5)
     assert (b.forecast_days, b.cover_until, b["__total"], b["__first_k"], b.avg_daily_demand) == (1, None, None, None, None)
+
+
+def test_fits_give_what_rows_give(spark):
+    rng = random.Random(5)
+    items = {k: {d: float(rng.randrange(9)) for d in range(25)} for k in ("a", "b", "c")}
+    odd = [("a", START, None), ("b", START + dt.timedelta(days=40), None), ("c", None, 8.0), ("d", None, 3.0), ("e", START, None)]
+    sales = frame(spark, items).unionByName(spark.createDataFrame(odd, "item_id string, date date, sale double"))
+    inv, dim = stocks(spark, [*items, "d", "e"])
+    rows, fits = forecast_items(sales).select("item_id", "ds", "yhat"), forecast_fits(sales)
+    found = [sorted(insights.inventory_insights(f, inv, dim).collect(), key=str) for f in (fits, rows)]
+    assert [r.item_id for r in found[0]] == ["a", "b", "c", "e"] and found[0] == found[1]
+    running = [insights.cumulative_demand(f).select("item_id", "ds", "yhat", "cum_demand") for f in (fits, rows)]
+    assert sorted(running[0].collect(), key=str) == sorted(running[1].collect(), key=str)
+
+
+@pytest.mark.parametrize("name", [
+    "plan_panel_kpis", "reorder_point", "reorder_priority", "risk_grades", "urgency_sort", "filter_priority", "financials",
+    "first_k_sum", "inventory_insights", "priority_counts", "medium_top3", "coverage", "inventory_projection",
+])
+def test_sales_are_summed_by_item_and_days_come_after_the_joins(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [item_id" in line and "date#" in line.split("]")[0]]
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    with_days = [i for i, line in enumerate(lines) if line.startswith("Project") and "transform(" in line]
+    assert with_days and all(sum(line.startswith("Join") for line in lines[i:]) >= 2 for i in with_days)
