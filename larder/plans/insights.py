@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.functions.cleaning import once
 from larder.operators.joins import join_inventory_forecast
 from larder.plans.forecast import days_within, is_fits
 
@@ -78,8 +79,8 @@ def item_sums(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataF
         F.lit(None).cast(date).alias("until"),
     )
 
-    def day(sums: Column, i: Column) -> Column:
-        ds, yhat = F.get("ds", i), F.get("yhat", i)
+    def day(days: Column, sums: Column, i: Column) -> Column:
+        ds, yhat = F.get(days["ds"], i), F.get(days["yhat"], i)
         total = added(sums["total"], yhat)
         left = F.greatest(F.col("current_inventory") - total, F.lit(0.0))
         return F.struct(
@@ -90,7 +91,11 @@ def item_sums(forecast: DataFrame, inv: DataFrame, item_dim: DataFrame) -> DataF
             F.least(sums["until"], F.when(total >= F.col("current_inventory"), ds)).alias("until"),
         )
 
-    summed = items.withColumn("__sums", F.aggregate(F.sequence(F.lit(0), F.size("yhat") - 1), start, day))
+    def sums_of(days: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.size(days["yhat"]) - 1), start, lambda sums, i: day(days, sums, i))
+
+    # Bound once: a filter on the sums is moved below the days, which would then be worked out anew for every day.
+    summed = items.withColumn("__sums", once(F.struct("ds", "yhat"), sums_of))
     days = F.size("yhat").cast("long")
     return summed.select(
         "item_id",
